@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import jaccard
+from windrow.llm import bpe, decontaminate, jaccard, secrets, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_secrets": secrets.op4_secrets,
+        "op7_urls": urlfilter.op7_urls,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
