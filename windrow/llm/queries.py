@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import bpe, decontaminate, jaccard, secrets, urlfilter
+from windrow.llm import bpe, decontaminate, jaccard, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_secrets": secrets.op4_secrets,
         "op7_urls": urlfilter.op7_urls,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_bpe": bpe.op10_bpe,
     }
 
