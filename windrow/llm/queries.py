@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import bpe, decontaminate, jaccard, secrets, toxicity, urlfilter
+from windrow.llm import bpe, decontaminate, jaccard, linededup, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_line_dedup": linededup.op2_line_dedup,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_secrets": secrets.op4_secrets,
         "op7_urls": urlfilter.op7_urls,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": linededup.OP2_SQL,
+    }
