@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import bpe, decontaminate, jaccard, linededup, secrets, toxicity, urlfilter
+from windrow.llm import bpe, decontaminate, jaccard, licenses, linededup, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": secrets.op4_secrets,
         "op7_urls": urlfilter.op7_urls,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_licenses": licenses.op9_licenses,
         "op10_bpe": bpe.op10_bpe,
     }
 
@@ -24,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": linededup.OP2_SQL,
+        "op9_licenses": licenses.OP9_SQL,
     }
