@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import bpe, decontaminate, jaccard, licenses, linededup, secrets, toxicity, urlfilter
+from windrow.llm import bpe, decontaminate, jaccard, licenses, linededup, neardup, revisits, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": linededup.op2_line_dedup,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_secrets": secrets.op4_secrets,
+        "op5_embeddings": neardup.op5_embeddings,
+        "op6_revisits": revisits.op6_revisits,
         "op7_urls": urlfilter.op7_urls,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_licenses": licenses.op9_licenses,
@@ -25,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": linededup.OP2_SQL,
+        "op6_revisits": revisits.OP6_SQL,
         "op9_licenses": licenses.OP9_SQL,
     }
