@@ -159,7 +159,7 @@ def _admitted(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFram
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs whose sets reach the threshold; only the texts that occur in a pair are read again."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(need, F.col("doc_id") == F.col("need"), "left_semi")
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).hint("merge").join(need, F.col("doc_id") == F.col("need"), "left_semi")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,3 +266,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Contract query: 3-word shingles, 100 * intersection >= 90 * union."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one whose doc_id names the component.
+
+    Documents without words stay, and so do rows with a null doc_id; rows
+    that share the kept doc_id all stay.
+    """
+    c = near_duplicates(docs, k, num, den)
+    gone = c.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.hint("merge").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
