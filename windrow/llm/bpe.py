@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -44,6 +47,37 @@ def _byte_chars() -> list[str]:
             spare += 1
     return out
 
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Words(dict):
+    """Ids and decoded text by word, made when first asked for.
+
+    Two generations: when the young one is full it becomes the old one, so
+    words in use survive and at most twice CACHE_WORDS are held.
+    """
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        got = self.old.get(word)
+        if got is None:
+            bpe = self.bpe
+            ids = [bpe.special[word]] if word in bpe.special else bpe.word_ids(word)
+            got = _little(ids), " ".join([bpe.token_of[i] for i in ids])
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(word) <= SHORT:
+            self[word] = got
+        return got
+
+
 class WordBpe:
     """Encoder of a tokenizer file whose model is word-level BPE with a word-end suffix.
 
@@ -67,34 +101,34 @@ class WordBpe:
             self.made.append(self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in conf["added_tokens"]}
         self.token_of |= {i: t for t, i in self.special.items()}
-        self.chars = _byte_chars()
+        chars = _byte_chars()
+        self.first = [self.vocab.get(c, -1) for c in chars]
+        self.last = [self.vocab.get(c + self.end, -1) for c in chars]
         pattern = conf["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern.replace("\\s", _WHITE), regex.V0).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.space = regex.compile(f"[{_WHITE}]+").sub
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
-        for t, i in self.special.items():
-            self.ids[t], self.text[t] = i.to_bytes(4, "little"), t
-        self.kept = len(self.ids)
+        self.cache = _Words(self)
 
     def word_ids(self, word: str) -> list[int]:
-        symbols = [self.chars[b] for b in word.encode()]
-        symbols[-1] += self.end
-        parts = [self.vocab[s] for s in symbols if s in self.vocab]
+        raw = word.encode()
+        parts = [self.first[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
+        if -1 in parts:
+            parts = [p for p in parts if p >= 0]
         return self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        rank = self.rank.get
-        ranks = [rank(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        rank, made = self.rank.get, self.made
+        ranks = [rank(a << 32 | b, _NONE) for a, b in pairwise(parts)]
         while ranks and (least := min(ranks)) != _NONE:
             i = ranks.index(least)
-            parts[i] = self.made[least]
+            parts[i] = new = made[least]
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(parts[i - 1] << 32 | parts[i], _NONE)
+                ranks[i - 1] = rank(parts[i - 1] << 32 | new, _NONE)
             if i < len(ranks):
-                ranks[i] = rank(parts[i] << 32 | parts[i + 1], _NONE)
+                ranks[i] = rank(new << 32 | parts[i + 1], _NONE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
@@ -116,17 +150,6 @@ class WordBpe:
                     heapq.heappush(heap, (q, k))
         return [p for p in parts if p >= 0]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.ids) > CACHE_WORDS:
-            for kept in (self.ids, self.text):
-                for w in list(kept)[self.kept :]:
-                    del kept[w]
-        for w in words:
-            if w not in self.ids:
-                ids = self.word_ids(w)
-                self.ids[w] = b"".join(i.to_bytes(4, "little") for i in ids)
-                self.text[w] = " ".join(self.token_of[i] for i in ids)
-
     def words(self, text: str) -> list[str]:
         pieces = self.cut(text) if self.cut and "<|" in text else [text]
         out = []
@@ -141,17 +164,8 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Token ids as little-endian 32-bit integers, and the decoded text."""
-        words = self.words(text)
-        try:
-            return b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.text.__getitem__, words))
-        except KeyError:
-            out_ids, out_text = [], []
-            for lo in range(0, len(words), CACHE_WORDS // 4):
-                part = words[lo : lo + CACHE_WORDS // 4]
-                self._learn(part)
-                out_ids += map(self.ids.__getitem__, part)
-                out_text += map(self.text.__getitem__, part)
-            return b"".join(out_ids), " ".join(out_text)
+        found = list(map(self.cache.__getitem__, self.words(text)))
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.token_of[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
