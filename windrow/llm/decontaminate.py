@@ -35,7 +35,7 @@ MIN_WORDS, MIN_EQUAL = 12, 0.8
 PENALTY = -3
 #: Words beyond the outermost hit of a stretch that are looked at.
 REACH = 128
-MIN_BITS, MAX_BITS, BITS_PER_SEED = 1 << 16, 1 << 27, 64
+MIN_BITS, MAX_BITS, BITS_PER_SEED = 1 << 16, 1 << 27, 1024
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -203,7 +203,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that overlap with a benchmark item; rows with a null doc_id stay."""
     leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    return docs.hint("merge").join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
