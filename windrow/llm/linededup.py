@@ -55,7 +55,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("row_id", "chunk_no")).alias("first")
     twice = many.groupBy("digest").agg(F.count("*").alias("c"), first).where("c > 1").select("digest", F.col("first.row_id").alias("first_row"), F.col("first.chunk_no").alias("first_no"))
     twice = stored(twice, "digests")
-    again = stored(many.join(twice, "digest"), "chunks")
+    # a merge join at every size: chunk texts move once, in proportion to the input, and hot digests may be split
+    again = stored(many.hint("merge").join(twice, "digest"), "chunks")
     keepers = again.where("row_id = first_row and chunk_no = first_no").select("digest", F.col("chunk").alias("kept"))
     same = again.where("not (row_id = first_row and chunk_no = first_no)").join(keepers, "digest").where("chunk = kept")
     out = stored(same.select("row_id", "chunk_no", "n_lines"), "repeats")
@@ -68,18 +69,19 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(9223372036854775807)).alias("row_id"), F.col("text").cast("string").alias("text"))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the repeated chunks taken out of ``text``; all other columns stay.
 
     A null text stays null, an empty one empty; a text that loses all its
-    chunks becomes empty.  ``n_chars``, where present, follows the text.
+    chunks becomes empty, or its row goes if ``drop_emptied``.  ``n_chars``,
+    where present, follows the text.
     Rows that share a doc_id (or have none) count as one document: a chunk
     is removed by its place in it, from the rows that hold it there.
     """
     repeats = repeated_chunks(_numbered(docs))
     gone = repeats.groupBy("row_id").agg(F.sort_array(F.collect_set("chunk_no")).alias("_gone")).withColumnRenamed("row_id", "_row")
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(9223372036854775807))
-    both = docs.join(gone, key == gone["_row"], "left")
+    both = docs.hint("merge").join(gone, key == gone["_row"], "left")
     hit = both.where("_row is not null")
     same = both.where("_row is null").select(*(docs[c] for c in docs.columns))
     # only rows that lose chunks are cut again
@@ -90,6 +92,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     kept = "filter(transform(_ends, (e, k) -> if(array_contains(_gone, k), NULL, array_join(slice(_lines, if(k = 0, 1, _ends[k - 1] + 1), e - if(k = 0, 0, _ends[k - 1])), '\\n'))), x -> x IS NOT NULL)"
     text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.array_join(F.expr(kept), "\n"))
     new = cut.withColumn("text", text)
+    if drop_emptied:
+        new = new.where("text <> ''")
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return same.union(new.select(*docs.columns))
