@@ -14,7 +14,7 @@ _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 def normal_cdf(x):
     """Standard normal distribution function."""
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def log_gamma(x):

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.plans import queries_calls, queries_tracks
+from windrow.plans import queries_calls, queries_genotype, queries_models, queries_tracks
 
-MODULES = (queries_tracks, queries_calls)
+MODULES = (queries_tracks, queries_calls, queries_genotype, queries_models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries_tracks.region_median(spark, sf_dir)
+    """Filter and cluster interval calls, resolve each cluster, and give the resolved calls' statistics."""
+    return queries_models.refine_calls(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
