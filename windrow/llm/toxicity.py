@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import kernel
-from windrow.llm.shared import stored, table
+from windrow.llm.shared import drop_stored, stored, table
 
 FOLDS = 5
 #: Largest margin, and bins of the histograms that calibrate the cut.
@@ -274,8 +274,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    train = plain.join(usable, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # the labelled training texts move once, by a merge join at every size, and are kept for the passes over them
+    train = plain.where(~held_out(F.col("doc_id"))).hint("merge").join(usable, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    train = stored(train, "train")
     model = induced(train)
+    drop_stored(train)
     shared = sc.broadcast(model)
     seen = stored(plain.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(_observe(shared), "doc_id long, held_out boolean, votes int, features array<int>"), "votes")
     pattern = seen.where("not held_out").groupBy("votes").count().toArrow()  # 3 ** len(VOTERS) rows at most
@@ -326,7 +329,7 @@ def _cut(histogram, bias: float) -> float:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text scores 0.5 or more; rows with a null doc_id stay."""
     bad = scored(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return docs.hint("merge").join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
