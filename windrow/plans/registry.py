@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.plans import queries_calls, queries_genotype, queries_models, queries_tracks
+from windrow.plans import queries_calls, queries_genotype, queries_models, queries_more, queries_tracks
 
-MODULES = (queries_tracks, queries_calls, queries_genotype, queries_models)
+MODULES = (queries_tracks, queries_calls, queries_genotype, queries_models, queries_more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
