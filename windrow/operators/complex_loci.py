@@ -97,7 +97,7 @@ def dbscan(obs: DataFrame, eps: float, min_samples: int) -> DataFrame:
     the nearest core within ``eps``.
     """
     near = f"count(*) OVER (PARTITION BY locus ORDER BY mu RANGE BETWEEN CAST({eps!r} AS DOUBLE) PRECEDING AND CAST({eps!r} AS DOUBLE) FOLLOWING)"
-    n = obs.withColumn("_n", F.expr(near)).withColumn("_core", F.col("_n") >= min_samples)
+    n = obs.select("locus", "sample", "mu").withColumn("_n", F.expr(near)).withColumn("_core", F.col("_n") >= min_samples)
     cores = n.where("_core")
     o = Window.partitionBy("locus").orderBy("mu", "sample")
     cores = cores.withColumn("_new", F.coalesce((F.col("mu") - F.lag("mu").over(o) > eps), F.lit(True)).cast("int"))
