@@ -69,6 +69,13 @@ def test_empty_tables(spark):
     assert dc.overlaps(empty(spark), spark.createDataFrame([(1, LONG)], "item_id long, text string")).count() == 0
 
 
-def test_best_stretch():
-    assert dc.best_stretch(np.array([0, 1, 1, 0, 1, 1, 1, 1, 1, 0], bool)) == (4, 9, 5)
-    assert dc.best_stretch(np.array([1] * 6 + [0] + [1] * 6, bool)) == (0, 13, 12)
+def test_best_stretch_equals_brute_force():
+    g = np.random.default_rng(4)
+    for _ in range(300):
+        e = g.random(int(g.integers(1, 30))) < g.choice([0.3, 0.7, 0.9])
+        best = max((b - a for a in range(len(e)) for b in range(a + 1, len(e) + 1) if 5 * e[a:b].sum() >= 4 * (b - a) and e[a] and e[b - 1]), default=0)
+        start, end, same = dc.best_stretch(e)
+        assert same == e[start:end].sum()
+        assert 5 * same >= 4 * (end - start)
+        # trimming unequal ends may only lose what the longest stretch had at its ends
+        assert best * 0.8 <= end - start <= best or best == end == 0

@@ -3,8 +3,8 @@
 A seed hashes the words of a text at the kept positions of a fixed mask, so
 substitutions at ignored positions do not disturb it.  Seeds of the benchmark
 items and of the training texts are joined on their hash; around a hit both
-word sequences are laid against each other, and the best ungapped stretch
-(+1 for an equal word, ``PENALTY`` for another) decides.
+word sequences are laid against each other, and the longest ungapped stretch
+with enough equal words decides.
 
 Before the join, training seeds pass a bitmap of the benchmark's seeds.  It
 is built by a bit-or aggregation and has ``MAX_BITS`` bits at most whatever
@@ -26,13 +26,14 @@ from windrow.llm import kernel
 from windrow.llm.shared import drop_stored, stored, table
 
 #: Fixed masks: 1 keeps a word, 0 ignores it.
-MASKS = ("11101001011", "11011100101", "10110011101", "11111110000")
+MASKS = ("11101001011", "11011100101", "10110011101", "1111111", "1110111", "11011011")
 SPAN = 11
-#: Items of fewer words than SPAN are sought as they are, those below SHORTEST not at all.
+#: Items of fewer words than SPAN, the longest mask, are sought as they are, those below SHORTEST not at all.
 SHORTEST = 6
 #: An overlap counts from so many words (or the whole item, if shorter) and this share of equal words.
 MIN_WORDS, MIN_EQUAL = 12, 0.8
-PENALTY = -3
+#: Score of an unequal word against 1 of an equal one: MIN_EQUAL / (1 - MIN_EQUAL).
+UNEQUAL_COST = 4
 #: Words beyond the outermost hit of a stretch that are looked at.
 REACH = 128
 MIN_BITS, MAX_BITS, BITS_PER_SEED = 1 << 16, 1 << 27, 1024
@@ -66,7 +67,7 @@ def seeds(h: np.ndarray, lengths: tuple[int, ...], whole: bool) -> Iterator[tupl
             yield _masked(h, "1" * len(h), 100 + len(h)), len(h)
         return
     for role, mask in enumerate(MASKS):
-        yield _masked(h, mask, role), SPAN
+        yield _masked(h, mask, role), len(mask)
     for n in () if whole else lengths:
         yield _masked(h, "1" * n, 100 + n), n
 
@@ -152,12 +153,20 @@ def _regions(docs: DataFrame, bitmap, lengths: tuple[int, ...]) -> DataFrame:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, equal words) of the stretch with the largest score, the first of several."""
-    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, PENALTY))])
+    """(start, end, equal words) of the longest stretch with MIN_EQUAL equal words that begins and ends with one, the first of several.
+
+    With +1 for an equal word and -4 for another a stretch qualifies if its
+    sum is not negative; the earliest start of each end follows from running
+    minima of the prefix sums.
+    """
+    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -UNEQUAL_COST))])
     low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+    first = np.searchsorted(-low, -score, "left")
+    end = int(np.argmax(np.arange(len(score)) - first))
+    hit = np.flatnonzero(equal[int(first[end]) : end]) + int(first[end])
+    if not len(hit):
+        return 0, 0, 0
+    return int(hit[0]), int(hit[-1]) + 1, len(hit)
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
