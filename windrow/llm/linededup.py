@@ -91,9 +91,9 @@ def cleaned(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     cut = cut.withColumn("_ends", F.expr(f"filter(sequence(1, size(_h)), i -> i = size(_h) OR (i >= {WINDOW} AND {rolled} % {DIVISOR} = 0))"))
     kept = "filter(transform(_ends, (e, k) -> if(array_contains(_gone, k), NULL, array_join(slice(_lines, if(k = 0, 1, _ends[k - 1] + 1), e - if(k = 0, 0, _ends[k - 1])), '\\n'))), x -> x IS NOT NULL)"
     text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.array_join(F.expr(kept), "\n"))
-    new = cut.withColumn("text", text)
-    if drop_emptied:
-        new = new.where("text <> ''")
+    # as a generator: a filter on the text, here or later, would be pushed down and compute the chunks anew for every line
+    one = F.array(text)
+    new = cut.withColumn("text", F.explode(F.filter(one, lambda t: t != "") if drop_emptied else one))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return same.union(new.select(*docs.columns))
