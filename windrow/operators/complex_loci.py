@@ -146,15 +146,6 @@ def silhouette(obs: DataFrame) -> DataFrame:
     return q.groupBy("locus").agg(F.avg(F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
 
 
-def bic_delta(tried: list[tuple[int, float]], chosen: int) -> float:
-    """Least distance of the chosen component number's criterion to that of one more or one fewer; -1 without neighbours."""
-    best: dict[int, float] = {}
-    for k, ic in tried:
-        best[k] = min(ic, best.get(k, np.inf))
-    near = [abs(best[k] - best[chosen]) for k in (chosen - 1, chosen + 1) if k in best and chosen in best]
-    return float(min(near)) if near else -1.0
-
-
 def reported_calls(segments: DataFrame, axis: DataFrame, keys: list[str]) -> DataFrame:
     """Segments as calls: the last of a track is not reported, and a call ends with the window after its last one."""
     w = Window.partitionBy(*keys).orderBy("w0")

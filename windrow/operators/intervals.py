@@ -40,7 +40,6 @@ def asof_index(points: DataFrame, axis: DataFrame, point: str, coordinate: str,
     keys = keys or ["contig"]
     width = width or tile_width(axis, keys, coordinate, BIN_ROWS)
     a = axis.select(*keys, F.col("w").alias("_w"), F.col(coordinate).alias("_c"), F.floor(F.col(coordinate) / width).alias("_bin"))
-    p = points.withColumn("_pid", F.monotonically_increasing_id()).withColumn("_bin", F.floor(F.col(point) / width))
     distinct = points.select(*keys, F.col(point).alias("_x")).distinct().withColumn("_bin", F.floor(F.col("_x") / width))
     here = distinct.join(a, [*keys, "_bin"]).where("_c >= _x").groupBy(*keys, "_x").agg(F.min("_w").alias("_here"))
     bins = a.groupBy(*keys, "_bin").agg(F.min("_w").alias("_first"), F.max("_w").alias("_last"))
@@ -52,7 +51,7 @@ def asof_index(points: DataFrame, axis: DataFrame, point: str, coordinate: str,
     later = both.withColumn("_later", F.min("_first").over(ahead)).where("_point").select(*keys, "_bin", "_later")
     found = distinct.join(here, [*keys, "_x"], "left").join(later, [*keys, "_bin"], "left").join(n, keys, "left")
     found = found.select(*keys, F.col("_x").alias(point), F.coalesce("_here", "_later", "_n", F.lit(0)).cast("long").alias(out))
-    return p.drop("_pid", "_bin").join(found, [*keys, point], "left")
+    return points.join(found, [*keys, point], "left")
 
 
 def slices(regions: DataFrame, axis: DataFrame, rule: str) -> DataFrame:

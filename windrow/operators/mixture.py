@@ -125,18 +125,37 @@ def genotype(x: np.ndarray, merge: bool = True, most: int = 30) -> dict:
     return out | {"tried": [(len(f["mean"]), f["aic"]) for f in fits]}
 
 
-def genotypes(obs: DataFrame, keys: list[str], merge: bool = True) -> DataFrame:
-    """Mixture labels of obs(keys, sample, mu): adds label, post, comp_mean, comp_var, comp_weight, n_comp, aic."""
+def bic_delta(tried: list[tuple[int, float]], chosen: int) -> float:
+    """Least distance of the chosen component number's criterion to that of one more or one fewer; -1 without neighbours."""
+    best: dict[int, float] = {}
+    for k, ic in tried:
+        best[k] = min(ic, best.get(k, np.inf))
+    near = [abs(best[k] - best[chosen]) for k in (chosen - 1, chosen + 1) if k in best and chosen in best]
+    return float(min(near)) if near else -1.0
+
+
+def rounded(x: np.ndarray) -> dict:
+    """Components at the rounded values, for loci of copy numbers too high for a mixture."""
+    kinds, labels = np.unique(np.floor(x + 0.5), return_inverse=True)
+    share = np.bincount(labels) / len(x)
+    return {"mean": kinds, "var": np.full(len(kinds), MIN_COVAR), "weight": share, "labels": labels, "aic": float("nan"), "tried": []}
+
+
+def genotypes(obs: DataFrame, keys: list[str], merge: bool = True, high: float | None = None) -> DataFrame:
+    """Mixture labels of obs(keys, sample, mu): adds label, post, comp_mean, comp_var, comp_weight, n_comp, aic, aic_delta.
+
+    A locus with a value above ``high`` is rounded instead of fitted.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in obs.select(*keys).schema)
-    schema += ", sample string, mu double, label int, post double, comp_mean double, comp_var double, comp_weight double, n_comp int, aic double"
+    schema += ", sample string, mu double, label int, post double, comp_mean double, comp_var double, comp_weight double, n_comp int, aic double, aic_delta double"
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["mu"]).sort_values("sample").reset_index(drop=True)
-        names = [*keys, "sample", "mu", "label", "post", "comp_mean", "comp_var", "comp_weight", "n_comp", "aic"]
+        names = [*keys, "sample", "mu", "label", "post", "comp_mean", "comp_var", "comp_weight", "n_comp", "aic", "aic_delta"]
         if pdf.empty:
             return pd.DataFrame({n: [] for n in names})
         x = pdf.mu.to_numpy(float)
-        g = genotype(x, merge)
+        g = rounded(x) if high is not None and x.max() > high else genotype(x, merge)
         # labels count components in order of their means
         order = np.argsort(g["mean"], kind="stable")
         rank = np.empty(len(order), int)
@@ -145,7 +164,7 @@ def genotypes(obs: DataFrame, keys: list[str], merge: bool = True) -> DataFrame:
         mine = g["labels"]
         pdf["label"], pdf["post"] = rank[mine], np.exp(logs[np.arange(len(x)), mine] - _total(logs))
         pdf["comp_mean"], pdf["comp_var"], pdf["comp_weight"] = g["mean"][mine], g["var"][mine], g["weight"][mine]
-        pdf["n_comp"], pdf["aic"] = len(g["mean"]), g["aic"]
+        pdf["n_comp"], pdf["aic"], pdf["aic_delta"] = len(g["mean"]), g["aic"], bic_delta(g["tried"], len(g["mean"]))
         return pdf[names]
 
     return obs.select(*keys, "sample", "mu").groupBy(*keys).applyInPandas(of, schema)

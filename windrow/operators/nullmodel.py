@@ -59,13 +59,13 @@ def folded_p() -> Column:
     return F.when(F.col("var") == 0, F.lit(0.5)).otherwise(F.least(c, 1 - c))
 
 
-def histogram(track: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Density and cumulative density of moving means: ``bin, lo, hi, n, share, cumulative``.
+def histogram(track: DataFrame, keys: list[str], width: int, how: str = "avg") -> DataFrame:
+    """Density and cumulative density of moving means (or sums, for log-likelihoods): ``bin, lo, hi, n, share, cumulative``.
 
     Bins have 3.5 sd / n^(1/3) / 10 between -5 sd and 5 sd, and one open bin
     on either side.
     """
-    m = moving(track, keys, width).select("moving")
+    m = moving(track, keys, width, how).select("moving")
     s = m.agg(F.stddev_pop("moving").alias("sd"), F.count("*").alias("total"))
     step = 3.5 * F.col("sd") / F.pow(F.col("total").cast("double"), F.lit(1.0 / 3.0)) / 10
     s = s.withColumn("step", step).withColumn("bins", F.ceil(10 * F.col("sd") / F.col("step")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from windrow.operators import calls as cl
+from windrow.operators import complex_loci as cx
 from windrow.operators import genotype as gt
 from windrow.operators import intervals as iv
 from windrow.operators import mixture as mx
@@ -85,17 +86,9 @@ def correlated_segments(spark, d):
 def info_records(spark, d):
     """Quality statistics of every locus side by side."""
     c = cells(spark, d)
-    o = mx.genotypes(obs(spark, d, c).select("locus", "sample", "mu"), ["locus"])
-    s = gt.label_stats(o)
-    order = gt.order_proportion(c.join(o.select("locus", "sample", "label"), ["locus", "sample"]), s)
-    cn = gt.labels_to_cn(s).groupBy("locus").agg(F.array_sort(F.collect_set("cn")).alias("cns"))
-    r = gt.responsibilities(o.select("locus", "label", F.col("post").alias("own")))
-    j = gt.mean_distances(s).join(order, "locus").join(gt.inter_label_distance(o), "locus").join(r, "locus").join(cn, "locus")
-    kinds = {"is_biallelic_del": ([0, 1, 2], [1, 2], [0, 2]), "is_biallelic_dup": ([1, 2, 3], [2, 3], [2, 3, 4])}
-    for name, sets in kinds.items():
-        hit = F.lit(False)
-        for x in sets:
-            hit = hit | (F.col("cns") == F.array(*map(F.lit, x)))
-        j = j.withColumn(name, hit)
+    # the fits feed nine branches; a row for each locus and sample, fitted anew if an executor goes
+    o = mx.genotypes(obs(spark, d, c).select("locus", "sample", "mu"), ["locus"], high=12.0).persist()
     regions = v.regions(spark).select(F.col("region_id").alias("locus"), "contig", "start", "end")
-    return regions.join(j.withColumn("is_singleton", (F.col("n_clusts") == 2) & (F.col("min_count") == 1)), "locus")
+    gc = c.groupBy("locus").agg(F.avg(F.pmod(F.col("w") * 37 + 11, F.lit(100)) / 100.0).alias("gc"))
+    spans = c.groupBy("locus", "sample").agg(F.min("w").alias("w0"), (F.max("w") + 1).alias("w1")).join(regions.select("locus", "contig"), "locus")
+    return gt.info(o, c, regions, gc, cx.singleton_z(v.panel(spark, d), spans))
