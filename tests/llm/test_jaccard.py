@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tests.llm.helpers import docs, empty
-from windrow.llm import jaccard
+from windrow.llm import jaccard, shared
 from windrow.llm.shared import connected_components, table
 
 
@@ -103,3 +103,19 @@ def test_sketch_parts_outnumber_differences():
     for band in range(20):
         top = int(jaccard._STARTS[band + 1] - 1)
         assert jaccard.band_parts(band, 9, 10) > jaccard.most_apart(2 * top, 9, 10)
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 16])
+def test_without_ids(spark, monkeypatch, bits):
+    monkeypatch.setattr(shared, "MAX_BITS", bits)
+    d = spark.createDataFrame([(i if i % 9 else None, str(i)) for i in range(400)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 400, 7)] + [(None,), (7,)], "id long")
+    left = sorted(r["text"] for r in shared.without_ids(d, "doc_id", ids).collect())
+    assert left == sorted(str(i) for i in range(400) if not i % 9 or i % 7)
+    assert shared.without_ids(d, "doc_id", ids.limit(0)).count() == 400
+
+
+def test_verified_without_a_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(shared, "MAX_BITS", 16)
+    rows = [(i, " ".join(f"w{j}" for j in range(60) if j != i)) for i in range(4)]
+    assert result(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 9, 10)) == brute(rows, 1, 9, 10)

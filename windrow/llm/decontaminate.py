@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import kernel
-from windrow.llm.shared import drop_stored, stored, table
+from windrow.llm.shared import drop_stored, stored, table, without_ids
 
 #: Fixed masks: 1 keeps a word, 0 ignores it.
 MASKS = ("11101001011", "11011100101", "10110011101", "1111111", "1110111", "11011011")
@@ -211,8 +211,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that overlap with a benchmark item; rows with a null doc_id stay."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.hint("merge").join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    return without_ids(docs, "doc_id", overlaps(docs, benchmark).select(F.col("doc_id").alias("id")).distinct())
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

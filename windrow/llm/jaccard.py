@@ -7,8 +7,8 @@ exceeds the symmetric difference of the sets.  Sets that reach the Jaccard
 threshold have a bounded symmetric difference D; a sketch that is cut into
 more than D parts therefore has at least one equal part (pigeonhole).  Sets
 are banded by size, since D depends on it; a part travels as the XOR of the
-codes of its odd bits.  Pairs that share a part are held against a dense
-256-bit parity sketch and then verified on the sets themselves.
+codes of its odd bits.  Pairs that share a part are held against a
+parity sketch of two bits or more a member, and then verified on the sets.
 
 No pair is lost and no group of copies is expanded into all pairs:
 
@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import kernel
-from windrow.llm.shared import connected_components, drop_stored, is_empty, stored, table
+from windrow.llm.shared import connected_components, drop_stored, id_bitmap, is_empty, maybe_held, stored, table, without_ids
 
+#: Least bits of a set's own parity sketch.
+MIN_BITS = 256
 #: Buckets of at most so many members give all their pairs.
 SMALL = 16
 #: Rows of a block in the comparison of what stars leave over.
@@ -87,9 +89,24 @@ def sketch_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def dense_sketch(s: np.ndarray) -> np.ndarray:
-    """256 parity bits as four int64."""
-    odd = np.bincount((kernel.mix(s + np.uint64(77)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parity bits of a set as uint64 words: a power of two of bits, at least two for each member."""
+    bits = MIN_BITS
+    while bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((kernel.mix(s + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The sketch in ``size`` words, a smaller power of two: parities of bits that fall together add up."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _within_reach(x: np.ndarray, y: np.ndarray, total: np.ndarray | int, num: int, den: int):
+    """Whether sketches differ in few enough bits for sets whose sizes sum to ``total``."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) * (den + num) <= total * (den - num)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,7 +125,7 @@ def _list_array(parts: list[np.ndarray], kind=pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, kind))
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, sig0 long, sig1 long, s0 long, s1 long, s2 long, s3 long, parts array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, sig0 long, sig1 long, sketch binary, parts array<long>"
 
 
 def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -116,15 +133,15 @@ def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, parts = np.zeros((batch.num_rows, 7), np.int64), []
+            rows, bits, parts = np.zeros((batch.num_rows, 3), np.int64), [], []
             for i, s in _sets(batch, k):
                 rows[i, 0] = len(s)
                 rows[i, 1] = np.add.reduce(s).view(_I64) if len(s) else 0
                 rows[i, 2] = np.bitwise_xor.reduce(kernel.mix(s)).view(_I64) if len(s) else 0
-                rows[i, 3:] = dense_sketch(s)
+                bits.append(dense_sketch(s).tobytes())
                 parts.append(sketch_keys(s, num, den))
-            cols = [batch.column("doc_id").cast(pa.int64()), *(pa.array(rows[:, j]) for j in range(7)), _list_array(parts)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig0", "sig1", "s0", "s1", "s2", "s3", "parts"])
+            cols = [batch.column("doc_id").cast(pa.int64()), *(pa.array(rows[:, j]) for j in range(3)), pa.array(bits, pa.binary()), _list_array(parts)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig0", "sig1", "sketch", "parts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, SKETCH_SCHEMA)
 
@@ -148,26 +165,43 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _admitted(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and dense sketches allow a link."""
+    """Pairs whose sizes and parity sketches allow a link."""
     for side in "ab":
-        pairs = pairs.join(meta.select(F.col("doc").alias(side), F.col("n_shingles").alias(f"n{side}"), *(F.col(f"s{j}").alias(f"{side}{j}") for j in range(4))), side)
-    apart = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(4)), F.lit(0))
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    return pairs.where((small * den >= large * num) & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b").distinct()
+        pairs = pairs.join(meta.select(F.col("doc").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    sized = pairs.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "sa", "sb")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            total, sa, sb = (batch.column(c) for c in ("total", "sa", "sb"))
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(m[i].as_buffer(), np.uint64) for m in (sa, sb))
+                size = min(len(x), len(y))
+                keep[i] = _within_reach(folded(x, size), folded(y, size), total[i].as_py(), num, den)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return sized.mapInArrow(of, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs whose sets reach the threshold; only the texts that occur in a pair are read again."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).hint("merge").join(need, F.col("doc_id") == F.col("need"), "left_semi")
+    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    bitmap = id_bitmap(need)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    if bitmap is None:  # too many for a bitmap: the texts meet the ids by a join
+        plain = plain.hint("merge").join(need, F.col("doc_id") == F.col("id"), "left_semi")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared.value is not None:
+                batch = batch.filter(pa.array(maybe_held(shared.value, batch.column("doc_id"))))
             sets = [s.tobytes() for _, s in _sets(batch, k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc", "members"])
 
-    sets = stored(few.mapInArrow(of, "doc long, members binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("doc").alias("b"), F.col("members").alias("mb")), "b")
+    found = plain.mapInArrow(of, "doc long, members binary")
+    sets = stored(found.join(need, F.col("doc") == F.col("id"), "left_semi"), "sets")
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("ma")).hint("merge"), "a").join(sets.select(F.col("doc").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,32 +215,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
     links = stored(both.select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long"), "links")
-    drop_stored(sets)
+    drop_stored(sets, need)
     return links
 
 
 def _left_over(large: DataFrame, labels: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one bucket that the stars left in different components, compared in blocks of bounded size."""
     named = large.join(labels, large["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
-    state = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    sizes = named.join(state, "key").groupBy("key", "label").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("c")).select("key", F.col("top.label").alias("main"), "c", (F.col("c") - F.col("top.m")).alias("others"))
+    # counted before the rows meet by key: a hot bucket is as many rows here as it has labels
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("c"), F.count("*").alias("labels")).where("labels > 1")
+    main = stored(main.select("key", F.col("top.label").alias("main"), "c", (F.col("c") - F.col("top.m")).alias("others")), "main")
     rows = named.join(main, "key").join(meta, "doc")
     spread = F.xxhash64("doc")
     rows = rows.withColumn("out", F.col("label") != F.col("main"))
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK)).withColumn("outs", F.ceil(F.col("others") / BLOCK))
     left = rows.where("out").withColumn("i", F.pmod(spread, F.col("outs"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("side", F.lit(0))
     right = rows.withColumn("j", F.pmod(spread, F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))).withColumn("side", F.lit(1))
-    cols = ["key", "i", "j", "side", "doc", "label", "n_shingles", "s0", "s1", "s2", "s3"]
+    cols = ["key", "i", "j", "side", "doc", "label", "n_shingles", "sketch"]
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         x, y = block[block.side == 0], block[block.side == 1]
         if x.empty or y.empty:
             return pd.DataFrame({"a": np.zeros(0, _I64), "b": np.zeros(0, _I64)})
-        xs, ys = (z[["s0", "s1", "s2", "s3"]].to_numpy(np.uint64) for z in (x, y))
-        apart = sum(np.bitwise_count(xs[:, None, j] ^ ys[None, :, j]).astype(np.int64) for j in range(4))
-        nx, ny = x.n_shingles.to_numpy()[:, None], y.n_shingles.to_numpy()[None, :]
-        fit = (apart * (den + num) <= (nx + ny) * (den - num)) & (np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num)
+        xs, ys = ([np.frombuffer(m, np.uint64) for m in z.sketch] for z in (x, y))
+        size = min(map(len, xs + ys))  # the sizes of a bucket differ little
+        xs, ys = (np.stack([folded(m, size) for m in z]) for z in (xs, ys))
+        nx, ny = x.n_shingles.to_numpy(), y.n_shingles.to_numpy()
+        fit = np.stack([_within_reach(ys, m, n + ny, num, den) for m, n in zip(xs, nx, strict=True)])
+        fit &= np.minimum(nx[:, None], ny) * den >= np.maximum(nx[:, None], ny) * num
         fit &= x.label.to_numpy()[:, None] != y.label.to_numpy()[None, :]
         p, q = np.nonzero(fit)
         dx, dy = x.doc.to_numpy()[p], y.doc.to_numpy()[q]
@@ -228,13 +265,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     f = stored(sketches(docs, k, num, den), "sketches")
     sig = ["n_shingles", "sig0", "sig1"]
     classes = stored(f.where("n_shingles > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc")).where("doc is not null").distinct()
-    fr = f.where("n_shingles > 0").join(reps, F.col("doc_id") == F.col("doc"))
-    meta = stored(fr.select("doc", "n_shingles", "s0", "s1", "s2", "s3").distinct(), "meta")
+    # copies are few beside their representatives, so it is they that are looked up
+    whole = f.where("n_shingles > 0 and doc_id is not null")
+    copies = whole.select("doc_id", *sig).join(classes, sig).where("doc_id <> rep").select(F.col("doc_id").alias("id"))
+    own = whole.select("doc_id", *sig).join(classes, sig).where("doc_id = rep").select(F.col("doc_id").alias("_own"))
+    copies = stored(copies.join(own, F.col("id") == F.col("_own"), "left_anti").distinct(), "copies")  # a doc_id that also names a representative stays
+    fr = without_ids(whole, "doc_id", copies).withColumnRenamed("doc_id", "doc")
+    meta = stored(fr.select("doc", "n_shingles", "sketch").distinct(), "meta")
     total = f.agg(F.sum(F.size("parts"))).first()[0] or 0
     parts = max(per_task, int(total // PARTS_PER_TASK) + 1)
     rows = fr.select(F.explode("parts").alias("key"), "doc").repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc")
     rows = stored(rows.mapInArrow(_repeated, "key long, doc long"), "rows")
+    names = stored(f.select("doc_id", *sig), "names")
+    drop_stored(f, copies)  # the parts are not needed any more
     seen = F.xxhash64("doc")
     kept = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(seen).alias("x")).where("lo < hi")
     kept = kept.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key"))
@@ -247,6 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     if has_large:
         weight = large.groupBy("doc").agg(F.sum("c").alias("w"))
         centre = large.join(weight, "doc").groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("doc")).alias("d"))).alias("top")).select("key", (-F.col("top.d")).alias("centre"))
+        centre = stored(centre, "centres")  # stored, so that the join below has plain sides and a hot bucket may be split
         star = large.join(centre, "key").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = pairs.union(star)
     pairs = stored(_admitted(pairs, meta, num, den), "pairs")
@@ -259,7 +303,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
             labels = connected_components(links)
         drop_stored(more)
     drop_stored(pairs, buckets, meta)
-    out = f.select("doc_id", *sig).join(classes, sig, "left").join(labels, F.col("rep") == F.col("node"), "left")
+    out = names.join(classes, sig, "left").join(labels, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
@@ -275,5 +319,5 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Data
     that share the kept doc_id all stay.
     """
     c = near_duplicates(docs, k, num, den)
-    gone = c.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.hint("merge").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stored(c.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    return without_ids(docs, "doc_id", gone)

@@ -9,12 +9,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.llm.kernel import mix
+
 _LOCAL: dict[str, str] = {}
 
+#: Bits for each id in a bitmap of ids, and its bounds.
+BITS_PER_ID, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 27
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see."""
@@ -63,6 +71,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_bitmap(ids: DataFrame) -> np.ndarray | None:
+    """Bitmap over the hashes of ``ids(id)``; None if it would need more than MAX_BITS.
+
+    Partial bitmaps are merged by a bit-or aggregation; MAX_BITS / 64 words
+    at most reach the driver.
+    """
+    n = ids.count()
+    if n * BITS_PER_ID > MAX_BITS:
+        return None
+    bits = MIN_BITS
+    while bits < n * BITS_PER_ID:
+        bits *= 2
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(mix(np.asarray(batch.column("id")).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(held.view(np.int64))], names=["word", "held"])
+
+    got = ids.select(F.col("id").cast("long").alias("id")).where("id is not null").mapInArrow(of, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[np.asarray(got["word"], np.int64)] = np.asarray(got["held"], np.int64).view(np.uint64)
+    return out
+
+
+def maybe_held(bitmap: np.ndarray, column: pa.Array) -> np.ndarray:
+    """True where an id may be in the bitmap: always for those that are, never for nulls."""
+    at = mix(np.asarray(column.fill_null(0)).astype(np.int64).view(np.uint64)) & np.uint64(len(bitmap) * 64 - 1)
+    return ((bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0) & np.asarray(column.is_valid())
+
+
+def _only(bitmap, column: str, held: bool) -> Callable:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = maybe_held(bitmap.value, batch.column(column)) == held
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return of
+
+
+def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``column`` is among ``ids(id)``; rows with a null there stay.
+
+    Rows that a bitmap of the ids rules out pass without a shuffle; only the
+    others are joined with the ids, which decides exactly.  If there are too
+    many ids for a bitmap, all rows are joined.
+    """
+    out = ids.select(F.col("id").cast("long").alias("_out_id")).distinct()
+    bitmap = id_bitmap(ids)
+    if bitmap is None:
+        return df.hint("merge").join(out, df[column] == out["_out_id"], "left_anti")
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    free = df.mapInArrow(_only(shared, column, False), df.schema)
+    maybe = df.mapInArrow(_only(shared, column, True), df.schema)
+    return free.union(maybe.hint("merge").join(out, maybe[column] == out["_out_id"], "left_anti"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of ``edges(a, b)``, as ``(node, component)``.
 

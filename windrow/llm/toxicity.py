@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import kernel
-from windrow.llm.shared import drop_stored, stored, table
+from windrow.llm.shared import drop_stored, stored, table, without_ids
 
 FOLDS = 5
 #: Largest margin, and bins of the histograms that calibrate the cut.
@@ -328,8 +328,8 @@ def _cut(histogram, bias: float) -> float:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text scores 0.5 or more; rows with a null doc_id stay."""
-    bad = scored(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.hint("merge").join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    bad = scored(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    return without_ids(docs, "doc_id", stored(bad, "toxic"))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
