@@ -36,8 +36,12 @@ def with_coordinates(df: DataFrame) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window axis(contig, w, start, end)."""
-    return with_coordinates(panel(spark, sf_dir).select("contig", "w").distinct())
+    """Window axis(contig, w, start, end).
+
+    A lookup reads the axis several times; it is a row for each window, kept
+    so that the panel behind it is aggregated once.
+    """
+    return with_coordinates(panel(spark, sf_dir).select("contig", "w").distinct()).persist()
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
