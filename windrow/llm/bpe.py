@@ -27,7 +27,7 @@ from windrow.llm.shared import table
 #: Longest word that is merged by scanning.
 SHORT = 96
 #: Words kept for reuse by a worker.
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 3 << 15
 #: Text of one output batch.
 BATCH_CHARS = 1 << 21
 _NONE = 1 << 60
