@@ -36,6 +36,8 @@ FOLDS = 5
 MARGIN, BINS = 20.0, 2_000
 #: Rows of the classifier's sample, and candidates and features kept by the induction.
 FIT_ROWS, CANDIDATES, FEATURES = 20_000, 20_000, 2_048
+#: Features that a worker holds before it counts them.
+HELD_FEATURES = 1 << 20
 #: Byte lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
 MIN_DOCS, MIN_LOG_ODDS = 3, 2.5
@@ -99,10 +101,20 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        f, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+
     for batch in batches:
-        found = [np.unique(np.concatenate([w, s])) for _, w, s, _ in _features(batch)]
-        f, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+        found, held = [], 0
+        for _, w, s, _ in _features(batch):
+            found.append(np.unique(np.concatenate([w, s])))
+            held += len(found[-1])
+            if held > HELD_FEATURES:
+                yield counted(found)
+                found, held = [], 0
+        if found:
+            yield counted(found)
 
 
 def _counts_of(candidates) -> callable:
