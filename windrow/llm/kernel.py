@@ -88,7 +88,10 @@ def words(data: np.ndarray, off: np.ndarray, seps: np.ndarray = SPACE, lower: bo
     longest = int(counts.max())
     value *= _WEIGHT[pos & (_BLOCK - 1)]
     if longest > _BLOCK:
-        value *= _random64(14, longest // _BLOCK + 1)[pos >> 12]
+        # a word's first block keeps its weights, so that its hash does not depend on its neighbours
+        factor = _random64(14, longest // _BLOCK + 1)
+        factor[0] = 1
+        value *= factor[pos >> 12]
     value[gap[at[0] :]] = 0
     return mix(np.add.reduceat(value, at - at[0])), np.searchsorted(at, rel), at
 
