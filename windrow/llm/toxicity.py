@@ -34,8 +34,8 @@ from windrow.llm.shared import drop_stored, stored, table, without_ids
 FOLDS = 5
 #: Largest margin, and bins of the histograms that calibrate the cut.
 MARGIN, BINS = 20.0, 2_000
-#: Rows of the classifier's sample, and candidates and features kept by the induction.
-FIT_ROWS, CANDIDATES, FEATURES = 20_000, 20_000, 2_048
+#: Rows of the classifier's sample, and features kept by the induction.
+FIT_ROWS, FEATURES = 20_000, 2_048
 #: Features that a worker holds before it counts them.
 HELD_FEATURES = 1 << 20
 #: Byte lengths of word beginnings that are features beside whole words.
@@ -100,59 +100,45 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return at[ordered[at] == values]
 
 
-def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        f, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clean and toxic texts with each feature, partially counted."""
 
+    def counted(found: tuple[list[np.ndarray], list[np.ndarray]]) -> pa.RecordBatch:
+        both = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
+        f, at = np.unique(np.concatenate(both), return_inverse=True)
+        n = [np.bincount(x, minlength=len(f)).astype(np.int64) for x in np.split(at, [len(both[0])])]
+        return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["feature", "clean", "toxic"])
+
+    found, held = ([], []), 0
     for batch in batches:
-        found, held = [], 0
-        for _, w, s, _ in _features(batch):
-            found.append(np.unique(np.concatenate([w, s])))
-            held += len(found[-1])
+        toxic = np.asarray(batch.column("toxic"), np.int64)
+        for i, w, s, _ in _features(batch):
+            found[toxic[i]].append(np.unique(np.concatenate([w, s])))
+            held += len(w) + len(s)
             if held > HELD_FEATURES:
                 yield counted(found)
-                found, held = [], 0
-        if found:
-            yield counted(found)
-
-
-def _counts_of(candidates) -> callable:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = candidates.value
-        total = np.zeros((2, len(wanted)), np.int64)
-        for batch in batches:
-            toxic = np.asarray(batch.column("toxic"), np.int64)
-            for i, w, s, _ in _features(batch):
-                for part in (w, s):
-                    total[toxic[i]] += np.bincount(_within(part, wanted), minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(wanted))), pa.array(total[0]), pa.array(total[1])], names=["j", "clean", "toxic"])
-
-    return of
+                found, held = ([], []), 0
+    if held:
+        yield counted(found)
 
 
 def induced(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature hashes, log-odds, is a stem-strength word) learnt from ``train(doc_id, text, toxic)``.
 
-    Every labelled row counts; of equal texts one does.  At most CANDIDATES
-    hashes reach the driver.
+    Every labelled row counts; of equal texts one does.  All features are
+    counted and held against the bounds where they are; the best FEATURES
+    reach the driver.
     """
-    sc = train.sparkSession.sparkContext
     once = train.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("one")).select("one")
     rows = train.join(once.distinct(), train["doc_id"] == F.col("one"), "left_semi")
-    counts = rows.groupBy("toxic").count().collect()
-    n = {int(r["toxic"]): r["count"] for r in counts}
-    top = rows.where("toxic = 1").select("text").mapInArrow(_toxic_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
-    top = top.orderBy(F.desc("n"), "feature").limit(CANDIDATES).toArrow()
-    wanted = np.sort(np.asarray(top["feature"], np.int64).view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
-    got = rows.select("text", "toxic").mapInArrow(_counts_of(sc.broadcast(wanted)), "j long, clean long, toxic long").groupBy("j").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    clean, toxic = np.zeros(len(wanted)), np.zeros(len(wanted))
-    j = np.asarray(got["j"], np.int64)
-    clean[j], toxic[j] = np.asarray(got["clean"], float), np.asarray(got["toxic"], float)
-    odds = np.log((toxic + 0.3) / (n.get(1, 0) + 1)) - np.log((clean + 0.3) / (n.get(0, 0) + 1))
-    keep = np.flatnonzero((odds >= MIN_LOG_ODDS) & (toxic >= MIN_DOCS) & (toxic >= MIN_PRECISION * (toxic + clean + 2)))
-    keep = np.sort(keep[np.argsort(-(odds[keep] * np.sqrt(toxic[keep])), kind="stable")[:FEATURES]])
-    return wanted[keep], odds[keep], toxic[keep] / max(1, n.get(1, 0))
+    n = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
+    counts = rows.select("text", "toxic").mapInArrow(_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.3) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.3) / (n.get(0, 0) + 1))
+    good = counts.where(F.col("toxic") >= MIN_DOCS).where(F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean") + 2)).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
+    top = good.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(FEATURES).toArrow()
+    features = np.asarray(top["feature"], np.int64).view(np.uint64)
+    order = np.argsort(features)
+    return features[order], np.asarray(top["odds"], float)[order], np.asarray(top["toxic"], float)[order] / max(1, n.get(1, 0))
 
 
 def _votes(lex: int, words: np.ndarray, stems: np.ndarray, share_w: np.ndarray, odds_w: np.ndarray, n_words: int, masked: int, address: int) -> list[int]:
