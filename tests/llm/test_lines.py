@@ -28,6 +28,32 @@ def test_shifted_passage_is_removed_but_for_its_first_place(spark):
     assert [x for x in b if x not in set(passage)] == [x for x in out[2] if x not in set(passage)]
 
 
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    r = random.Random(6)
+    own = lambda: "\n".join(f"own{r.randint(0, 10**9)} line" for _ in range(40))
+    shared_part = "\n".join(f"shared {j}" for j in range(40))
+    for name in (None, 7):
+        plain = [own() for _ in range(12)]
+        rows = [(name, t) for t in plain] + [(name, shared_part)] * 2 + [(name, shared_part + "\n" + t) for t in plain]
+        out = [x["text"] for x in ld.cleaned(docs(spark, rows)).collect()]
+        assert len(out) == len(rows)
+        left = "\n".join(out)
+        # a unique line is never lost
+        assert all(line in left for t in plain for line in t.split("\n"))
+        assert all(f"shared {j}\n" in left + "\n" for j in range(40))
+        # what is repeated still goes
+        assert left.count("shared 20\n") < 14
+
+
+def test_removed_chunks_are_counted_once(spark, tmp_path):
+    text = "\n".join(f"line {j}" for j in range(40))
+    spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {x["doc_id"]: x for x in ld.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert rows[1]["removed_chunks"] == 0
+    assert rows[2]["removed_chunks"] == len(rows[2]["removed"].split(",")) > 0
+    assert rows[2]["removed_lines"] <= rows[2]["n_lines"] == 40
+
+
 def test_awkward_lines(spark):
     two = "x one\ny two\nz three"
     rows = [(1, two), (2, two), (3, None), (4, ""), (5, "\n\n"), (None, two), (6, "single"), (6, "single"), (7, "a\n" * 5000)]

@@ -32,17 +32,22 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def text_id(text: Column) -> Column:
+    """Tells rows apart that share a doc_id but not the text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs(row_id, text)`` as ``row_id, chunk_no, n_lines, chunk`` in order; the chunks of a text join to it by line feeds."""
-    lined = docs.select("row_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    hashed = lined.select("row_id", "lines", F.transform("lines", _line_hash).alias("h"))
+    """Rows of ``docs(row_id, text)`` as ``row_id, text_id, chunk_no, n_lines, chunk`` in order; the chunks of a text join to it by line feeds."""
+    lined = docs.select("row_id", text_id(F.col("text")).alias("text_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    hashed = lined.select("row_id", "text_id", "lines", F.transform("lines", _line_hash).alias("h"))
     rolled = "CAST(aggregate(slice(h, greatest(i - {w} + 1, 1), least(i, {w})), 0L, (a, x) -> (a * {b} + x) % {p}) AS BIGINT)".format(w=WINDOW, b=_BASE, p=_PRIME)
     # the explode keeps the hashes from being computed anew for every line
     ends = f"filter(sequence(1, size(h)), i -> i = size(h) OR (i >= {WINDOW} AND {rolled} % {DIVISOR} = 0))"
-    cut = hashed.select("row_id", "lines", F.expr(ends).alias("ends"), F.size("h").alias("n"))
-    cut = cut.select("row_id", "lines", "n", F.posexplode(F.expr("transform(ends, (e, k) -> struct(if(k = 0, 1, ends[k - 1] + 1) AS a, e AS e))")).alias("chunk_no", "at"))
+    cut = hashed.select("row_id", "text_id", "lines", F.expr(ends).alias("ends"), F.size("h").alias("n"))
+    cut = cut.select("row_id", "text_id", "lines", "n", F.posexplode(F.expr("transform(ends, (e, k) -> struct(if(k = 0, 1, ends[k - 1] + 1) AS a, e AS e))")).alias("chunk_no", "at"))
     n = (F.col("at.e") - F.col("at.a") + 1).cast("int")
-    return cut.select("row_id", F.col("chunk_no").cast("int").alias("chunk_no"), n.alias("n_lines"), F.array_join(F.slice("lines", F.col("at.a"), n), "\n").alias("chunk"))
+    return cut.select("row_id", "text_id", F.col("chunk_no").cast("int").alias("chunk_no"), n.alias("n_lines"), F.array_join(F.slice("lines", F.col("at.a"), n), "\n").alias("chunk"))
 
 
 def _digest() -> Column:
@@ -50,16 +55,17 @@ def _digest() -> Column:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``row_id, chunk_no, n_lines`` of the multi-line chunks to remove: all byte-equal occurrences but the first by (row_id, chunk_no)."""
+    """``row_id, text_id, chunk_no, n_lines`` of the multi-line chunks to remove: all byte-equal occurrences but the first by (row_id, text_id, chunk_no)."""
     many = _chunks(docs).where(F.col("n_lines") >= MIN_LINES).withColumn("digest", _digest())
-    first = F.min(F.struct("row_id", "chunk_no")).alias("first")
-    twice = many.groupBy("digest").agg(F.count("*").alias("c"), first).where("c > 1").select("digest", F.col("first.row_id").alias("first_row"), F.col("first.chunk_no").alias("first_no"))
+    place = F.struct("row_id", "text_id", "chunk_no")
+    twice = many.groupBy("digest").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("digest", "first")
     twice = stored(twice, "digests")
     # a merge join at every size: chunk texts move once, in proportion to the input, and hot digests may be split
     again = stored(many.hint("merge").join(twice, "digest"), "chunks")
-    keepers = again.where("row_id = first_row and chunk_no = first_no").select("digest", F.col("chunk").alias("kept"))
-    same = again.where("not (row_id = first_row and chunk_no = first_no)").join(keepers, "digest").where("chunk = kept")
-    out = stored(same.select("row_id", "chunk_no", "n_lines"), "repeats")
+    # rows that are repeated whole hold the first place several times
+    keepers = again.where(place == F.col("first")).groupBy("digest").agg(F.min("chunk").alias("kept"))
+    same = again.where(place != F.col("first")).join(keepers, "digest").where("chunk = kept")
+    out = stored(same.select("row_id", "text_id", "chunk_no", "n_lines"), "repeats")
     drop_stored(twice, again)
     return out
 
@@ -75,13 +81,14 @@ def cleaned(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     A null text stays null, an empty one empty; a text that loses all its
     chunks becomes empty, or its row goes if ``drop_emptied``.  ``n_chars``,
     where present, follows the text.
-    Rows that share a doc_id (or have none) count as one document: a chunk
-    is removed by its place in it, from the rows that hold it there.
+    Rows that share both doc_id and text count as one document; rows that
+    share a doc_id (or have none) and differ in text are documents of their
+    own.
     """
     repeats = repeated_chunks(_numbered(docs))
-    gone = repeats.groupBy("row_id").agg(F.sort_array(F.collect_set("chunk_no")).alias("_gone")).withColumnRenamed("row_id", "_row")
+    gone = repeats.groupBy(F.col("row_id").alias("_row"), F.col("text_id").alias("_text")).agg(F.sort_array(F.collect_set("chunk_no")).alias("_gone"))
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(9223372036854775807))
-    both = docs.hint("merge").join(gone, key == gone["_row"], "left")
+    both = docs.hint("merge").join(gone, (key == gone["_row"]) & (text_id(docs["text"].cast("string")) == gone["_text"]), "left")
     hit = both.where("_row is not null")
     same = both.where("_row is null").select(*(docs[c] for c in docs.columns))
     # only rows that lose chunks are cut again
@@ -102,11 +109,11 @@ def cleaned(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines, chunks, removed chunks and lines of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    repeats = repeated_chunks(_numbered(docs))
-    gone = repeats.groupBy("row_id").agg(F.count("*").alias("removed_chunks"), F.sum("n_lines").cast("long").alias("removed_lines"), F.sort_array(F.collect_set("chunk_no")).alias("nos"))
+    repeats = repeated_chunks(_numbered(docs)).distinct()
+    gone = repeats.groupBy("row_id", "text_id").agg(F.count("*").alias("removed_chunks"), F.sum("n_lines").cast("long").alias("removed_lines"), F.sort_array(F.collect_set("chunk_no")).alias("nos"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    rows = docs.select("doc_id", lines.alias("n_lines"))
-    out = rows.join(gone, rows["doc_id"] == gone["row_id"], "left")
+    rows = docs.select("doc_id", lines.alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(9223372036854775807)).alias("row_id"), text_id(F.col("text").cast("string")).alias("text_id"))
+    out = rows.join(gone, ["row_id", "text_id"], "left")
     return out.select("doc_id", "n_lines", F.coalesce("removed_chunks", F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"), F.coalesce(F.array_join(F.col("nos").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
