@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -63,6 +64,25 @@ def test_short_items_and_awkward_rows(spark):
     assert left.where("doc_id is null").count() == 2
 
 
+def test_short_items_with_unequal_words(spark):
+    """Every choice of unequal words that an item of 3 to 10 words may have, and one or two of 11 and 12 words at the ends."""
+    items, rows, want = [], [], set()
+    for n in range(3, 13):
+        w = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(w)))
+        may = n - -(-n * 4 // 5) if n >= dc.TOLERANT else 0
+        for gone in itertools.combinations(range(n), may) if n < dc.SPAN else [(0,), (n - 1,)]:
+            for more in ([], [next(j for j in range(n) if j not in gone)] * (n < dc.SPAN)):
+                t = ["zz" if j in gone or j in more else x for j, x in enumerate(w)]
+                if not more:
+                    want.add((len(rows), n))
+                rows.append((len(rows), " ".join(["pad"] * 5 + t + ["pad"] * 5)))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.overlaps(d, b).collect()}
+    assert got >= want
+    assert all(rows[i][1].count("zz") <= n * 0.2 and n >= dc.SHORTEST for i, n in got)
+
+
 def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert dc.overlaps(docs(spark), b).count() == 0

@@ -14,6 +14,7 @@ negatives, and its false positives find no partner in the join.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from windrow.llm.shared import drop_stored, stored, table, without_ids
 #: Fixed masks: 1 keeps a word, 0 ignores it.
 MASKS = ("11101001011", "11011100101", "10110011101", "1111111", "1110111", "11011011")
 SPAN = 11
-#: Items of fewer words than SPAN, the longest mask, are sought as they are, those below SHORTEST not at all.
-SHORTEST = 6
+#: Items of fewer words than SPAN, the longest mask, have masks of their own length (:func:`covers`); those below SHORTEST are not sought, those below TOLERANT only as they are.
+SHORTEST, TOLERANT = 3, 6
 #: An overlap counts from so many words (or the whole item, if shorter) and this share of equal words.
 MIN_WORDS, MIN_EQUAL = 12, 0.8
 #: Score of an unequal word against 1 of an equal one: MIN_EQUAL / (1 - MIN_EQUAL).
@@ -60,16 +61,32 @@ def _masked(h: np.ndarray, mask: str, role: int) -> np.ndarray:
     return kernel.mix(out + np.uint64(role))
 
 
+def covers(n: int) -> tuple[str, ...]:
+    """Masks for an item of ``n`` < SPAN words: whatever words it may have unequal, one mask ignores them all.
+
+    Blocks of words are ignored one or two at a time, as many as words may be
+    unequal; five words or more are kept.
+    """
+    if n < TOLERANT:
+        return ("1" * n,)
+    unequal = n - -(-n * 4 // 5)
+    blocks = np.array_split(np.arange(n), 5 if unequal > 1 else -(-n // max(1, n - 6)))
+    out = []
+    for ignored in itertools.combinations(blocks, unequal):
+        gone = set(np.concatenate(ignored).tolist())
+        out.append("".join("0" if j in gone else "1" for j in range(n)))
+    return tuple(out)
+
+
 def seeds(h: np.ndarray, lengths: tuple[int, ...], whole: bool) -> Iterator[tuple[np.ndarray, int]]:
-    """(hashes by start word, span) for each mask; ``whole`` texts below SPAN words give the seed of their own length only."""
-    if whole and len(h) < SPAN:
-        if len(h) in lengths:
-            yield _masked(h, "1" * len(h), 100 + len(h)), len(h)
-        return
-    for role, mask in enumerate(MASKS):
-        yield _masked(h, mask, role), len(mask)
-    for n in () if whole else lengths:
-        yield _masked(h, "1" * n, 100 + n), n
+    """(hashes by start word, span) for each mask; ``whole`` texts below SPAN words give the seeds of their own length only."""
+    short = whole and len(h) < SPAN
+    if not short:
+        for role, mask in enumerate(MASKS):
+            yield _masked(h, mask, role), len(mask)
+    for n in lengths if not whole else (len(h),) if short and len(h) in lengths else ():
+        for j, mask in enumerate(covers(n)):
+            yield _masked(h, mask, 100 + 16 * n + j), n
 
 
 def _item_words(benchmark: DataFrame) -> DataFrame:
@@ -177,9 +194,17 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = max(0, shift), min(len(x), shift + len(y))
             if lo >= hi:
                 continue
-            start, end, same = best_stretch(x[lo:hi] == y[lo - shift : hi - shift])
+            equal = x[lo:hi] == y[lo - shift : hi - shift]
+            if len(y) <= MIN_WORDS:
+                # a short item counts as a whole, wherever its unequal words are
+                at = np.flatnonzero(equal)
+                if len(at) < (len(y) if len(y) < TOLERANT else MIN_EQUAL * len(y)):
+                    continue
+                start, end, same = int(at[0]), int(at[-1]) + 1, len(at)
+            else:
+                start, end, same = best_stretch(equal)
             n = end - start
-            if n >= min(MIN_WORDS, len(y)) and same >= MIN_EQUAL * n:
+            if len(y) <= MIN_WORDS or (n >= MIN_WORDS and same >= MIN_EQUAL * n):
                 rows.append((doc, item, base + lo + start, n, same))
         cols = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "first_word", "n_words", "n_equal"])
