@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -69,6 +70,26 @@ def test_entropy_spans_and_allow_list():
     assert sc.entropy_spans(f"value {key} end", [(0, 0, 40)]) == []
 
 
+@pytest.mark.parametrize(
+    ("kind", "letters"),
+    [(6, "abcdefghijklmnopqrstuvwxyz0123456789"), (7, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), (5, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")],
+)
+def test_keys_of_one_case_or_without_digits(kind, letters):
+    r = random.Random(kind)
+    keys = ["".join(r.choice(letters) for _ in range(32)) for _ in range(200)]
+    got = [sc.entropy_spans(f"value {k} end", []) for k in keys]
+    assert sum(bool(g) and all(x[1] == kind for x in g) for g in got) >= 0.95 * len(keys)
+
+
+@pytest.mark.parametrize("plain", ["how-to-train-your-dragon-in-ten-days", "/usr/local/share/applications/thing", "MAX_CONNECTION_RETRY_COUNT_DEFAULT", "getElementsByClassNameAndTagName", "2024-11-27-1234-5678-9012-3456", "31415926535897932384626433"])
+def test_slugs_constants_and_numbers_are_no_keys(plain):
+    assert sc.entropy_spans(f"see {plain} now", []) == []
+
+
+def test_a_run_longer_than_the_window():
+    assert sc.entropy_spans("a" * 30 + "12", []) == []
+
+
 def test_awkward_secrets(spark):
     rows = sc.scanned(docs(spark, [(1, None), (2, ""), (None, "token=abcdef"), (2, "😀token=abcdef"), (3, "a" * 300_000)])).collect()
     assert sorted((r["doc_id"] or 0, r["base"]) for r in rows) == [(0, "assign:0:12"), (1, ""), (2, ""), (2, "assign:1:13"), (3, "hex:0:300000")]

@@ -27,21 +27,23 @@ _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_token")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_token", "entropy_lower", "entropy_upper")
 #: Characters of the sliding window, and bits a character that it must exceed, by class.
 WINDOW = 20
-THRESHOLD = {"entropy_hex": 3.0, "entropy_base64": 3.75, "entropy_token": 3.75}
+THRESHOLD = {"entropy_hex": 3.0, "entropy_base64": 3.75, "entropy_token": 3.75, "entropy_lower": 3.6, "entropy_upper": 3.6}
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 _HEX_CLASS = re.compile(r"[0-9A-Fa-f]+\Z")
 _TOKEN_CLASS = re.compile(r"[A-Za-z0-9_-]+\Z")
-#: Strings that are never secret: sample keys, UUIDs, plain runs, digests that are named as such.
+#: Strings that are never secret: sample keys, UUIDs, plain runs, plain numbers, digests that are named as such.
 ALLOW = (
     re.compile(r"EXAMPLE|example|placeholder|changeme|XXXX|xxxx"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z"),
     re.compile(r"0123456789|abcdefghij|ABCDEFGHIJ|qwertyuiop"),
+    re.compile(r"\A[0-9]+\Z"),
 )
 ALLOW_BEFORE = re.compile(r"(?:sha\d*|md5|integrity|checksum|digest|commit|etag)[\s\"'=:-]{0,4}\Z", re.I)
-_LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+#: A character enters before one leaves.
+_LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,13 +92,14 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        digits = sum(map(str.isdigit, s))
-        if digits < 2 or digits == len(s) or any(a.search(s) for a in ALLOW) or ALLOW_BEFORE.search(text, max(0, m.start() - 16), m.start()):
+        if any(a.search(s) for a in ALLOW) or ALLOW_BEFORE.search(text, max(0, m.start() - 16), m.start()):
             continue
         if _HEX_CLASS.match(s):
             kind = 3
-        elif s.lower() == s or s.upper() == s:
-            continue  # a slug or constant: one letter case
+        elif s.lower() == s:
+            kind = 6  # of letters only small ones: base36
+        elif s.upper() == s:
+            kind = 7  # of letters only capital ones: base32
         else:
             kind = 5 if _TOKEN_CLASS.match(s) else 4
         for lo, hi in window_spans(s, THRESHOLD[KINDS[kind]]):
