@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from tests.llm.helpers import docs, empty
 from tests.oracle import assert_same
@@ -90,3 +91,23 @@ def test_license_blocks(spark):
     assert got[None, 5]["labels"] == "mit"
     assert got[7, 50_000]["score"] == 0.0
     assert lc.scanned(empty(spark)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    def wrapped(text, width, prefix=""):
+        return "\n".join(prefix + x for x in textwrap.wrap(text, width))
+
+    rows, want = [], {}
+    for label, text in lc.TEMPLATES:
+        for width in (24, 40, 72):
+            for prefix in ("", " * ", "# "):
+                want[len(rows)] = label
+                rows.append((len(rows), f"Some intro\n\n{wrapped('Copyright: some people. ' + text + ' Use it well.', width, prefix)}\n\nThe end"))
+    far = len(rows)
+    words = lc.TEMPLATES[1][1].split()
+    rows.append((far, "\n".join(f"{w} and then many other plain words before the next" for w in words)))
+    rows.append((far + 1, "\n\n".join(words)))
+    got = {r["doc_id"]: r for r in lc.scanned(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] >= 0.8 for i, label in want.items())
+    assert (got[far]["labels"], got[far]["score"]) == (got[far + 1]["labels"], got[far + 1]["score"]) == ("", 0.0)

@@ -6,7 +6,11 @@ the template's distinct tokens that occur in it reaches the threshold.  Such
 a block must hold one of the template's first ``size - need + 1`` tokens
 (prefix filter), at least ``need`` template tokens in all (length filter), and
 enough tokens after the matching positions (positional filter); what passes is
-verified by an intersection.  All of it is DataFrame functions.  The templates
+verified by an intersection.
+
+A notice that is wrapped over lines is no such block.  Where a sentence runs
+over several lines, all its stretches of DEN / NUM as many words as a template
+has are held against the template as well.  All of it is DataFrame functions.  The templates
 are constants of the code, so their tables have a fixed size.
 """
 
@@ -23,6 +27,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Blocks are lines, and sentences within lines.
 _BLOCK_END = r"\n+|(?<=[.!?;])[ \t\r]+"
+#: Sentences of paragraphs, whose line feeds are within; blank lines part paragraphs.
+_SENTENCE_END = r"\n[ \t\r]*\n[ \t\r\n]*|(?<=[.!?;])[ \t\r\n]+"
 
 #: Fixed phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -66,11 +72,11 @@ def _literal(tokens: Sequence[str]) -> Column:
     return F.array(*map(F.lit, tokens)) if tokens else F.array().cast("array<string>")
 
 
-def _tokens(spark, text: str) -> list[str]:
+def normal_words(text: str) -> list[str]:
     out, word = [], ""
     for ch in text.lower() + " ":
         if ch.isascii() and not ch.isalnum():
-            if word and word not in out:
+            if word:
                 out.append(word)
             word = ""
         else:
@@ -78,6 +84,10 @@ def _tokens(spark, text: str) -> list[str]:
     return out
 
 
+def _tokens(spark, text: str) -> list[str]:
+    return list(dict.fromkeys(normal_words(text)))
+
+
 def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row.
 
@@ -100,7 +110,8 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, n
     for number, (label, s) in enumerate(sets):
         s = sorted(s, key=rank.get)
         need = -(-len(s) * num // den)
-        full.append((number, label, s, need))
+        reach = -(-len(normal_words(templates[number][1])) * den // num)
+        full.append((number, label, s, need, reach))
         prefix += [(t, number, i, len(s), need) for i, t in enumerate(s[: len(s) - need + 1])]
     rare = sorted({t for t, *_ in prefix}, key=rank.get)
 
@@ -109,6 +120,8 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, n
     base = F.array_compact(F.array(*(F.when(h, F.lit(label)) for h, (_, label) in zip(hits, PHRASES, strict=True))))
     block_words = "split(trim(regexp_replace(translate(b, '{u}', '{l}'), '{g}', ' ')), ' ', -1)".format(u=_UPPER, l=_LOWER, g=_GAP.replace("\\", "\\\\"))
     some = F.when(F.arrays_overlap("words", _literal(rare)), F.split("text", _BLOCK_END, -1))
+    lines = F.filter(F.split("text", _SENTENCE_END, -1), lambda b: F.contains(F.trim(b, F.lit(" \t\r\n")), F.lit("\n")))
+    sentences = F.when(F.arrays_overlap("words", _literal(rare)), lines)
     read = worded.select(
         "doc_id",
         F.when(F.col("padded") == "  ", F.lit(0)).otherwise(F.size("words")).cast("long").alias("n_words"),
@@ -117,21 +130,28 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, n
         F.greatest(*(_place(p, True) for p, _ in PHRASES)).alias("last_word"),
         F.array_sort(base).alias("base"),
         some.alias("blocks"),
+        sentences.alias("wrapped"),
     )
-    read = stored(read.withColumn("blocks", F.expr(f"transform(blocks, b -> {block_words})")).withColumn("blocks", F.filter("blocks", lambda w: F.arrays_overlap(w, _literal(rare)))), "scan")
+    for name in ("blocks", "wrapped"):
+        read = read.withColumn(name, F.expr(f"transform({name}, b -> {block_words})")).withColumn(name, F.filter(name, lambda w: F.arrays_overlap(w, _literal(rare))))
+    read = stored(read, "scan")
 
     ordered = F.array_intersect(_literal(order), F.col("w"))
     blocks = read.select("doc_id", F.posexplode("blocks").alias("block_no", "w")).select("doc_id", "block_no", ordered.alias("bw"))
     p = F.broadcast(spark.createDataFrame(prefix, "token string, template int, i int, size int, need int"))  # constants of the code
-    t = F.broadcast(spark.createDataFrame(full, "template int, label string, tokens array<string>, need int"))
+    t = F.broadcast(spark.createDataFrame(full, "template int, label string, tokens array<string>, need int, reach int"))
     rows = blocks.select("doc_id", "bw", F.posexplode("bw").alias("j", "token")).join(p, "token")
     m = F.size("bw")
     fits = (m >= F.col("need")) & (F.least("i", "j") + 1 + F.least(F.col("size") - F.col("i") - 1, m - F.col("j") - 1) >= F.col("need"))
     pairs = rows.where(fits).select("doc_id", "bw", "template").distinct().join(t, "template")
     common = F.size(F.array_intersect("tokens", "bw"))
     found = pairs.where(common >= F.col("need")).select("doc_id", "label", (common / F.size("tokens")).alias("share"))
-    best = found.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")).withColumnRenamed("doc_id", "found_id")
-    out = read.drop("blocks").join(best, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    # a sentence of many lines may hold all words of a template far apart: stretches of the template's length decide
+    sentence = read.select("doc_id", F.explode("wrapped").alias("w")).join(t, F.size(F.array_intersect("tokens", "w")) >= F.col("need"))
+    most = F.expr("array_max(transform(sequence(1, greatest(size(w) - reach + 1, 1)), i -> size(array_intersect(tokens, slice(w, i, reach)))))")
+    stretch = sentence.select("doc_id", "label", "tokens", "need", most.alias("most")).where("most >= need").select("doc_id", "label", (F.col("most") / F.size("tokens")).alias("share"))
+    best = found.union(stretch).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")).withColumnRenamed("doc_id", "found_id")
+    out = read.drop("blocks", "wrapped").join(best, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("share", F.lit(0.0)).alias("score"))
 
