@@ -62,3 +62,16 @@ def test_bodies_and_empty(spark):
     assert got[6, "resolved"] == "Y"
     assert got[4, "mismatch"] is None
     assert rv.resolved(records(spark).limit(0)).count() == 0
+
+
+def test_ties_do_not_depend_on_partitions(spark):
+    full = {"etag": '"1"'}
+    rows = [(1, "http://a/", 5, True, full, "x"), (2, "http://a/", 7, True, {"etag": '"2"'}, "y"), (2, "http://a/", 7, False, {"etag": '"1"'}, None), (2, "http://a/", 7, False, {"etag": '"9"'}, None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = sorted((r["outcome"], r["resolved_to"]) for r in rv.resolved(spark.createDataFrame(rows, SCHEMA)).collect() if r["record_id"] == 2)
+            assert got == [("full", None), ("mismatch", None), ("resolved", 1)], n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -73,10 +73,9 @@ def resolved(records: DataFrame) -> DataFrame:
     before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("carried is not null").drop("last")
     # the carried key is a pair of numbers; the response it names is fetched by an equi-join
-    inside = Window.partitionBy(*key).orderBy("ts", "record_id", F.col("is_full").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # of equal (ts, record_id) revisits come first, so that no full response of their own key is before them; equal keys share a range partition
+    inside = Window.partitionBy(*key).orderBy("ts", "record_id", "is_full").rowsBetween(Window.unboundedPreceding, -1)
     near = cut.withColumn("near", F.last(F.when(F.col("is_full") & ok, F.struct("ts", "record_id")), ignorenulls=True).over(inside))
-    # equal (ts, record_id) is not earlier
-    near = near.withColumn("near", F.when((F.col("near.ts") < F.col("ts")) | (F.col("near.record_id") < F.col("record_id")), F.col("near")))
     aimed = near.join(carried, key, "left").withColumn("aim", F.when(~F.col("is_full") & ok, F.coalesce("near", "carried")))
     aimed = aimed.select("record_id", "canonical_url", "is_full", "headers", "digest", F.col("aim.ts").alias("a_ts"), F.col("aim.record_id").alias("a_id"))
     fulls = cut.where(F.col("is_full") & ok).groupBy(F.col("canonical_url").alias("f_url"), F.col("ts").alias("f_ts"), F.col("record_id").alias("f_id")).agg(F.min_by(body, F.coalesce("digest", F.lit(""))).alias("full"))
