@@ -93,6 +93,12 @@ def test_license_blocks(spark):
     assert lc.scanned(empty(spark)).count() == 0
 
 
+def test_every_row_is_judged_by_its_own_text(spark):
+    rows = [(None, "Released under the MIT License."), (None, "nothing at all here"), (7, "All rights reserved."), (7, "nothing either"), (7, None)]
+    got = sorted((r["n_words"], r["labels"], r["score"]) for r in lc.scanned(docs(spark, rows)).collect())
+    assert got == [(0, "", 0.0), (2, "", 0.0), (3, "reserved", 1.0), (4, "", 0.0), (5, "mit", 1.0)]
+
+
 def test_wrapped_notices(spark):
     def wrapped(text, width, prefix=""):
         return "\n".join(prefix + x for x in textwrap.wrap(text, width))
@@ -106,8 +112,35 @@ def test_wrapped_notices(spark):
     far = len(rows)
     words = lc.TEMPLATES[1][1].split()
     rows.append((far, "\n".join(f"{w} and then many other plain words before the next" for w in words)))
-    rows.append((far + 1, "\n\n".join(words)))
+    rows.append((far + 1, "\n\n".join(reversed(words))))  # a block is a set: order and line feeds do not matter
     got = {r["doc_id"]: r for r in lc.scanned(docs(spark, rows)).collect()}
     assert len(got) == len(rows)
     assert all(label in got[i]["labels"].split(",") and got[i]["score"] >= 0.8 for i, label in want.items())
-    assert (got[far]["labels"], got[far]["score"]) == (got[far + 1]["labels"], got[far + 1]["score"]) == ("", 0.0)
+    assert (got[far]["labels"], got[far]["score"]) == ("", 0.0)
+    assert (got[far + 1]["labels"], got[far + 1]["score"]) == ("mit", 1.0)
+
+
+def test_blocks_equal_brute_force(spark):
+    r = random.Random(11)
+    tokens = sorted({w for _, t in lc.TEMPLATES for w in lc.normal_words(t)})
+    rows = []
+    for i in range(300):
+        words = lc.normal_words(r.choice(lc.TEMPLATES)[1])
+        out = []
+        for w in words:  # drop, replace, repeat and pad words of a template
+            x = r.random()
+            out += [] if x < 0.1 else [r.choice(tokens)] if x < 0.2 else [w, "plain"] if x < 0.3 else [w, w] if x < 0.35 else [w]
+        rows.append((i, " \n"[r.random() < 0.2].join([*r.choices(tokens, k=r.randint(0, 20)), *out, *r.choices(tokens, k=r.randint(0, 20))])))
+    got = {x["doc_id"]: x for x in lc.scanned(docs(spark, rows)).collect()}
+    some = 0
+    for i, text in rows:
+        words, labels, score = lc.normal_words(text), set(filter(None, got[i]["base_labels"].split(","))), 0.0
+        for label, t in lc.TEMPLATES:
+            want, need, reach = lc._sizes(t, lc.NUM, lc.DEN)
+            most = max(len(set(words[j : j + reach]) & set(want)) for j in range(len(words)))
+            if most >= need:
+                labels.add(label)
+                score = max(score, most / len(want))
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), score)
+        some += score > 0
+    assert some > 50
