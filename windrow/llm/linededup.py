@@ -1,16 +1,19 @@
 """Dedup of repeated multi-line chunks with content-defined boundaries.
 
-A rolling hash over the hashes of ``WINDOW`` consecutive lines ends a chunk
-where it is 0 modulo ``DIVISOR``.  Whether a line ends a chunk depends on that
-line and those just before it only, so boundaries move along when lines are
-put in or taken out elsewhere.  Chunks of two lines or more that occur more
-than once in the corpus are removed but for their first occurrence, after
-their bytes have been compared with those of the first.
+A rolling hash runs over the hashes of ``WINDOW`` consecutive lines.  Each of
+its first ``FAMILIES`` bits cuts the text on its own: the first half of the
+bits after the lines that were hashed, the other half before them.  Whether a
+place is a boundary depends on the lines next to it only, so boundaries move
+along when lines are put in or taken out elsewhere, and a passage that is
+repeated between foreign lines is cut alike at both its ends by some of the
+families.  Lines of chunks of two lines or more that occur more than once in
+the corpus go, but for the chunk's first occurrence, after their bytes have
+been compared with those of the first.
 
 Everything is DataFrame functions: chunks are cut inside the row by array
 functions, occurrences are counted by a partially aggregated group-by on the
-chunk's digest, and only chunks whose digest repeats are shuffled with their
-text.
+chunk's 64-bit hash, and only lines of repeated chunks are shuffled with their
+text, once each.
 """
 
 from __future__ import annotations
@@ -20,16 +23,13 @@ from pyspark.sql import functions as F
 
 from windrow.llm.shared import drop_stored, stored, table
 
-#: Lines under the rolling hash; a chunk has DIVISOR lines on average.
-WINDOW, DIVISOR = 2, 4
+#: Lines under the rolling hash, and families of boundaries (half of them after the hashed lines, half before).
+WINDOW, FAMILIES = 2, 6
 #: Multiplier and modulus of the rolling hash.
 _BASE, _PRIME = 1_000_003, 2_147_483_647
 MIN_LINES = 2
-
-
-def _line_hash(line: Column) -> Column:
-    """28 bits of the line's MD5."""
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
+#: Orders documents without an id behind all others.
+_LAST = 9223372036854775807
 
 
 def text_id(text: Column) -> Column:
@@ -37,105 +37,126 @@ def text_id(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _row_id(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
+
+
+def _ends(family: int) -> str:
+    """Last lines of the family's chunks, from ``r``, the rolling hash of each line and its next."""
+    if family < FAMILIES // 2:
+        return f"filter(sequence(1, n), i -> i = n OR (i >= 2 AND (r[i - 2] >> {family}) % 2 = 1))"
+    return f"filter(sequence(1, n), i -> i = n OR (i <= n - 2 AND (r[i] >> {family}) % 2 = 1))"
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs(row_id, text)`` as ``row_id, text_id, chunk_no, n_lines, chunk`` in order; the chunks of a text join to it by line feeds."""
-    lined = docs.select("row_id", text_id(F.col("text")).alias("text_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    hashed = lined.select("row_id", "text_id", "lines", F.transform("lines", _line_hash).alias("h"))
-    rolled = "CAST(aggregate(slice(h, greatest(i - {w} + 1, 1), least(i, {w})), 0L, (a, x) -> (a * {b} + x) % {p}) AS BIGINT)".format(w=WINDOW, b=_BASE, p=_PRIME)
-    # the explode keeps the hashes from being computed anew for every line
-    ends = f"filter(sequence(1, size(h)), i -> i = size(h) OR (i >= {WINDOW} AND {rolled} % {DIVISOR} = 0))"
-    cut = hashed.select("row_id", "text_id", "lines", F.expr(ends).alias("ends"), F.size("h").alias("n"))
-    cut = cut.select("row_id", "text_id", "lines", "n", F.posexplode(F.expr("transform(ends, (e, k) -> struct(if(k = 0, 1, ends[k - 1] + 1) AS a, e AS e))")).alias("chunk_no", "at"))
-    n = (F.col("at.e") - F.col("at.a") + 1).cast("int")
-    return cut.select("row_id", "text_id", F.col("chunk_no").cast("int").alias("chunk_no"), n.alias("n_lines"), F.array_join(F.slice("lines", F.col("at.a"), n), "\n").alias("chunk"))
-
-
-def _digest() -> Column:
-    return F.md5(F.col("chunk").cast("binary"))
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``row_id, text_id, chunk_no, n_lines`` of the multi-line chunks to remove: all byte-equal occurrences but the first by (row_id, text_id, chunk_no)."""
-    many = _chunks(docs).where(F.col("n_lines") >= MIN_LINES).withColumn("digest", _digest())
-    place = F.struct("row_id", "text_id", "chunk_no")
-    twice = many.groupBy("digest").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("digest", "first")
-    twice = stored(twice, "digests")
-    # a merge join at every size: chunk texts move once, in proportion to the input, and hot digests may be split
-    again = stored(many.hint("merge").join(twice, "digest"), "chunks")
-    # rows that are repeated whole hold the first place several times
-    keepers = again.where(place == F.col("first")).groupBy("digest").agg(F.min("chunk").alias("kept"))
-    same = again.where(place != F.col("first")).join(keepers, "digest").where("chunk = kept")
-    out = stored(same.select("row_id", "text_id", "chunk_no", "n_lines"), "repeats")
-    drop_stored(twice, again)
+    """Rows of ``docs(row_id, text)`` as ``row_id, text_id, a, e, chunk``: first and last line of every chunk of MIN_LINES or more, and its hash."""
+    rows = docs.select("row_id", text_id(F.col("text")).alias("text_id"), F.transform(_lines(F.col("text")), lambda x: F.md5(x.cast("binary"))).alias("d"))
+    # generators keep hashes from being computed anew in each expression that reads them
+    rows = rows.select("row_id", "text_id", F.explode(F.array("d")).alias("d")).where(F.size("d") >= MIN_LINES)
+    hashed = F.transform("d", lambda x: F.conv(F.substring(x, 1, 7), 16, 10).cast("long"))
+    rows = rows.select("row_id", "text_id", "d", F.size("d").alias("n"), F.explode(F.array(hashed)).alias("h"))
+    rolled = f"zip_with(slice(h, 1, n - 1), slice(h, 2, n - 1), (x, y) -> (x * {_BASE} + y) % {_PRIME})"
+    rows = rows.select("row_id", "text_id", "d", "n", F.explode(F.array(F.expr(rolled))).alias("r"))
+    rows = rows.select("row_id", "text_id", "d", F.explode(F.array(*(F.expr(_ends(f)) for f in range(FAMILIES)))).alias("ends"))
+    spans = F.expr("transform(ends, (e, k) -> struct(if(k = 0, 1, ends[k - 1] + 1) AS a, e AS e))")
+    rows = rows.select("row_id", "text_id", "d", F.explode(F.filter(spans, lambda s: s["e"] - s["a"] >= MIN_LINES - 1)).alias("s"))
+    return rows.select("row_id", "text_id", F.col("s.a").alias("a"), F.col("s.e").alias("e"), F.xxhash64(F.slice("d", F.col("s.a"), F.col("s.e") - F.col("s.a") + 1)).alias("chunk"))
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """``row_id, text_id, gone``: numbers, from 1, of the lines to remove from each row of ``docs(row_id, text)`` that loses any.
+
+    They are the lines of all byte-equal occurrences of a chunk but the first
+    by (row_id, text_id, line).
+    """
+    found = stored(_chunks(docs).distinct(), "spans")  # families agree on some chunks; rows that are repeated whole count once
+    place = F.struct("row_id", "text_id", "a")
+    twice = stored(found.groupBy("chunk").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("chunk", "first"), "chunks")
+    # a merge join at every size, so that hot chunks may be split
+    again = found.hint("merge").join(twice, "chunk").where(place != F.col("first"))
+    # each line is held against its place in the first occurrence, the earliest if several chunks hold it
+    line = again.select("row_id", "text_id", F.explode(F.sequence("a", "e")).alias("i"), "a", "first")
+    source = F.struct(F.col("first.row_id").alias("row_id"), F.col("first.text_id").alias("text_id"), (F.col("first.a") + F.col("i") - F.col("a")).alias("i"))
+    later = stored(line.groupBy("row_id", "text_id", "i").agg(F.min(source).alias("of")), "later")
+    wanted = later.select("row_id", "text_id", "i", "of").union(later.select("of.row_id", "of.text_id", "of.i").distinct().select("row_id", "text_id", "i", F.lit(None).cast(later.schema["of"].dataType)))
+    wanted = wanted.groupBy("row_id", "text_id").agg(F.collect_list(F.struct("i", "of")).alias("w"))  # bounded by the text's lines
+    texts = docs.select("row_id", text_id(F.col("text")).alias("text_id"), "text")
+    cut = texts.hint("merge").join(wanted, ["row_id", "text_id"]).select("row_id", "text_id", _lines(F.col("text")).alias("lines"), F.explode("w").alias("w"))
+    lines = stored(cut.select("row_id", "text_id", F.col("w.i").alias("i"), F.col("w.of").alias("of"), F.element_at("lines", F.col("w.i")).alias("line")), "lines")
+    # rows that are repeated whole give their lines several times
+    firsts = lines.where("of is null").groupBy("row_id", "text_id", "i").agg(F.min("line").alias("kept"))
+    firsts = firsts.select(F.struct("row_id", "text_id", "i").alias("of"), "kept")
+    same = lines.where("of is not null").hint("merge").join(firsts, "of").where("line = kept")
+    out = stored(same.groupBy("row_id", "text_id").agg(F.sort_array(F.collect_set("i")).alias("gone")), "gone")
+    drop_stored(found, twice, later, lines)
     return out
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with the row_id that orders occurrences: the doc_id, nulls last."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(9223372036854775807)).alias("row_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(_row_id(docs).alias("row_id"), F.col("text").cast("string").alias("text"))
 
 
 def cleaned(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with the repeated chunks taken out of ``text``; all other columns stay.
+    """``docs`` with the lines of repeated chunks taken out of ``text``; all other columns stay.
 
     A null text stays null, an empty one empty; a text that loses all its
-    chunks becomes empty, or its row goes if ``drop_emptied``.  ``n_chars``,
-    where present, follows the text.
-    Rows that share both doc_id and text count as one document; rows that
-    share a doc_id (or have none) and differ in text are documents of their
-    own.
+    lines becomes empty, or its row goes if ``drop_emptied``.  ``n_chars``,
+    where present, follows the text.  Rows that share both doc_id and text
+    count as one document and stay alike; rows that share a doc_id (or have
+    none) and differ in text are documents of their own.
     """
-    repeats = repeated_chunks(_numbered(docs))
-    gone = repeats.groupBy(F.col("row_id").alias("_row"), F.col("text_id").alias("_text")).agg(F.sort_array(F.collect_set("chunk_no")).alias("_gone"))
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(9223372036854775807))
-    both = docs.hint("merge").join(gone, (key == gone["_row"]) & (text_id(docs["text"].cast("string")) == gone["_text"]), "left")
-    hit = both.where("_row is not null")
+    gone = repeated_lines(_numbered(docs)).select(F.col("row_id").alias("_row"), F.col("text_id").alias("_text"), F.col("gone").alias("_gone"))
+    both = docs.hint("merge").join(gone, (_row_id(docs) == gone["_row"]) & (text_id(docs["text"].cast("string")) == gone["_text"]), "left")
     same = both.where("_row is null").select(*(docs[c] for c in docs.columns))
-    # only rows that lose chunks are cut again
-    plain = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    cut = hit.withColumn("_lines", plain).withColumn("_h", F.transform("_lines", _line_hash))
-    rolled = "CAST(aggregate(slice(_h, greatest(i - {w} + 1, 1), least(i, {w})), 0L, (a, x) -> (a * {b} + x) % {p}) AS BIGINT)".format(w=WINDOW, b=_BASE, p=_PRIME)
-    cut = cut.withColumn("_ends", F.expr(f"filter(sequence(1, size(_h)), i -> i = size(_h) OR (i >= {WINDOW} AND {rolled} % {DIVISOR} = 0))"))
-    kept = "filter(transform(_ends, (e, k) -> if(array_contains(_gone, k), NULL, array_join(slice(_lines, if(k = 0, 1, _ends[k - 1] + 1), e - if(k = 0, 0, _ends[k - 1])), '\\n'))), x -> x IS NOT NULL)"
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.array_join(F.expr(kept), "\n"))
-    # as a generator: a filter on the text, here or later, would be pushed down and compute the chunks anew for every line
-    one = F.array(text)
-    new = cut.withColumn("text", F.explode(F.filter(one, lambda t: t != "") if drop_emptied else one))
+    # only rows that lose lines are cut again; as generators, so that nothing later computes the lines anew
+    cut = both.where("_row is not null").withColumn("_lines", F.explode(F.array(_lines(F.col("text").cast("string")))))
+    kept = cut.withColumn("_kept", F.explode(F.array(F.expr("array_except(sequence(1, size(_lines)), _gone)"))))
+    kept = kept.where(F.size("_kept") > 0) if drop_emptied else kept
+    new = kept.withColumn("text", F.explode(F.array(F.array_join(F.transform("_kept", lambda i: F.element_at("_lines", i)), "\n"))))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.union(new.select(*docs.columns))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Lines, chunks, removed chunks and lines of every document."""
+    """Lines, removed runs of lines and removed lines of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    repeats = repeated_chunks(_numbered(docs)).distinct()
-    gone = repeats.groupBy("row_id", "text_id").agg(F.count("*").alias("removed_chunks"), F.sum("n_lines").cast("long").alias("removed_lines"), F.sort_array(F.collect_set("chunk_no")).alias("nos"))
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    rows = docs.select("doc_id", lines.alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(9223372036854775807)).alias("row_id"), text_id(F.col("text").cast("string")).alias("text_id"))
-    out = rows.join(gone, ["row_id", "text_id"], "left")
-    return out.select("doc_id", "n_lines", F.coalesce("removed_chunks", F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"), F.coalesce(F.array_join(F.col("nos").cast("array<string>"), ","), F.lit("")).alias("removed"))
+    n = F.size(_lines(F.col("text"))).cast("long")
+    rows = docs.select("doc_id", n.alias("n_lines"), _row_id(docs).alias("row_id"), text_id(F.col("text").cast("string")).alias("text_id"))
+    out = rows.join(repeated_lines(_numbered(docs)), ["row_id", "text_id"], "left")
+    runs = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(runs).cast("long").alias("removed_runs"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
+        F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"),
+    )
 
 
 #: DuckDB SQL for op2_line_dedup's rows.
 OP2_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-pos AS (
-  SELECT doc_id, len(l) AS n, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines),
+WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+pos AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM pos),
-rolled AS (
-  SELECT *, CASE WHEN i = 1 THEN h % {_PRIME} ELSE ((lag(h) OVER (PARTITION BY doc_id ORDER BY i)) % {_PRIME} * {_BASE} + h) % {_PRIME} END AS r FROM hashed),
-ends AS (SELECT *, (i = n OR (i >= {WINDOW} AND r % {DIVISOR} = 0)) AS e FROM rolled),
-numbered AS (
-  SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM ends),
-chunks AS (
-  SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY 1, 2),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_no) AS rn FROM chunks WHERE k >= {MIN_LINES}),
-gone AS (
-  SELECT doc_id, count(*) AS removed_chunks, sum(k) AS removed_lines, string_agg(CAST(chunk_no AS VARCHAR), ',' ORDER BY chunk_no) AS removed FROM ranked WHERE rn > 1 GROUP BY 1)
-SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(removed_chunks, 0) AS BIGINT) AS removed_chunks,
+rolled AS (SELECT *, (h * {_BASE} + lead(h) OVER (PARTITION BY doc_id ORDER BY i)) % {_PRIME} AS r FROM hashed),
+around AS (SELECT *, lag(r) OVER (PARTITION BY doc_id ORDER BY i) AS r_before, lead(r) OVER (PARTITION BY doc_id ORDER BY i) AS r_after FROM rolled),
+ends AS (
+  SELECT doc_id, i, line, f, i = n OR CASE WHEN f < {FAMILIES // 2} THEN i >= 2 AND (r_before >> f) % 2 = 1 ELSE i <= n - 2 AND (r_after >> f) % 2 = 1 END AS ends_here
+  FROM around, range(0, {FAMILIES}) t(f)),
+numbered AS (SELECT *, coalesce(sum(ends_here::INT) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM ends),
+chunks AS (SELECT doc_id, min(i) AS a, max(i) AS e, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, f, chunk_no HAVING count(*) >= {MIN_LINES}),
+spans AS (SELECT DISTINCT doc_id, a, e, chunk FROM chunks),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS rn FROM spans),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, e + 1)) AS i FROM ranked WHERE rn > 1),
+runs AS (SELECT *, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) = i - 1 THEN 0 ELSE 1 END AS s FROM gone),
+done AS (SELECT doc_id, sum(s) AS removed_runs, count(*) AS removed_lines, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed FROM runs GROUP BY 1)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(removed_runs, 0) AS BIGINT) AS removed_runs,
        CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines, coalesce(removed, '') AS removed
-FROM lines d LEFT JOIN gone g ON d.doc_id = g.doc_id
+FROM lines d LEFT JOIN done g ON d.doc_id = g.doc_id
 """
