@@ -70,3 +70,32 @@ def test_clusters_separate():
     x = nd.unit(np.concatenate([g.normal(size=(50, 5)) * 0.05 + c for c in np.eye(5)[:3]]))
     c = nd.spherical_kmeans(x, 3, rounds=20, seed=3)
     assert np.allclose((c * c).sum(1), 1)
+
+
+def test_dense_groups_cost_no_products(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CELL", 40)
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    g, rows = np.random.default_rng(3), []
+    base = g.normal(size=24)
+    for i in range(500):
+        v = base + g.normal(size=24) * 0.05 if i % 3 == 0 else g.normal(size=24) if i % 3 == 1 else base + g.normal(size=24) * g.choice([0.2, 0.4])
+        rows.append((i, [float(x) for x in v], 1))
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, want = result(nd.near_duplicates(d)), brute(rows)
+    assert sum(n for n, *_ in got.values()) >= 0.999 * sum(n for n, *_ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert {i: c for i, (_, c, _) in got.items()} == {i: c for i, (_, c, _) in want.items()}
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs whose cosine is just above the threshold, in structureless vectors cut into many cells."""
+    monkeypatch.setattr(nd, "CELL", 64)
+    g, rows = np.random.default_rng(4), []
+    for i in range(1500):
+        x = nd.unit(g.normal(size=(1, 64)))[0]
+        u = g.normal(size=64)
+        u = nd.unit((u - (u @ x) * x)[None])[0]
+        rows += [(2 * i, list(map(float, x)), 1), (2 * i + 1, list(map(float, 0.931 * x + np.sqrt(1 - 0.931**2) * u)), 1)]
+    out = result(nd.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))
+    found = sum(out[2 * i + 1][1] == 2 * i for i in range(1500))
+    assert found >= 0.99 * 1500
