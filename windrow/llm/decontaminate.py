@@ -4,7 +4,8 @@ A seed hashes the words of a text at the kept positions of a fixed mask, so
 substitutions at ignored positions do not disturb it.  Seeds of the benchmark
 items and of the training texts are joined on their hash; around a hit both
 word sequences are laid against each other, and the longest ungapped stretch
-with enough equal words decides.
+with enough equal words decides.  As many words as the longest item has are
+looked at on either side of a hit, so no overlap is cut short.
 
 Before the join, training seeds pass a bitmap of the benchmark's seeds.  It
 is built by a bit-or aggregation and has ``MAX_BITS`` bits at most whatever
@@ -35,8 +36,6 @@ SHORTEST, TOLERANT = 3, 6
 MIN_WORDS, MIN_EQUAL = 12, 0.8
 #: Score of an unequal word against 1 of an equal one: MIN_EQUAL / (1 - MIN_EQUAL).
 UNEQUAL_COST = 4
-#: Words beyond the outermost hit of a stretch that are looked at.
-REACH = 128
 MIN_BITS, MAX_BITS, BITS_PER_SEED = 1 << 16, 1 << 27, 1024
 
 
@@ -128,8 +127,11 @@ def _bitmap(seed_rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _regions(docs: DataFrame, bitmap, lengths: tuple[int, ...]) -> DataFrame:
-    """Stretches of training texts around seeds that pass the bitmap."""
+def _regions(docs: DataFrame, bitmap, lengths: tuple[int, ...], reach: int) -> DataFrame:
+    """Stretches of training texts around seeds that pass the bitmap: ``reach`` words, the longest item's, on either side.
+
+    ``hits`` are the region's distinct seeds, ``at`` their places.
+    """
 
     def of(batches):
         bits = bitmap.value
@@ -153,20 +155,22 @@ def _regions(docs: DataFrame, bitmap, lengths: tuple[int, ...]) -> DataFrame:
                 p, g = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.argsort(p, kind="stable")
                 p, g = p[order], g[order]
-                for q in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > 2 * REACH) + 1):
-                    b = max(0, int(p[q[0]]) - REACH)
+                for q in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > 2 * reach) + 1):
+                    b = max(0, int(p[q[0]]) - reach)
                     ids.append(names[i])
                     base.append(b)
-                    words.append(h[b : int(p[q[-1]]) + SPAN + REACH].tobytes())
-                    hit.append(g[q].view(np.int64))
-                    at.append(p[q].astype(np.int64) - b)
+                    words.append(h[b : int(p[q[-1]]) + SPAN + reach].tobytes())
+                    by = q[np.argsort(g[q], kind="stable")]
+                    first = np.flatnonzero(np.append(True, g[by][1:] != g[by][:-1]))
+                    hit.append(g[by][first].view(np.int64))
+                    at.append(np.split(p[by].astype(np.int64) - b, first[1:]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(base, pa.int64()), pa.array(words, pa.binary()), pa.array(hit, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64()))],
+                [pa.array(ids, pa.int64()), pa.array(base, pa.int64()), pa.array(words, pa.binary()), pa.array(hit, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.list_(pa.int64())))],
                 names=["doc_id", "base", "doc_words", "hits", "at"],
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return plain.mapInArrow(of, "doc_id long, base long, doc_words binary, hits array<long>, at array<long>")
+    return plain.mapInArrow(of, "doc_id long, base long, doc_words binary, hits array<long>, at array<array<long>>")
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -186,26 +190,38 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return int(hit[0]), int(hit[-1]) + 1, len(hit)
 
 
+def _best(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """(equal words, words, -first word) of the overlap of a text's words and an item's laid at ``shift``, if it counts."""
+    lo, hi = max(0, shift), min(len(x), shift + len(y))
+    if lo >= hi:
+        return None
+    equal = x[lo:hi] == y[lo - shift : hi - shift]
+    if len(y) <= MIN_WORDS:
+        # a short item counts as a whole, wherever its unequal words are
+        at = np.flatnonzero(equal)
+        if len(at) < (len(y) if len(y) < TOLERANT else MIN_EQUAL * len(y)):
+            return None
+        return len(at), int(at[-1]) + 1 - int(at[0]), -(lo + int(at[0]))
+    start, end, same = best_stretch(equal)
+    n = end - start
+    return (same, n, -(lo + start)) if n >= MIN_WORDS and same >= MIN_EQUAL * n else None
+
+
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best overlap of each (region, item): all shifts that a pair of equal seeds gives are tried, each once."""
     for batch in batches:
         rows = []
-        for doc, base, item, shift, dw, iw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "item_id", "shift", "doc_words", "item_words")), strict=True):
+        for doc, base, item, places, dw, iw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "item_id", "places", "doc_words", "item_words")), strict=True):
             x, y = np.frombuffer(dw, np.uint64), np.frombuffer(iw, np.uint64)
-            lo, hi = max(0, shift), min(len(x), shift + len(y))
-            if lo >= hi:
-                continue
-            equal = x[lo:hi] == y[lo - shift : hi - shift]
-            if len(y) <= MIN_WORDS:
-                # a short item counts as a whole, wherever its unequal words are
-                at = np.flatnonzero(equal)
-                if len(at) < (len(y) if len(y) < TOLERANT else MIN_EQUAL * len(y)):
-                    continue
-                start, end, same = int(at[0]), int(at[-1]) + 1, len(at)
-            else:
-                start, end, same = best_stretch(equal)
-            n = end - start
-            if len(y) <= MIN_WORDS or (n >= MIN_WORDS and same >= MIN_EQUAL * n):
-                rows.append((doc, item, base + lo + start, n, same))
+            tried = np.zeros(len(x) + len(y) + 1, bool)
+            for p in places:
+                at = np.asarray(p["at"], np.int64)
+                for j in p["item_at"]:
+                    tried[at - j + len(y)] = True
+            found = [r for shift in np.flatnonzero(tried) - len(y) if (r := _best(x, y, int(shift)))]
+            if found:
+                same, n, at = max(found)
+                rows.append((doc, item, base - at, n, same))
         cols = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "first_word", "n_words", "n_equal"])
 
@@ -221,13 +237,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = stored(_item_words(benchmark), "items")
     lengths = tuple(r[0] for r in items.where(F.col("n_item") < SPAN).select("n_item").distinct().orderBy("n_item").collect())  # SPAN - SHORTEST values at most
+    reach = items.agg(F.max("n_item")).first()[0] or 0
     seed_rows = stored(_item_seeds(items, lengths), "seeds")
     bitmap = spark.sparkContext.broadcast(_bitmap(seed_rows))
-    regions = stored(_regions(docs, bitmap, lengths), "regions")
+    regions = stored(_regions(docs, bitmap, lengths, reach), "regions")
     hits = regions.select("doc_id", "base", F.explode(F.arrays_zip("hits", "at")).alias("h")).select("doc_id", "base", F.col("h.hits").alias("seed"), F.col("h.at").alias("at"))
-    lines = hits.join(seed_rows, "seed").select("doc_id", "base", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    held = seed_rows.groupBy("seed", "item_id").agg(F.collect_list("item_at").alias("item_at"))  # an item's places of one seed
+    # the words are attached once for each region and item, however often their seeds repeat
+    lines = hits.join(held, "seed").groupBy("doc_id", "base", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("places"))
     aligned = lines.join(regions.select("doc_id", "base", "doc_words"), ["doc_id", "base"]).join(items, "item_id")
-    found = aligned.select("doc_id", "base", "item_id", "shift", "doc_words", "item_words").mapInArrow(_check, "doc_id long, item_id long, first_word long, n_words long, n_equal long")
+    found = aligned.select("doc_id", "base", "item_id", "places", "doc_words", "item_words").mapInArrow(_check, "doc_id long, item_id long, first_word long, n_words long, n_equal long")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_words", (-F.col("first_word")).alias("at"))).alias("top"))
     out = stored(best.select("doc_id", "item_id", (-F.col("top.at")).alias("first_word"), F.col("top.n_words").alias("n_words"), F.col("top.n_equal").alias("n_equal")), "overlaps")
     drop_stored(items, seed_rows, regions)
