@@ -105,7 +105,7 @@ def test_short_items_and_awkward_rows(spark):
     left = dc.decontaminated(docs(spark), b)
     assert left.columns == docs(spark).columns
     assert left.where("doc_id in (1, 2)").count() == 0
-    assert left.where("doc_id is null").count() == 2
+    assert [r["text"] for r in left.where("doc_id is null").collect()] == [None]  # a row without an id is judged by its text
 
 
 def test_short_items_with_unequal_words(spark):

@@ -81,7 +81,25 @@ def test_awkward_rows(spark):
     assert (None, 8, 1) in rows
     kept = jaccard.one_of_each(docs(spark))
     assert kept.columns == docs(spark).columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 9]
+    rows = kept.collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 9]
+    assert [r["text"] for r in rows if r["doc_id"] is None] == [None]
+
+
+def test_rows_without_ids_are_kept_once(spark):
+    text = lambda a, b: " ".join(f"w{j}" for j in range(a, b))
+    rows = [(None, text(0, 40)), (None, text(0, 40)), (None, text(0, 41)), (None, text(100, 140)), (None, text(100, 140)), (5, text(100, 141)), (None, text(200, 240))]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs(spark, rows)).collect()]
+    assert len(kept) == 3
+    assert (5, text(100, 141)) in kept
+    assert (None, text(200, 240)) in kept
+
+
+def test_an_id_of_several_rows_does_not_hide_a_link(spark):
+    base = [f"w{j}" for j in range(200)]
+    rows = [(1, " ".join(base)), (5, "x " + " ".join(base)), (5, "x " + " ".join(base)), (5, "y z"), (7, "q " + " ".join(base)), (7, "q " + " ".join(base)), (9, " ".join(base) + " r")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()
+    assert {r["component_id"] for r in got if r["n_shingles"] > 100} == {1}
 
 
 def test_empty_table(spark):

@@ -79,10 +79,10 @@ def test_rare_toxic_words_are_induced_beside_many_frequent_ones(spark):
     rows = [(j, " ".join(common), t) for j, t in enumerate((1, 1, 1, 1, 0, 0, 0, 0))]
     rows = [(j, f"{text} only{j}", t) for j, text, t in rows]
     rows += [(100 + j, f"zqgrok {j}", 1) for j in range(3)] + [(200 + j, f"calm {j}", 0) for j in range(60)]
-    found, odds, share = tx.induced(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    found = tx.induced(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     assert list(found) == sorted(found)
     assert tx._lexicon_hashes(["zqgrok"])[0] in found
-    assert len(found) == len(odds) == len(share) == 1 + 2  # its stems of 4 and 5 bytes
+    assert len(found) == 1 + 2  # its stems of 4 and 5 bytes
 
 
 def test_unpack():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import kernel
-from windrow.llm.shared import drop_stored, stored, table, without_ids
+from windrow.llm.shared import drop_stored, named, stored, table, without
 
 #: Fixed masks: 1 keeps a word, 0 ignores it.
 MASKS = ("11101001011", "11011100101", "10110011101", "1111111", "1110111", "11011011")
@@ -254,8 +254,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap with a benchmark item; rows with a null doc_id stay."""
-    return without_ids(docs, "doc_id", overlaps(docs, benchmark).select(F.col("doc_id").alias("id")).distinct())
+    """``docs`` without the rows that overlap with a benchmark item, with or without a doc_id; rows that share a doc_id go together."""
+    return without(docs, overlaps(named(docs), benchmark).select(F.col("doc_id").alias("id")).distinct())
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import kernel
-from windrow.llm.shared import connected_components, drop_stored, id_bitmap, is_empty, maybe_held, stored, table, without_ids
+from windrow.llm.shared import connected_components, drop_stored, id_bitmap, is_empty, maybe_held, named, stored, table, without, without_ids
 
 #: Least bits of a set's own parity sketch.
 MIN_BITS = 256
@@ -147,7 +147,7 @@ def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key repeats; a partition's first and last row always pass, as their key may go on next door."""
+    """Of rows sorted by key and doc, each once, those whose key repeats; a partition's first and last row always pass, as their key may go on next door."""
     held, same = None, True
     for batch in batches:
         if not batch.num_rows:
@@ -155,6 +155,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc = (np.asarray(batch.column(c)) for c in ("key", "doc"))
         if held is not None:
             key, doc = np.append(held[0], key), np.append(held[1], doc)
+        new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))  # a doc_id of several rows counts once
+        key, doc = key[new], doc[new]
         like = np.empty(len(key), bool)
         like[0], like[1:] = same, key[1:] == key[:-1]
         emit = like[:-1] | like[1:]
@@ -201,7 +203,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
     found = plain.mapInArrow(of, "doc long, members binary")
     sets = stored(found.join(need, F.col("doc") == F.col("id"), "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("ma")).hint("merge"), "a").join(sets.select(F.col("doc").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
+    # the end with fewer pairs travels with the pair: a star ships its centre's set once for each of its partitions, not once a pair
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n"))
+    turned = pairs
+    for side in "ab":
+        turned = turned.join(degree.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}")), side)
+    turned = turned.select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    both = turned.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("ma")).hint("merge"), "a").join(sets.select(F.col("doc").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,9 +323,11 @@ def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one whose doc_id names the component.
 
-    Documents without words stay, and so do rows with a null doc_id; rows
-    that share the kept doc_id all stay.
+    Documents without words stay; rows that share a doc_id go or stay
+    together.  Rows without a doc_id are named by their text, after all
+    others: they go if a document with an id is like them, and of those with
+    one text one stays.
     """
-    c = near_duplicates(docs, k, num, den)
-    gone = stored(c.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    return without_ids(docs, "doc_id", gone)
+    c = near_duplicates(named(docs), k, num, den)
+    gone = stored(c.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    return without(docs, gone, once=True)

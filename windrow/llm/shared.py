@@ -2,18 +2,20 @@
 
 Everything that has to outlive an executor is a Parquet table below the folder
 named by ``spark.checkpoint.dir``.  The setting is read from the session; only
-when it is unset (local tests) is a private folder chosen.
+in local mode, where driver and workers are one machine, is a private folder
+chosen if it is unset.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.kernel import mix
@@ -28,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="windrow-"))
     return base.rstrip("/") + "/windrow"
 
@@ -130,7 +134,30 @@ def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return free.union(maybe.hint("merge").join(out, maybe[column] == out["_out_id"], "left_anti"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def named(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of every row; a row without a doc_id is named by its text, by a number from 2^62 on."""
+    return docs.select(_name(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _name(docs: DataFrame) -> Column:
+    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(docs["doc_id"].cast("long"), by_text)
+
+
+def without(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
+    """``docs`` without the rows that :func:`named` gives a name among ``ids(id)``.
+
+    Rows that share a doc_id go together; ``once`` keeps one of the rows
+    that have no doc_id and the same text.
+    """
+    nameless = docs.where("doc_id is null").withColumn("_name", _name(docs))
+    out = ids.select(F.col("id").cast("long").alias("_out_id")).distinct()
+    nameless = nameless.hint("merge").join(out, F.col("_name") == F.col("_out_id"), "left_anti")
+    nameless = nameless.dropDuplicates(["_name"]) if once else nameless
+    return without_ids(docs.where("doc_id is not null"), "doc_id", ids).union(nameless.select(*docs.columns))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of ``edges(a, b)``, as ``(node, component)``.
 
     Alternates the large-star and small-star contractions on distributed edge
@@ -146,7 +173,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = stored(clean.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     work = clean.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     work = stored(work, "edges")
-    for _ in range(max_rounds):
+    while True:
         both = work.select("u", "v").union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # large-star: every larger neighbour of u moves to the least of u and its neighbours
@@ -162,8 +189,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         work = after
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = work.groupBy("u").agg(F.min("v").alias("component"))
     out = nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
     return stored(out, "components")

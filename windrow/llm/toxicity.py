@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import kernel
-from windrow.llm.shared import drop_stored, stored, table, without_ids
+from windrow.llm.shared import drop_stored, named, stored, table, without
 
 FOLDS = 5
 #: Largest margin, and bins of the histograms that calibrate the cut.
@@ -53,7 +53,9 @@ LEXICON = (
 _MASKED = re.compile(rb"\b[a-z]{1,3}[*#@$]{2,}[a-z]{0,3}\b", re.I)
 _ADDRESS = re.compile(rb"\byou(?:'re| are)? (?:an? |such an? |all )?(\w+)", re.I)
 
-VOTERS = ("lexicon", "lexicon_many", "strong_word", "strong_words", "stem", "stems", "weak_word", "dense", "masked", "address", "no_word", "no_stem")
+#: Lists that the induced words and the induced beginnings are dealt into by hash: each list is a voter of its own.
+WORD_LISTS, STEM_LISTS = 4, 2
+VOTERS = ("lexicon", *(f"words_{j}" for j in range(WORD_LISTS)), *(f"stems_{j}" for j in range(STEM_LISTS)), "masked", "address", "dense", "no_word", "no_stem")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,8 +124,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(found)
 
 
-def induced(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature hashes, log-odds, is a stem-strength word) learnt from ``train(doc_id, text, toxic)``.
+def induced(train: DataFrame) -> np.ndarray:
+    """Hashes, in order, of the words and word beginnings that mark toxic texts in ``train(doc_id, text, toxic)``.
 
     Every labelled row counts; of equal texts one does.  All features are
     counted and held against the bounds where they are; the best FEATURES
@@ -136,36 +138,22 @@ def induced(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     odds = F.log((F.col("toxic") + 0.3) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.3) / (n.get(0, 0) + 1))
     good = counts.where(F.col("toxic") >= MIN_DOCS).where(F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean") + 2)).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
     top = good.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(FEATURES).toArrow()
-    features = np.asarray(top["feature"], np.int64).view(np.uint64)
-    order = np.argsort(features)
-    return features[order], np.asarray(top["odds"], float)[order], np.asarray(top["toxic"], float)[order] / max(1, n.get(1, 0))
+    return np.sort(np.asarray(top["feature"], np.int64).view(np.uint64))
 
 
-def _votes(lex: int, words: np.ndarray, stems: np.ndarray, share_w: np.ndarray, odds_w: np.ndarray, n_words: int, masked: int, address: int) -> list[int]:
-    strong = int((odds_w >= 4).sum())
-    weak = len(words) - strong
+def _votes(lex: int, words: np.ndarray, stems: np.ndarray, n_words: int, masked: bool, address: bool) -> list[int]:
+    """Votes in the order of VOTERS, from the lexicon's hits and the hashes of induced words and beginnings in the text."""
+    lists = [len(w) > 0 and bool((w % np.uint64(k) == j).any()) for w, k in ((words, WORD_LISTS), (stems, STEM_LISTS)) for j in range(k)]
     hits = lex + len(words) + len(stems)
-    return [
-        1 if lex else 0,
-        1 if lex > 1 else 0,
-        1 if strong else 0,
-        1 if strong > 1 else 0,
-        1 if len(stems) else 0,
-        1 if len(stems) > 2 else 0,
-        1 if weak else 0,
-        1 if hits and hits >= 0.01 * n_words else 0,
-        1 if masked else 0,
-        1 if address else 0,
-        -1 if not lex and not len(words) else 0,
-        -1 if not len(stems) else 0,
-    ]
+    spoken = [lex > 0, *lists, masked, address, hits > 0 and hits >= 0.01 * n_words]
+    return [*map(int, spoken), -int(not lex and not len(words)), -int(not len(stems))]
 
 
 def _observe(model) -> callable:
     """Votes and feature numbers of every text; the last number counts the lexicon's words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, odds, share = model.value
+        features = model.value
         lexicon = _lexicon_hashes(LEXICON)
         names = set(w.encode() for w in LEXICON)
         for batch in batches:
@@ -177,7 +165,7 @@ def _observe(model) -> callable:
                 masked = bool(n and _MASKED.search(text))
                 address = bool(lex and any(m[1].lower() in names for m in _ADDRESS.finditer(text)))
                 code = 0
-                for v in _votes(lex, fw, fs, share[fw], odds[fw], n, masked, address):
+                for v in _votes(lex, features[fw], features[fs], n, masked, address):
                     code = code * 3 + v + 1
                 codes[i] = code
                 extra = [len(features)] * bool(lex) + [len(features) + 1] * (lex > 1) + [len(features) + 2] * masked + [len(features) + 3] * address
@@ -266,7 +254,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts get the score of a text without any feature.  Rows
     of ``labels`` with a null doc_id or label are not learnt from; without
-    usable labels the fixed lexicon and patterns alone speak.  Repeated rows
+    usable labels the fixed lexicon and patterns alone speak, and the
+    classifier is fitted on FIT_ROWS unlabelled rows.  Repeated rows
     and null doc_ids are kept; other columns of either table are not read.
     """
     sc = docs.sparkSession.sparkContext
@@ -288,7 +277,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         sample = seen.where("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     fit = sample.select("votes", "features").toArrow()
     soft = label_model.posterior(unpack(np.asarray(fit["votes"], np.int64))) if fit.num_rows else np.zeros(0)
-    size = len(model[0]) + 4
+    size = len(model) + 4
     w = fit_linear([np.asarray(x.as_py(), np.int64) for x in fit["features"]], soft, size)
     weights = sc.broadcast(w)
 
@@ -305,8 +294,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = F.least(F.floor((F.col("margin") / MARGIN + 1) / 2 * BINS), F.lit(BINS - 1)).cast("int")
     histogram = out.join(usable, "doc_id").groupBy("toxic", at.alias("at")).count().collect()
     cut = _cut(histogram, float(w[-1]))
-    score = 1 / (1 + F.exp(F.lit(cut) - F.col("margin")))
-    return out.select("doc_id", "held_out", score.alias("score"), (F.col("margin") >= cut).cast("int").alias("predicted"))
+    done = out.select("doc_id", "held_out", (1 / (1 + F.exp(F.lit(cut) - F.col("margin")))).alias("score"))
+    return done.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def _cut(histogram, bias: float) -> float:
@@ -325,9 +314,9 @@ def _cut(histogram, bias: float) -> float:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text scores 0.5 or more; rows with a null doc_id stay."""
-    bad = scored(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    return without_ids(docs, "doc_id", stored(bad, "toxic"))
+    """``docs`` without the rows whose text scores 0.5 or more, with or without a doc_id; rows that share a doc_id go together."""
+    bad = scored(named(docs), labels).where("predicted = 1").select(F.col("doc_id").alias("id")).distinct()
+    return without(docs, stored(bad, "toxic"))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
