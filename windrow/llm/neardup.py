@@ -2,12 +2,12 @@
 
 Vectors are normalised in double precision and copies are collapsed.  A
 bounded sample fits the centroids of each label; every vector has its home in
-the cell of its nearest centroid.  A vector whose partner may be at home in
-another cell is sent there as a guest: the partner is at most the threshold's
-angle away, so it can be across the plane between two centroids only if the
-vector is near that plane.  The sine of the angle is the bound that always
-holds; for directions that are spread over many dimensions a bound of
-``SIGMAS`` standard deviations is far smaller, and the smaller one is used.
+the cell of its nearest centroid.  Partners in two cells are on either side of the
+plane between the centroids and at most the threshold's chord apart, so one of
+them is within half the chord of that plane; a vector that is so near is sent
+to the other cell as a guest.  Half the chord is the bound that always holds;
+for differences that are spread over many dimensions a bound of ``SIGMAS``
+standard deviations is far smaller, and the smaller one is used.
 
 Vectors within half the threshold's angle of their centroid, the core of a
 cell, are all linked to each other by the triangle inequality, so a dense
@@ -125,7 +125,7 @@ def _fit(reps: DataFrame, theta: float) -> dict[tuple[int, int], tuple[np.ndarra
         c = _refined(x, thinned(spherical_kmeans(x, k), theta / 3), 2)
         spread = np.linalg.eigvalsh(np.cov(x, rowvar=False))
         held = spread.sum() ** 2 / max((spread * spread).sum(), 1e-300)  # dimensions that the vectors fill
-        out[r["label"], r["dim"]] = c, float(min(np.sin(theta), np.tan(theta) * SIGMAS / np.sqrt(held))) + SLACK
+        out[r["label"], r["dim"]] = c, float(np.sin(theta / 2) * min(1.0, SIGMAS / np.sqrt(held))) + SLACK
     return out
 
 
