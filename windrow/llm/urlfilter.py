@@ -5,7 +5,8 @@ accepted and one for rejected URLs.  Contexts of up to ``ORDER`` characters
 over ``SYMBOLS`` symbols are interpolated (Witten-Bell) with the next shorter
 one, and contexts seen fewer than ``SEEN`` times fall back to it altogether.
 A URL's score is the length-normalised difference of the log-likelihoods; the
-threshold is calibrated on the score histograms of both classes.
+threshold is calibrated on the score histograms of both classes, over the
+``HELD``-th part of the training URLs, by hash, that the models do not see.
 
 The symbol alphabet is fixed, so counts and model have at most
 ``SYMBOLS ** (ORDER + 1)`` entries a class whatever the corpus, while the
@@ -25,6 +26,8 @@ from windrow.llm.shared import table
 
 ORDER, SYMBOLS, SEEN = 3, 40, 4
 BINS, RANGE = 2000, 8.0
+#: One training URL in so many calibrates the threshold and is not counted.
+HELD = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules as (action, host, path).
@@ -48,6 +51,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def held_out(url: Column) -> Column:
+    """True of training URLs that only calibrate the threshold."""
+    return F.pmod(F.crc32(F.coalesce(url, F.lit("")).cast("binary")), F.lit(HELD)) == 0
+
+
 def rule_of(rules: Sequence[tuple[str, str, str]]) -> Column:
     """Struct (rule, action) of the longest rule that fits ``host`` and ``path``; of equally long ones the first by text."""
     out = F.lit(None).cast("struct<rule:string,action:string>")
@@ -139,8 +147,9 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> D
     parsed = pages.select("page_id", F.col("url").cast("string").alias("url"))
     parsed = parsed.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     parsed = parsed.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")}).withColumn("hit", rule_of(rules))
-    train = parsed.where("hit is not null").select("url", (F.col("hit.action") == "allow").alias("accepted"))
-    counts = train.mapInArrow(_count, "accepted boolean, gram long, n long").groupBy("accepted", "gram").agg(F.sum("n").alias("n")).toArrow()
+    parsed = parsed.withColumn("held", held_out(F.col("url")))
+    train = parsed.where("hit is not null").select("url", (F.col("hit.action") == "allow").alias("accepted"), "held")
+    counts = train.where("not held").select("url", "accepted").mapInArrow(_count, "accepted boolean, gram long, n long").groupBy("accepted", "gram").agg(F.sum("n").alias("n")).toArrow()
     accepted = np.asarray(counts["accepted"].to_pylist(), bool)
     gram, n = (np.asarray(counts[c], np.int64) for c in ("gram", "n"))
     if accepted.any() and not accepted.all():
@@ -148,12 +157,15 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> D
     else:
         ratio = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
     model = sc.broadcast(ratio)
-    scored = parsed.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action")).mapInArrow(
-        _scores(model), "page_id long, url string, host string, path string, rule string, action string, score double"
+    scored = parsed.select("page_id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"), "held").mapInArrow(
+        _scores(model), "page_id long, url string, host string, path string, rule string, action string, held boolean, score double"
     )
     at = F.least(F.greatest(F.floor((F.col("score") / RANGE + 0.5) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    histogram = scored.where("action is not null").groupBy((F.col("action") == "allow").alias("accepted"), at.alias("at")).count().collect()
-    cut = threshold_of(histogram) if ratio.any() else 0.0
+    rows = scored.where("action is not null").groupBy((F.col("action") == "allow").alias("accepted"), at.alias("at"), "held").count().collect()  # 4 BINS rows at most
+    apart = [(r["accepted"], r["at"], r["count"]) for r in rows if r["held"]]
+    if len({accepted for accepted, *_ in apart}) < 2:  # tables of a few URLs: no class may be absent from the calibration
+        apart = [(r["accepted"], r["at"], r["count"]) for r in rows]
+    cut = threshold_of(apart) if ratio.any() else 0.0
     verdict = F.coalesce("action", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
