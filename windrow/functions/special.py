@@ -78,8 +78,20 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return float(p[logs <= log_p(a) + 1e-7].sum() / p.sum())
 
 
+def crossing_point(m1, v1, m2, v2, k):
+    """(square, function of its root): where two weighted Gaussian densities, m1 <= m2, cross; ``k`` is twice the log of their ratio of heights.
+
+    (x - m1)^2 / v1 - (x - m2)^2 / v2 = k is a quadratic in x - m1.  Of its
+    two solutions one always lies outside the means on the narrower side; the
+    other one counts and is written without a difference of large numbers.
+    They do not cross where ``square`` is negative.  Takes numbers and columns.
+    """
+    gap = m2 - m1
+    return v1 * v2 * (gap * gap + k * (v2 - v1)), lambda root: m1 + v1 * (gap * gap + k * v2) / (root + v1 * gap)
+
+
 def gaussian_overlap(m1: float, v1: float, w1: float, m2: float, v2: float, w2: float, reach: float = 5.0) -> tuple[float, float]:
-    """Shares of two weighted Gaussians beyond their crossing (the one between the means, else the other), each in its own weight; (1, 1) where the densities do not cross.
+    """Shares of two weighted Gaussians beyond their crossing, each in its own weight; (1, 1) where the densities do not cross.
 
     The tails are cut to [m1 - reach * s1, m2 + reach * s2] of the ordered
     pair, and the weights are those of the pair alone.
@@ -89,16 +101,13 @@ def gaussian_overlap(m1: float, v1: float, w1: float, m2: float, v2: float, w2:
         m1, v1, w1, m2, v2, w2 = m2, v2, w2, m1, v1, w1
     w1, w2 = w1 / (w1 + w2), w2 / (w1 + w2)
     s1, s2 = math.sqrt(v1), math.sqrt(v2)
-    a, b = 1 / (2 * v1) - 1 / (2 * v2), m2 / v2 - m1 / v1
-    c = m1 * m1 / (2 * v1) - m2 * m2 / (2 * v2) - math.log(w1 * s2 / (w2 * s1))
     if s1 == s2:
         x = (m1 + m2) / 2
     else:
-        disc = b * b - 4 * a * c
-        if disc < 0:
+        square, x_of = crossing_point(m1, v1, m2, v2, 2 * math.log(w1 * s2 / (w2 * s1)))
+        if square < 0:
             return 1.0, 1.0
-        near, far = (-b - math.sqrt(disc)) / (2 * a), (-b + math.sqrt(disc)) / (2 * a)
-        x = near if m1 <= near <= m2 else far
+        x = x_of(math.sqrt(square))
     lo, hi = m1 - reach * s1, m2 + reach * s2
     right = max(0.0, float(normal_cdf((hi - m1) / s1) - normal_cdf((x - m1) / s1)))
     left = max(0.0, float(normal_cdf((x - m2) / s2) - normal_cdf((lo - m2) / s2)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.operators import intervals as iv
+from windrow.operators.scan import ranked
 
 
 def significant(p_cutoff: float, min_windows: int, min_mu: float = 0.5, adjusted: bool = True) -> Column:
@@ -108,20 +109,32 @@ def deltas(calls: DataFrame, panel: DataFrame, axis: DataFrame, test: str) -> Da
     return per.groupBy("region_id").agg(F.avg(F.abs("d")).alias("delta"), F.count("*").alias("n_refs"))
 
 
-def bh_fdr(calls: DataFrame, fdr: float, order: list[str], strict: bool = True, buckets: int = 256) -> DataFrame:
-    """Benjamini-Hochberg step-up: adds the 0-based ``rank`` by ``order`` (p first) and ``significant``.
+def bh_fdr(calls: DataFrame, fdr: float, order: list[str], strict: bool = True) -> DataFrame:
+    """Benjamini-Hochberg step-up: adds the 0-based ``rank`` by ``order`` (p first, distinct rows) and ``significant``.
 
     Without ``strict`` the first call is significant even if none passes.
-    Ranks are global but come from counts of p buckets carried over, so no
-    task sorts the whole table.
     """
-    bucket = F.least(F.floor(-F.log10(F.greatest(F.col("p"), F.lit(1e-300))) * F.lit(buckets / 16.0)), F.lit(buckets * 20)).cast("long")
-    b = calls.withColumn("_b", -bucket)
-    sizes = b.groupBy("_b").agg(F.count("*").alias("_n"))
-    above = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")  # a few thousand rows at most
-    ranked = b.join(F.broadcast(carry), "_b").withColumn("rank", F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1 + F.col("_before"))
-    m = calls.agg(F.count("*").alias("_m"))
-    passed = ranked.join(F.broadcast(m), F.lit(True)).where(F.col("p") < F.lit(fdr) * (F.col("rank") + 1) / F.col("_m")).agg(F.max("rank").alias("_k"))
+    total = calls.count()
+    r = ranked(calls, order, total, "rank")
+    passed = r.where(F.col("p") < F.lit(fdr) * (F.col("rank") + 1) / F.lit(max(1, total))).agg(F.max("rank").alias("_k"))
     last = F.col("_k") if strict else F.coalesce("_k", F.lit(0))
-    return ranked.join(F.broadcast(passed), F.lit(True)).withColumn("significant", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("_b", "_before", "_k")
+    return r.join(F.broadcast(passed), F.lit(True)).withColumn("significant", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("_k")  # one row
+
+
+def reference_checked(calls: DataFrame, accept: float = 1.0, min_delta: float = 0.0) -> DataFrame:
+    """Calls that differ from their references: rows (size, delta, variable) of more than one member whose delta exceeds ``accept``, or ``min_delta`` where the sample varies by its mixture label."""
+    far = (F.col("delta") > accept) | ((F.col("delta") > min_delta) & F.col("variable"))
+    return calls.where((F.col("size") > 1) & far)
+
+
+def final_calls(sub: DataFrame, keys: list[str]) -> DataFrame:
+    """One call for each component of sub-calls ``(sub_id, s, e, refs, ll)`` that overlap strictly by their median bounds: keys, start, end, called_refs, log_likelihood."""
+    named = sub.select(*keys, F.col("sub_id"), F.col("s").alias("start"), F.col("e").alias("end"), "refs", "ll")
+    c = iv.overlap_clusters(named, keys, ["start", "end", "sub_id"])
+    refs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs"))))
+    return c.groupBy(*keys, "cluster_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), refs.alias("called_refs"), F.sum("ll").alias("log_likelihood"))
+
+
+def in_window_range(calls: DataFrame, first: int, last: int) -> DataFrame:
+    """Calls strictly inside a range of window ordinals."""
+    return calls.where((F.col("w0") > first) & (F.col("w1") < last))

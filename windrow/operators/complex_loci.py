@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from windrow.operators import intervals as iv
 from windrow.operators.genotype import set_similarity
 from windrow.operators.mixture import complete_linkage
+from windrow.operators.scan import ranked
 
 
 def merged_abutting(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,20 +46,39 @@ def sample_clusters(segments: DataFrame, samples: DataFrame, cutoff: float = 0.8
     Similarities too far from 1 count as 0; samples without segments stay alone.
     """
     s = set_similarity(segments).where(1 - F.col("similarity") < max_frac_uniq)
-    named = samples.select("sample").distinct()
-    one = named.agg(F.array_sort(F.collect_list("sample")).alias("names"))  # the cohort's names
-    pairs = s.select(F.lit(0).alias("g"), "a", "b", "similarity")
+    s = s.where(1 - F.col("similarity") <= cutoff).persist()  # farther pairs are never in one cluster; read in every round
+    named = samples.select("sample").distinct().persist()
+    # least reachable sample of each: a component of the similarity graph is a task, and no matrix of the cohort is made
+    both = s.select("a", "b").unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    part, kept = named.select("sample", F.col("sample").alias("least")), []
+    while True:
+        near = both.join(part.select(F.col("sample").alias("b"), F.col("least").alias("l")), "b").groupBy(F.col("a").alias("sample")).agg(F.min("l").alias("l"))
+        moved = part.join(near, "sample", "left").select("sample", F.least("least", F.coalesce("l", "least")).alias("new"), "least").persist()
+        changed = moved.where("new < least").limit(1).count()
+        part = moved.select("sample", F.col("new").alias("least"))
+        kept.append(moved)
+        if not changed:
+            break
 
     def of(key, p: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        names = list(n["names"].iat[0])
+        names = sorted(n["sample"])
         at = {x: i for i, x in enumerate(names)}
         d = np.ones((len(names),) * 2)
         np.fill_diagonal(d, 0)
         for a, b, q in zip(p.a, p.b, p.similarity, strict=True):
             d[at[a], at[b]] = d[at[b], at[a]] = 1 - q
-        return pd.DataFrame({"sample": names, "cluster": complete_linkage(d, cutoff)})
+        group = complete_linkage(d, cutoff)
+        first = {g: names[int(np.flatnonzero(group == g)[0])] for g in np.unique(group)}
+        return pd.DataFrame({"sample": names, "first": [first[g] for g in group]})
 
-    return pairs.groupBy("g").cogroup(one.withColumn("h", F.lit(0)).groupBy("h")).applyInPandas(of, "sample string, cluster int")
+    pairs = s.join(part.select(F.col("sample").alias("a"), "least"), "a").select("least", "a", "b", "similarity")
+    found = pairs.groupBy("least").cogroup(part.withColumnRenamed("least", "of_least").groupBy("of_least")).applyInPandas(of, "sample string, first string")
+    # clusters are numbered by their first members' order
+    kinds = found.select("first").distinct()
+    numbered = ranked(kinds, ["first"], kinds.count(), "cluster")
+    for x in kept[:-1]:
+        x.unpersist()
+    return found.join(numbered, "first").select("sample", F.col("cluster").cast("int").alias("cluster"))
 
 
 def shared_chunks(segments: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -89,6 +109,40 @@ def singleton_z(panel: DataFrame, singles: DataFrame, reach: int = 10, pad: int
     return own.join(flat, ["locus", "sample"]).select("locus", "sample", F.abs((F.col("own") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd"))).alias("cp_z"))
 
 
+def singleton_log_z(panel: DataFrame, singles: DataFrame, reach: int = 10, pad: int = 3) -> DataFrame:
+    """The same for log2 ratios of a sample to every other one: ``locus, sample, log_z``.
+
+    Each other sample's ratios over both flanks give moving means of the
+    locus' width; their common mean and deviation hold the mean ratio of the
+    locus' own windows.  Ratios of non-positive values count for nothing.
+    """
+    s = singles.select("locus", "contig", "sample", "w0", "w1", (F.col("w1") - F.col("w0")).alias("_d"))
+    lo = F.greatest(F.lit(0), F.col("w0") - reach * F.col("_d") - pad)
+    left = F.when(F.col("w0") - pad > lo, F.sequence(lo, F.col("w0") - pad - 1)).otherwise(F.array().cast("array<bigint>"))
+    right = F.sequence(F.col("w1") + pad, F.col("w1") + reach * F.col("_d") + pad - 1)
+    cp = panel.where("cp > 0").select("contig", "w", "sample", "cp")
+
+    def ratios(windows: DataFrame) -> DataFrame:
+        mine = windows.join(cp, ["contig", "w", "sample"]).withColumnRenamed("cp", "own")
+        other = cp.select("contig", "w", F.col("sample").alias("other"), F.col("cp").alias("ref"))
+        return mine.join(other, ["contig", "w"]).where("sample <> other").withColumn("r", F.log2(F.col("own") / F.col("ref")))
+
+    flank = ratios(s.withColumn("w", F.explode(F.concat(left, right))))
+    seq = flank.groupBy("locus", "sample", "other", "_d").agg(F.array_sort(F.collect_list(F.struct("w", "r"))).alias("c"))
+    means = seq.select("locus", "sample", F.explode(F.expr("transform(sequence(1, greatest(size(c) - _d + 1, 1)), i -> aggregate(slice(c, CAST(i AS INT), CAST(_d AS INT)), 0D, (a, x) -> a + x.r) / _d)")).alias("m"))
+    null = means.groupBy("locus", "sample").agg(F.avg("m").alias("mu"), F.stddev_pop("m").alias("sd"))
+    own = ratios(s.withColumn("w", F.explode(F.sequence("w0", F.col("w1") - 1)))).groupBy("locus", "sample").agg(F.avg("r").alias("own"))
+    return own.join(null, ["locus", "sample"]).select("locus", "sample", F.abs((F.col("own") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd"))).alias("log_z"))
+
+
+def varying(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments(keys, start, end, labels) without those of one label for all; of consecutive ones with equal labels one remains, from the first's start to the last's end."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    s = segments.withColumn("_was", F.lag("labels").over(w)).withColumn("_new", F.coalesce(F.col("_was") != F.col("labels"), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    s = s.where(F.size(F.array_distinct("labels")) > 1)
+    return s.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("labels", "start").alias("labels")).drop("_run")
+
+
 def dbscan(obs: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """One-dimensional DBSCAN of obs(locus, sample, mu): adds ``label`` (from 0), -1 for noise.
 

@@ -69,6 +69,8 @@ def slices(regions: DataFrame, axis: DataFrame, rule: str) -> DataFrame:
         end = F.when(F.col("w1") <= F.col("w0"), F.col("w0") + 1).otherwise(F.col("w1"))
         r = r.withColumn("w1", end)
         return r.withColumn("w0", F.when(F.col("w1") - F.col("w0") > 1, F.col("w0") + 1).otherwise(F.col("w0")))
+    if rule == "matrix":
+        return r.join(n, "contig", "left").withColumn("w1", F.least(F.col("w1") + 1, F.coalesce("_n", F.lit(0)))).drop("_n")
     r = r.join(n, "contig", "left").withColumn("w1", F.least(F.col("w1") + 1, F.col("_n") - 1))
     if rule == "median":
         r = r.withColumn("w1", F.when(F.col("w1") <= F.col("w0"), F.col("w0") + 1).otherwise(F.col("w1")))
@@ -109,8 +111,12 @@ def merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return overlap_clusters(d, keys, ["start", "end"]).groupBy(*keys, "cluster_no").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("cluster_no")
 
 
-def subtracted(calls: DataFrame, exclusions: DataFrame, pad: int, width: int) -> DataFrame:
-    """Pieces of ``calls(call_id, chr, start, end)`` outside the padded, merged exclusions; none for covered calls."""
+def subtracted(calls: DataFrame, exclusions: DataFrame, pad: int, width: int, min_length: int = 0) -> DataFrame:
+    """Pieces of ``calls(call_id, chr, start, end)`` outside the padded, merged exclusions; none for covered calls.
+
+    Only exclusions longer than ``min_length`` count.
+    """
+    exclusions = exclusions.where(F.col("end") - F.col("start") > min_length)
     ex = merged(exclusions.select("chr", (F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end")), ["chr"])
     ex = ex.select("chr", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     hit = interval_join(calls, ex, ["chr"], width)
@@ -134,11 +140,21 @@ def reciprocal(pairs: DataFrame, max_dif: int | None = None, max_frac_uniq: floa
     return pairs.withColumn("recip", r)
 
 
+def position_runs(df: DataFrame, keys: list[str], position: str = "w", tile: int | None = None) -> DataFrame:
+    """Adds ``_run``, a number for each run of consecutive ordinals within ``keys``.
+
+    Tiles of the axis are scanned apart; only their carries meet in one place.
+    """
+    tile = tile or tile_width(df, keys, position)
+    swept = exclusive_max(df, keys, [position], position, position, "_before", tile)
+    new = F.col("_before").isNull() | (F.col(position) - F.col("_before") > 1)
+    return running_count(swept, keys, [position], position, new, "_run", tile).drop("_before")
+
+
 def runs(df: DataFrame, keys: list[str], position: str = "w") -> DataFrame:
     """Runs of consecutive ordinals as keys, first, last (exclusive)."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    g = df.withColumn("_g", F.col(position) - F.row_number().over(w))
-    return g.groupBy(*keys, "_g").agg(F.min(position).alias("first"), (F.max(position) + 1).alias("last")).drop("_g")
+    g = position_runs(df, keys, position)
+    return g.groupBy(*keys, "_run").agg(F.min(position).alias("first"), (F.max(position) + 1).alias("last")).drop("_run")
 
 
 def covered_fraction(calls: DataFrame, features: DataFrame, width: int) -> DataFrame:

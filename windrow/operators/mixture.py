@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from itertools import pairwise
 
 import numpy as np
@@ -16,39 +17,72 @@ MIN_COVAR, MAX_STEPS, TOLERANCE = 1e-4, 1000, 1e-2
 PER_TASK = 5_000
 
 
+def centroid_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """Merges of centroid linkage as (height, node, node); points are nodes 0.. in order of x, each merge makes the next node.
+
+    In one dimension the closest centroids are neighbours in order, so a heap
+    of the gaps between neighbours suffices.  Of equal gaps the leftmost goes
+    first.  A height is never below those of the parts (inversions settle).
+    """
+    s = np.sort(x, kind="stable").astype(float)
+    n = len(s)
+    centre, size, height = s.tolist(), [1] * n, [0.0] * n
+    left, right, dead = list(range(-1, n - 1)), [*range(1, n), -1], [False] * n
+    heap = [(centre[i + 1] - centre[i], i, i, i + 1) for i in range(n - 1)]
+    heapq.heapify(heap)
+    place, out = list(range(n)), []
+    while heap:
+        gap, _, a, b = heapq.heappop(heap)
+        if dead[a] or dead[b]:
+            continue
+        m = size[a] + size[b]
+        k = len(centre)
+        centre.append((centre[a] * size[a] + centre[b] * size[b]) / m)
+        size.append(m)
+        height.append(max(gap, height[a], height[b]))
+        place.append(place[a])
+        left.append(left[a])
+        right.append(right[b])
+        dead[a] = dead[b] = True
+        dead.append(False)
+        out.append((height[k], a, b))
+        for i, j in ((left[k], k), (k, right[k])):
+            if i >= 0 and j >= 0:
+                heapq.heappush(heap, (centre[j] - centre[i], place[i], i, j))
+        if left[k] >= 0:
+            right[left[k]] = k
+        if right[k] >= 0:
+            left[right[k]] = k
+    return out
+
+
 def centroid_partitions(x: np.ndarray, low: float = 0.2, high: float = 1.5, step: float = 0.001) -> list[np.ndarray]:
     """Distinct partitions of centroid linkage cut at low, low + step, ... below high.
 
-    In one dimension the closest centroids are neighbours in order, so the
-    tree needs no distance matrix.  A cut takes the maximal subtrees whose
-    highest merge is not above it, which settles inversions.
+    A cut takes the maximal subtrees whose highest merge is not above it.
+    Merges join neighbouring stretches in order of x, so a partition is the
+    set of borders that are left, and a cut only removes borders.
     """
     order = np.argsort(x, kind="stable")
-    nodes = [(float(x[i]), 1, [int(i)], 0.0) for i in order]
-    merges = []
-    while len(nodes) > 1:
-        gaps = [b[0] - a[0] for a, b in pairwise(nodes)]
-        i = int(np.argmin(gaps))
-        a, b = nodes[i], nodes[i + 1]
-        n = a[1] + b[1]
-        height = max(gaps[i], a[3], b[3])
-        nodes[i : i + 2] = [((a[0] * a[1] + b[0] * b[1]) / n, n, a[2] + b[2], height)]
-        merges.append((height, a[2], b[2]))
+    n = len(x)
+    end = list(range(n))  # last point of a node's stretch
+    border = np.full(max(n - 1, 0), np.inf)  # height at which the border after a point goes
+    for h, a, b in centroid_tree(x):
+        border[end[a]] = h
+        end.append(end[b])
     out, last = [], -1
-    heights = np.array([m[0] for m in merges])
     for cut in np.arange(low, high, step):
-        n = int((heights <= cut).sum())
-        if n == last:
+        gone = int((border <= cut).sum())
+        if gone == last:
             continue
-        last = n
-        root = list(range(len(x)))
-        for h, a, b in merges:
-            if h <= cut:
-                for i in b:
-                    root[i] = root[a[0]]
-                for i in a:
-                    root[i] = root[a[0]]
-        out.append(np.unique(root, return_inverse=True)[1])
+        last = gone
+        group = np.empty(n, int)
+        group[order] = np.concatenate([[0], np.cumsum(border > cut)])
+        # groups are numbered by their first member in the rows' own order
+        kinds, first, inverse = np.unique(group, return_index=True, return_inverse=True)
+        rank = np.empty(len(kinds), int)
+        rank[np.argsort(first)] = np.arange(len(kinds))
+        out.append(rank[inverse])
     return out
 
 
@@ -171,25 +205,37 @@ def genotypes(obs: DataFrame, keys: list[str], merge: bool = True, high: float |
 
 
 def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster numbers of complete linkage at ``cut``, numbered by their first member; ties take the first pair."""
+    """Cluster numbers of complete linkage at ``cut``, numbered by their first member; ties take the first pair.
+
+    The nearest cluster after each one is kept, so a merge costs a row and
+    not the matrix.
+    """
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
+    alive = np.ones(n, bool)
+    nearest = np.array([i + 1 + int(d[i, i + 1 :].argmin()) if i + 1 < n else i for i in range(n)])
+    best = d[np.arange(n), nearest] if n else np.zeros(0)
     group = np.arange(n)
-    for _ in range(n - 1):
-        i, j = divmod(int(d.argmin()), n)
-        if d[i, j] > cut:
+    while n > 1:
+        i = int(best.argmin())
+        if best[i] > cut or not np.isfinite(best[i]):
             break
-        i, j = min(i, j), max(i, j)
+        j = int(nearest[i])
         far = np.maximum(d[i], d[j])
         d[i], d[:, i] = far, far
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
+        alive[j], best[j] = False, np.inf
         group[group == j] = i
+        for k in np.flatnonzero(alive & ((nearest == i) | (nearest == j) | (np.arange(n) == i))):
+            if k + 1 < n:
+                nearest[k] = k + 1 + int(d[k, k + 1 :].argmin())
+                best[k] = d[k, nearest[k]]
     return np.unique(group, return_inverse=True)[1]
 
 
-def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | None = None) -> np.ndarray:
+def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | None = None, max_frac_uniq: float | None = None) -> np.ndarray:
     """1 - reciprocal overlap of all pairs."""
     o = np.minimum(end[:, None], end) - np.maximum(start[:, None], start)
     size = (end - start).astype(float)
@@ -197,10 +243,12 @@ def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | Non
         r = np.where(o > 0, np.minimum(o / size[:, None], o / size), 0.0)
     if max_dif is not None:
         r[np.maximum(size[:, None] - o, size - o) > max_dif] = 0.0
+    if max_frac_uniq is not None:
+        r[1 - r >= max_frac_uniq] = 0.0
     return 1 - r
 
 
-def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, max_dif: float | None = None) -> DataFrame:
+def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, max_dif: float | None = None, max_frac_uniq: float | None = None) -> DataFrame:
     """Sub-clusters (``sub``) of each overlap cluster by complete linkage on reciprocal overlap.
 
     Equal intervals are one point of the linkage (their distance is 0), so a
@@ -221,40 +269,70 @@ def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, m
         spans, sub = pdf[["start", "end"]].to_numpy(np.int64), []
         for part in np.split(spans, cuts):
             points, where = np.unique(part, axis=0, return_inverse=True)
-            sub.append(complete_linkage(reciprocal_distance(points[:, 0], points[:, 1], max_dif), cut)[where.ravel()])
+            sub.append(complete_linkage(reciprocal_distance(points[:, 0], points[:, 1], max_dif, max_frac_uniq), cut)[where.ravel()])
         return pdf.assign(sub=np.concatenate(sub).astype(np.int32))[[*cols, "sub"]]
 
     return alone.unionByName(many.groupBy("_bucket").applyInPandas(of, schema))
 
 
+def correlated_breaks(wide: np.ndarray, w: np.ndarray, at: list[int], cutoff=None) -> list[int]:
+    """Breakpoints that are left when neighbouring segments of samples x windows merge as long as any pair correlates beyond the cut-off.
+
+    ``cutoff`` takes the smaller mean of each pair; NaN correlations never
+    merge.  The outer breakpoints stay.
+    """
+    cutoff = cutoff or (lambda x: np.minimum(0.9 / x**0.6 + 0.5, 0.9))
+    # sums and counts from one break to the next: segments of later rounds add up
+    first = np.searchsorted(w, at)
+    known = np.isfinite(wide)
+    total = np.stack([np.where(known[:, a:z], wide[:, a:z], 0).sum(1) for a, z in pairwise(first)]) if len(at) > 1 else np.zeros((0, len(wide)))
+    n = np.stack([known[:, a:z].sum(1) for a, z in pairwise(first)]) if len(at) > 1 else np.zeros((0, len(wide)))
+    return merged_breaks(total, n, at, cutoff)
+
+
+def merged_breaks(total: np.ndarray, n: np.ndarray, at: list[int], cutoff) -> list[int]:
+    """The same from each segment's sums and counts by sample (segments x samples)."""
+    at = list(at)
+    while len(at) > 2:
+        with np.errstate(all="ignore"):
+            m = np.where(n > 0, total / n, np.nan)
+            r = np.array([np.corrcoef(p, q)[0, 1] for p, q in pairwise(m)])
+            x = np.array([np.nanmean(row) if np.isfinite(row).any() else np.nan for row in m])
+            cut = cutoff(np.minimum(x[:-1], x[1:]))
+            go, drop = r > cut, np.abs(r) >= cut
+        if not go.any():
+            break
+        starts = np.concatenate([[0], np.flatnonzero(~drop) + 1])
+        total, n = np.add.reduceat(total, starts), np.add.reduceat(n, starts)
+        at = [at[i] for i in starts] + [at[-1]]
+    return at
+
+
 def correlated_segments(cells: DataFrame, breaks: DataFrame) -> DataFrame:
     """Repeat correlated merging until no neighbouring segments exceed the cut-off: ``locus, w0, w1``.
 
     ``cells(locus, sample, w, cp)``, ``breaks(locus, at)`` with at an array of
-    window ordinals.  NaN correlations never merge.
+    window ordinals.  Windows are summed by segment and sample where they
+    are; a locus' task gets segments x samples only.
     """
-
-    def of(key, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if c.empty or b.empty:
+    b = breaks.select("locus", F.array_sort(F.array_distinct("at")).alias("at"))
+    spans = b.select("locus", F.posexplode(F.arrays_zip(F.slice("at", F.lit(1), F.size("at") - 1).alias("a"), F.slice("at", F.lit(2), F.size("at") - 1).alias("z"))).alias("i", "s"))
+    spans = spans.select("locus", "i", F.col("s.a").cast("long").alias("a"), F.col("s.z").cast("long").alias("z"))
+    windows = spans.select(F.col("locus").alias("_locus"), F.col("i").alias("seg"), F.explode(F.sequence("a", F.col("z") - 1)).alias("_w"))
+    held = cells.select("locus", "sample", "w", "cp").join(windows, (F.col("locus") == F.col("_locus")) & (F.col("w") == F.col("_w")))
+    sums = held.groupBy("locus", "seg", "sample").agg(F.sum("cp").alias("total"), F.count("cp").alias("n"))
+
+    def of(key, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if s.empty or p.empty:
             return pd.DataFrame({"locus": [], "w0": [], "w1": []})
-        at = sorted(set(int(i) for i in b["at"].iat[0]))
-        wide = c.pivot_table(index="sample", columns="w", values="cp").to_numpy(float)
-        w = np.sort(c.w.unique())
-        while len(at) > 2:
-            means = []
-            for a, z in pairwise(at):
-                cols = wide[:, (w >= a) & (w < z)]
-                means.append(np.nanmean(cols, 1) if cols.size else np.full(len(wide), np.nan))
-            m = np.array(means)
-            with np.errstate(all="ignore"):
-                r = np.array([np.corrcoef(p, q)[0, 1] for p, q in pairwise(m)])
-                x = np.nanmean(m, 1)
-                cut = np.minimum(0.9 / np.minimum(x[:-1], x[1:]) ** 0.6 + 0.5, 0.9)
-                go, drop = r > cut, np.abs(r) >= cut
-            if not go.any():
-                break
-            at = [p for i, p in enumerate(at) if not (0 < i < len(at) - 1 and drop[i - 1])]
+        p = p.sort_values("i")
+        names = np.sort(s["sample"].unique())
+        at = [*p.a.tolist(), int(p.z.iat[-1])]
+        total, n = np.zeros((len(p), len(names))), np.zeros((len(p), len(names)))
+        row, col = s.seg.to_numpy(), np.searchsorted(names, s["sample"].to_numpy())
+        total[row, col], n[row, col] = s.total, s.n
+        at = merged_breaks(total, n, at, lambda x: np.minimum(0.9 / x**0.6 + 0.5, 0.9))
         return pd.DataFrame({"locus": key[0], "w0": at[:-1], "w1": at[1:]})
 
-    b = breaks.select(F.col("locus").alias("of_locus"), "at")
-    return cells.groupBy("locus").cogroup(b.groupBy("of_locus")).applyInPandas(of, "locus string, w0 long, w1 long")
+    named = spans.select(F.col("locus").alias("of_locus"), F.col("i").alias("i"), F.col("a").alias("a"), F.col("z").alias("z"))
+    return sums.groupBy("locus").cogroup(named.groupBy("of_locus")).applyInPandas(of, "locus string, w0 long, w1 long")

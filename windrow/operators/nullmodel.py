@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from windrow.functions import special
+from windrow.operators.scan import ordered_buckets
 from windrow.operators.tracks import moving
 
 
+#: Bins of a null histogram at most.
+MAX_BINS = 20_000
+
+
 @F.pandas_udf(DoubleType())
 def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     """Student t distribution function."""
@@ -62,12 +67,17 @@ def folded_p() -> Column:
 def histogram(track: DataFrame, keys: list[str], width: int, how: str = "avg") -> DataFrame:
     """Density and cumulative density of moving means (or sums, for log-likelihoods): ``bin, lo, hi, n, share, cumulative``.
 
-    Bins have 3.5 sd / n^(1/3) / 10 between -5 sd and 5 sd, and one open bin
-    on either side.
+    Bins have 3.5 sd / n^(1/3) / 10 between -5 sd and 5 sd, but there are no
+    more than MAX_BINS of them, and one open bin on either side.
     """
-    m = moving(track, keys, width, how).select("moving")
+    return value_histogram(moving(track, keys, width, how).select("moving"))
+
+
+def value_histogram(m: DataFrame) -> DataFrame:
+    """The same histogram over a column ``moving`` of any values."""
     s = m.agg(F.stddev_pop("moving").alias("sd"), F.count("*").alias("total"))
     step = 3.5 * F.col("sd") / F.pow(F.col("total").cast("double"), F.lit(1.0 / 3.0)) / 10
+    step = F.greatest(step, 10 * F.col("sd") / F.lit(float(MAX_BINS)))
     s = s.withColumn("step", step).withColumn("bins", F.ceil(10 * F.col("sd") / F.col("step")))
     one = F.broadcast(s)
     last = F.col("bins") - 1
@@ -75,39 +85,83 @@ def histogram(track: DataFrame, keys: list[str], width: int, how: str = "avg") -
     counted = m.join(one, F.lit(True)).groupBy(F.greatest(F.lit(-1), F.least(at, last)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
     grid = s.select(F.explode(F.sequence(F.lit(-1).cast("long"), F.col("bins").cast("long") - 1)).alias("bin"), "sd", "step", "total", "bins")
     full = grid.join(counted, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # some hundred bins
+    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # MAX_BINS rows at most
     lo = F.when(F.col("bin") < 0, F.lit(-99999.9)).otherwise(-5 * F.col("sd") + F.col("bin") * F.col("step"))
     hi = F.when(F.col("bin") == last, F.lit(99999.9)).otherwise(-5 * F.col("sd") + (F.col("bin") + 1) * F.col("step"))
     return full.select("bin", lo.alias("lo"), hi.alias("hi"), "n", (F.col("n") / F.col("total")).alias("share"), (F.sum("n").over(up) / F.col("total")).alias("cumulative"))
 
 
+def _cumulative_at(df: DataFrame, hist: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the cumulative density one bin beyond the one that holds ``value``."""
+    table = hist.agg(F.sort_array(F.collect_list(F.struct("bin", "lo", "cumulative"))).alias("_h"))  # MAX_BINS entries at most
+    table = table.withColumn("_step", F.element_at("_h", 3)["lo"] - F.element_at("_h", 2)["lo"])
+    j = df.join(F.broadcast(table), F.lit(True))
+    v, first = F.col(value), F.element_at("_h", 2)["lo"]
+    # edges are even but for the outer ones: a guess by division, moved by one where rounding misled it
+    guess = F.greatest(F.lit(1), F.least(F.ceil((v - first) / F.col("_step")) + 1, F.size("_h"))).cast("int")
+    at = F.when(F.element_at("_h", guess)["lo"] >= v, guess - 1).when((guess < F.size("_h")) & (F.element_at("_h", F.least(guess + 1, F.size("_h")))["lo"] < v), guess + 1).otherwise(guess)
+    return j.withColumn(out, F.element_at("_h", F.least(F.greatest(at, F.lit(0)) + 2, F.size("_h")).cast("int"))["cumulative"]).drop("_h", "_step")
+
+
 def empirical_p(calls: DataFrame, hist: DataFrame, value: str, width: int) -> DataFrame:
     """Adds ``p`` from the cumulative histogram, one bin beyond the value's, folded, times sqrt(width), 0.5 at most."""
-    table = hist.agg(F.sort_array(F.collect_list(F.struct("bin", "lo", "cumulative"))).alias("h"))  # some hundred bins
-    j = calls.join(F.broadcast(table), F.lit(True))
-    # searchsorted over the edges is one more than the bin that holds the value
-    at = F.size(F.filter("h", lambda b: b["lo"] < F.col(value)))
-    c = F.element_at("h", F.least(at + 2, F.size("h")).cast("int"))["cumulative"]
-    folded = F.when(c > 0.5, 1 - c).otherwise(c)
-    return j.withColumn("p", F.least(F.greatest(folded, F.lit(0.0)) * F.sqrt(F.lit(float(width))), F.lit(0.5))).drop("h")
+    j = _cumulative_at(calls, hist, value, "_c")
+    folded = F.when(F.col("_c") > 0.5, 1 - F.col("_c")).otherwise(F.col("_c"))
+    return j.withColumn("p", F.least(F.greatest(folded, F.lit(0.0)) * F.sqrt(F.lit(float(width))), F.lit(0.5))).drop("_c")
+
+
+def log_p_track(track: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The histogram of single windows, and the track with ``cp`` replaced by the log of its folded cumulative density.
+
+    A window beyond all bins counts as half a window, so that logs are finite.
+    """
+    hist = value_histogram(track.select(F.col("cp").alias("moving")))
+    total = hist.agg(F.sum("n").alias("_total"))
+    j = _cumulative_at(track, hist, "cp", "_c").join(F.broadcast(total), F.lit(True))  # one row
+    folded = F.greatest(F.when(F.col("_c") > 0.5, 1 - F.col("_c")).otherwise(F.col("_c")), 0.5 / F.col("_total"))
+    return hist, j.withColumn("cp", F.log(folded)).drop("_c", "_total")
+
+
+def likelihood_p(calls: DataFrame, cells: DataFrame, track: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``call_id, ll, p``: the summed log density of a call's windows against sums over ``width`` consecutive windows of the null, folded.
+
+    ``cells(call_id, cp)`` are the windows of ``calls(call_id)``; the call's
+    densities are not folded, those of the null are.
+    """
+    hist, logs = log_p_track(track)
+    total = hist.agg(F.sum("n").alias("_total"))
+    own = _cumulative_at(cells, hist, "cp", "_c").join(F.broadcast(total), F.lit(True))  # one row
+    value = own.groupBy("call_id").agg(F.sum(F.log(F.greatest("_c", 0.5 / F.col("_total")))).alias("ll"))
+    c = _cumulative_at(calls.join(value, "call_id"), histogram(logs, keys, width, "sum"), "ll", "_c")
+    return c.select("call_id", "ll", F.greatest(F.when(F.col("_c") > 0.5, 1 - F.col("_c")).otherwise(F.col("_c")), F.lit(0.0)).alias("p"))
+
+
+def plain_welch_p(calls: DataFrame, null: DataFrame) -> DataFrame:
+    """Adds ``t, df, p`` of the two-sided Welch test of calls(n, mean, var) against the null, with sample variances and all windows counted."""
+    j = calls.join(F.broadcast(null), F.lit(True))  # one row
+    a, b = F.col("var") / (F.col("n") - 1), F.col("null_var") / (F.col("null_n") - 1)
+    j = j.withColumn("t", (F.col("mean") - F.col("null_mean")) / F.sqrt(a + b)).withColumn("df", (a + b) * (a + b) / (a * a / (F.col("n") - 1) + b * b / (F.col("null_n") - 1)))
+    return j.withColumn("p", F.when(F.col("n") > 1, 2 * t_cdf(-F.abs("t"), F.col("df"))))
 
 
 def deciles(df: DataFrame, value: str, parts: int = 10) -> DataFrame:
     """Edges of equal-count bins: the values at sorted positions i * (n div parts), and the largest.
 
-    Positions come from counts of value buckets carried over, so only bucket
-    members are sorted together.
+    Equal values are counted first; positions come from counts of buckets of
+    values carried over, so no task sorts them all.
     """
-    n, lo, hi = df.agg(F.count(value), F.min(value), F.max(value)).first()
+    n = df.agg(F.count(value)).first()[0]
     if not n:
         return df.sparkSession.createDataFrame([], "i int, edge double")
-    want = [(i, i * (n // parts)) for i in range(parts)]
-    span = (hi - lo) or 1.0
-    b = df.select(F.col(value).alias("v")).where("v is not null").withColumn("_b", F.floor((F.col("v") - lo) / span * 1024))
+    per = df.select(F.col(value).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("_n"))
+    b = ordered_buckets(per, ["v"], n)
     above = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = b.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")  # 1,025 rows at most
-    pos = b.join(F.broadcast(carry), "_b").withColumn("pos", F.row_number().over(Window.partitionBy("_b").orderBy("v")) - 1 + F.col("_before"))
-    edges = pos.join(F.broadcast(df.sparkSession.createDataFrame(want, "i int, pos long")), "pos").select("i", F.col("v").alias("edge"))
+    carry = b.groupBy("_b").agg(F.sum("_n").alias("_m")).withColumn("_carry", F.coalesce(F.sum("_m").over(above), F.lit(0))).drop("_m")
+    to = F.sum("_n").over(Window.partitionBy("_b").orderBy("v")) + F.col("_carry")
+    held = b.join(F.broadcast(carry), "_b").withColumn("_to", to)  # a row a bucket
+    want = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(i * (n // parts)).alias("pos")) for i in range(parts)))
+    inside = F.filter(want, lambda w: (w["pos"] >= F.col("_to") - F.col("_n")) & (w["pos"] < F.col("_to")))
+    edges = held.select(F.explode(inside).alias("w"), F.col("v").alias("edge")).select("w.i", "edge")
     return edges.unionByName(df.agg(F.max(value).alias("edge")).select(F.lit(parts).alias("i"), "edge"))
 
 

@@ -202,6 +202,50 @@ def greedy_merge(x: np.ndarray, edges: np.ndarray, max_merge: float = 0.5) -> li
     return out
 
 
+def iterative_merge(x: np.ndarray, edges: np.ndarray, max_merge: float) -> np.ndarray:
+    """Edges that are left when, over and over, the first inner edge of least difference of medians goes, while that is below ``max_merge``.
+
+    All medians are taken anew each time: the plain form of
+    :func:`merged_segments`, for short signals.
+    """
+    edges = np.unique(edges).astype(int)
+    while len(edges) > 2:
+        medians = np.array([np.median(x[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        step = np.abs(np.diff(medians))
+        i = int(step.argmin())
+        if not step[i] < max_merge:
+            break
+        edges = np.delete(edges, i + 1)
+    return edges
+
+
+def merged_tracks(track: DataFrame, breaks: DataFrame, keys: list[str], max_merge: float, how: str = "heap") -> DataFrame:
+    """``keys, w0, w1, value``: segments between given breaks(keys, at) of each track after merging by ``how``: heap, iterative or greedy."""
+    types = {f.name: f.dataType.simpleString() for f in track.select(*keys).schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", w0 long, w1 long, value double"
+    cols = [*keys, "w0", "w1", "value"]
+
+    def of(key, t: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if t.empty:
+            return pd.DataFrame({c: [] for c in cols})
+        t = t.sort_values("w")
+        x, w = t.cp.to_numpy(float), t.w.to_numpy()
+        inner = np.searchsorted(w, [p for at in b["at"] for p in at])
+        edges = np.unique(np.concatenate([[0], inner[(inner > 0) & (inner < len(x))], [len(x)]])).astype(int)
+        if how == "iterative":
+            left = iterative_merge(x, edges, max_merge)
+            s = [(a, e, float(np.median(x[a:e]))) for a, e in zip(left[:-1], left[1:], strict=True)]
+        else:
+            s = (merged_segments if how == "heap" else greedy_merge)(x, edges, max_merge)
+        out = pd.DataFrame({"w0": [w[a] for a, *_ in s], "w1": [w[e - 1] + 1 for _, e, _ in s], "value": [v for *_, v in s]})
+        for k, v in zip(keys, key, strict=True):
+            out[k] = v
+        return out[cols]
+
+    b = breaks.select(*(F.col(k).alias(f"_{k}") for k in keys), "at")
+    return track.select(*keys, "w", "cp").groupBy(*keys).cogroup(b.groupBy(*(f"_{k}" for k in keys))).applyInPandas(of, schema)
+
+
 def segment_stats(segs: DataFrame, track: DataFrame, keys: list[str]) -> DataFrame:
     """Adds mean, median and population variance of the windows of each segment."""
     cells = segs.withColumn("w", F.explode(F.sequence("w0", F.col("w1") - 1))).join(track.select(*keys, "w", "cp"), [*keys, "w"])

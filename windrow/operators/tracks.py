@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrow.operators.scan import with_halo
+from windrow.operators.scan import lagged, neighbours, running_count, with_halo
 
 #: Windows of a tile for rolling frames.
 TILE = 65_536
@@ -36,14 +36,12 @@ def repaired(track: DataFrame, keys: list[str]) -> DataFrame:
     the last window but one takes the left neighbour.  A track without any
     value stays null.
     """
-    back = Window.partitionBy(*keys).orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy("w").rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy(*keys)
-    known = F.when(F.col("value").isNotNull(), F.col("w"))
-    left, right = F.last("value", ignorenulls=True).over(back), F.first("value", ignorenulls=True).over(ahead)
-    end = F.coalesce(F.min(known).over(ahead), F.max("w").over(whole) + 1)
-    fill = F.when(left.isNull(), right).when(right.isNull() | (end >= F.max("w").over(whole)), left).otherwise((left + right) / 2)
-    return track.withColumn("value", F.coalesce("value", fill))
+    last = track.groupBy(*keys).agg(F.max("w").alias("_last"))
+    j = neighbours(track, keys, "w", "value", TILE).join(last, keys)
+    left, right = F.col("_before.v"), F.col("_after.v")
+    end = F.coalesce("_after.at", F.col("_last") + 1)
+    fill = F.when(left.isNull(), right).when(right.isNull() | (end >= F.col("_last")), left).otherwise((left + right) / 2)
+    return j.withColumn("value", F.coalesce("value", fill)).drop("_before", "_after", "_last")
 
 
 def _ends(track: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -87,21 +85,30 @@ def moving(track: DataFrame, keys: list[str], width: int, how: str = "avg", firs
 
 def bands(track: DataFrame, keys: list[str], cap: int = 10) -> DataFrame:
     """Run-length bands of the rounded, capped value over consecutive windows: keys, start, end, cn."""
-    cn = F.least(F.round("cp"), F.lit(float(cap))).cast("int")
-    w = Window.partitionBy(*keys).orderBy("w")
-    t = track.withColumn("cn", cn)
-    t = t.withColumn("_new", F.coalesce((F.lag("cn").over(w) != F.col("cn")), F.lit(True)).cast("int")).withColumn("_band", F.sum("_new").over(w))
-    return t.groupBy(*keys, "_band").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cn").alias("cn")).drop("_band")
+    t = track.withColumn("cn", F.least(F.round("cp"), F.lit(float(cap))).cast("int"))
+    t = lagged(t, keys, ["w"], "w", "cn", "_was", TILE)
+    g = running_count(t, keys, ["w"], "w", F.coalesce(F.col("_was") != F.col("cn"), F.lit(True)), "_band", TILE)
+    return g.groupBy(*keys, "_band").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cn").alias("cn")).drop("_band")
+
+
+def smoothed(track: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
+    """Binomial smoothing [1, 2, 1] / 4 of ``cp``, ``times`` over, mirrored at the edges; ordinals are dense."""
+    for _ in range(times):
+        t = with_halo(track, "w", 1, 1, TILE)
+        w = Window.partitionBy(*keys, "_tile").orderBy("w")
+        cp = F.col("cp")
+        mean = (F.coalesce(F.lag("cp").over(w), cp) + 2 * cp + F.coalesce(F.lead("cp").over(w), cp)) / 4
+        track = t.withColumn("_cp", mean).where("_core").withColumn("cp", F.col("_cp")).drop("_cp", "_tile", "_core")
+    return track
 
 
 def midpoint_tiles(axis: DataFrame, keys: list[str]) -> DataFrame:
     """Tiles between the half-way points of neighbouring windows' midpoints; the outer ones end at the window's own border."""
-    mid = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
-    w = Window.partitionBy(*keys).orderBy("w")
-    t = axis.withColumn("mid", mid)
-    half = F.floor((F.col("mid") + F.lead("mid").over(w)) / 2).cast("long")
-    t = t.withColumn("t_end", F.coalesce(half, F.col("end")))
-    return t.withColumn("t_start", F.coalesce(F.lag("t_end").over(w), F.col("start")))
+    t = axis.withColumn("mid", F.floor((F.col("start") + F.col("end")) / 2).cast("long"))
+    n = neighbours(t, keys, "w", "mid", TILE)
+    half = lambda a, b: F.floor((a + b) / 2).cast("long")
+    n = n.withColumn("t_end", F.coalesce(half(F.col("mid"), F.col("_after.v")), F.col("end")))
+    return n.withColumn("t_start", F.coalesce(half(F.col("_before.v"), F.col("mid")), F.col("start"))).drop("_before", "_after")
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float, float, float]]:
@@ -113,21 +120,33 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, floa
 
 
 def gaussian_derivatives(track: DataFrame, keys: list[str], sigma: float, kernel: list[tuple] | None = None) -> DataFrame:
-    """``keys, w, g0, g1, g2``: smoothed value and its first two derivatives, mirrored at the edges.
+    """``keys, w, g0, g1, g2``: smoothed value and its first two derivatives, mirrored at the edges; ordinals are dense.
 
-    Every value is sent to the windows whose kernel covers it, with the
-    mirror images of border values, and summed there.
+    The values of a tile and its halo meet once, as an array; each window is
+    a dot product of the kernel with a slice of it.
     """
     kernel = kernel or gaussian_kernel(sigma)
     r = max(k[0] for k in kernel)
-    spark = track.sparkSession
-    k = F.broadcast(spark.createDataFrame([(int(o), float(a), float(b), float(c)) for o, a, b, c in kernel], "off long, k0 double, k1 double, k2 double"))  # 2r+1 rows
+    tile = max(4 * r, 1_024)
     n = track.groupBy(*keys).agg(F.count("*").alias("_n"))
     t = track.select(*keys, "w", "cp").join(n, keys)
     images = F.array(F.col("w"), F.when(F.col("w") < r, -F.col("w") - 1), F.when(F.col("w") >= F.col("_n") - r, 2 * F.col("_n") - 1 - F.col("w")))
-    spread = t.withColumn("_at", F.explode(F.array_compact(images))).withColumn("off", F.explode(F.sequence(F.lit(-r).cast("long"), F.lit(r).cast("long")))).join(k, "off")
-    to = spread.withColumn("_to", F.col("_at") - F.col("off")).where("_to >= 0 and _to < _n")
-    return to.groupBy(*keys, F.col("_to").alias("w")).agg(*(F.sum(F.col("cp") * F.col(f"k{i}")).alias(f"g{i}") for i in range(3)))
+    # a track shorter than the kernel is folded again and again
+    folded = F.when(F.col("_n") >= r, F.array_compact(images)).otherwise(
+        F.filter(F.sequence(F.lit(-r).cast("long"), F.col("_n") + r), lambda x: F.least(F.pmod(x, 2 * F.col("_n")), 2 * F.col("_n") - 1 - F.pmod(x, 2 * F.col("_n"))) == F.col("w"))
+    )
+    placed = with_halo(t.withColumn("at", F.explode(folded)), "at", r, r, tile)
+    seen = placed.groupBy(*keys, "_tile", "_n").agg(F.array_sort(F.collect_list(F.struct("at", "cp"))).alias("s"))  # tile + 2 r values
+    first = F.element_at("s", 1)["at"]
+    seen = seen.withColumn("x", F.transform("s", lambda v: v["cp"])).withColumn("first", first)
+    lo = F.greatest(F.lit(0).cast("long"), F.col("_tile") * tile)
+    hi = F.least(F.col("_n"), (F.col("_tile") + 1) * tile) - 1
+    out = seen.where(lo <= hi).withColumn("w", F.explode(F.sequence(lo, hi)))
+    window = F.slice("x", (F.col("w") - F.col("first") - r + 1).cast("int"), 2 * r + 1)
+    out = out.select(*keys, "w", window.alias("v"))
+    weights = [F.array(*(F.lit(float(k[i])) for k in kernel)) for i in (1, 2, 3)]
+    dot = lambda w: F.aggregate(F.zip_with("v", w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return out.select(*keys, "w", *(dot(w).alias(f"g{i}") for i, w in enumerate(weights)))
 
 
 def edges(derivatives: DataFrame, keys: list[str], collapsed: bool = True) -> DataFrame:

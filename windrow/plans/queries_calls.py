@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from windrow.operators import calls as cl
 from windrow.operators import intervals as iv
 from windrow.operators import nullmodel as nm
+from windrow.plans import sql as sq
 from windrow.plans import views as v
 from windrow.plans.queries_tracks import _SS, r6
 
@@ -160,9 +161,9 @@ def welch_t_stats(spark, d):
     return _segments(spark, d).select("contig", "sample", "seg", "n", r6(F.col("t"), "t"), r6(F.col("df"), "df"))
 
 
-@query("t_cdf_p")
+@query("t_cdf_p", v.sql(v.PANEL, _WELCH, select=f"SELECT contig, sample, seg, CASE WHEN var = 0 THEN 0.5 ELSE round({sq.t_tail()}, 6) END AS p FROM tt"))
 def t_cdf_p(spark, d):
-    return _segments(spark, d).select("contig", "sample", "seg", nm.folded_p().alias("p"))
+    return _segments(spark, d).select("contig", "sample", "seg", r6(nm.folded_p(), "p"))
 
 
 _HIST = """
@@ -179,7 +180,10 @@ def null_histogram(spark, d):
     return nm.histogram(t, ["contig"], 4).select("bin", F.col("n").cast("long").alias("n"), r6(F.col("share"), "share"), r6(F.col("cumulative"), "cumulative"))
 
 
-@query("empirical_p")
+_EMPIRICAL = (v.TRACK, "mm AS (SELECT contig, w, row_number() OVER (PARTITION BY contig ORDER BY w) AS rn, avg(cp - 1.9) OVER (PARTITION BY contig ORDER BY w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS x FROM track)", "src AS (SELECT x FROM mm WHERE rn > 4)", sq.histogram("e", "src"), f"em AS (SELECT contig, seg, {sq.density('e', 'mean')} AS c FROM (SELECT contig, w // 4 AS seg, avg(cp - 1.9) AS mean FROM track GROUP BY 1, 2))")
+
+
+@query("empirical_p", v.sql(*_EMPIRICAL, select=f"SELECT contig, seg, round(least(greatest({sq.folded('c')}, 0) * 2, 0.5), 6) AS p FROM em"))
 def empirical_p(spark, d):
     t = v.track(spark, d).withColumn("cp", F.col("cp") - 1.9)
     segments = t.groupBy("contig", F.floor(F.col("w") / 4).alias("seg")).agg(F.avg("cp").alias("mean"))
@@ -211,9 +215,9 @@ def rank_sum_z(spark, d):
     return nm.rank_sum(x, "g", "cp", ["contig", "w"]).select("contig", "w", "n1", "n2", r6(F.col("z"), "z"))
 
 
-@query("rank_sum_p")
+@query("rank_sum_p", v.sql(v.PANEL, _RS, "zz AS (SELECT contig, w, (s - n1 * (n1 + n2 + 1) / CAST(2 AS DOUBLE)) / sqrt(n1 * n2 * (n1 + n2 + 1) / CAST(12 AS DOUBLE)) AS z FROM sm)", select=f"SELECT contig, w, round({sq.normal_two_sided('z')}, 6) AS p FROM zz"))
 def rank_sum_p(spark, d):
     x = v.panel(spark, d).withColumn("g", F.col("sample").cast("int") % 2 == 0)
-    return nm.rank_sum(x, "g", "cp", ["contig", "w"]).select("contig", "w", "p")
+    return nm.rank_sum(x, "g", "cp", ["contig", "w"]).select("contig", "w", r6(F.col("p"), "p"))
 
 

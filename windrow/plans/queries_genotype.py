@@ -123,8 +123,8 @@ def em_one_step(spark, d):
 
 _CROSS = """
 cx AS (SELECT locus, component, mean AS m1, var AS v1, weight AS w1, lead(mean) OVER w AS m2, lead(var) OVER w AS v2, lead(weight) OVER w AS w2 FROM comp WINDOW w AS (PARTITION BY locus ORDER BY mean, component)),
-ca AS (SELECT *, v1 - v2 AS a, -2 * (m2 * v1 - m1 * v2) AS b, 2 * v1 * v2 * (ln(w1 / sqrt(v1)) - ln(w2 / sqrt(v2))) + v1 * m2 * m2 - v2 * m1 * m1 AS c FROM cx WHERE m2 IS NOT NULL),
-cd AS (SELECT *, CASE WHEN v1 = v2 THEN (m1 + m2) / 2 WHEN b * b - 4 * a * c < 0 THEN NULL WHEN (-b + sqrt(b * b - 4 * a * c)) / (2 * a) BETWEEN m1 AND m2 THEN (-b + sqrt(b * b - 4 * a * c)) / (2 * a) ELSE (-b - sqrt(b * b - 4 * a * c)) / (2 * a) END AS x FROM ca)""".strip()
+ca AS (SELECT *, v1 * v2 * (pow(m2 - m1, 2) + k * (v2 - v1)) AS square FROM (SELECT *, 2 * ln(w1 / w2) + ln(v2 / v1) AS k FROM cx WHERE m2 IS NOT NULL)),
+cd AS (SELECT *, CASE WHEN v1 = v2 THEN (m1 + m2) / 2 WHEN square >= 0 THEN m1 + v1 * (pow(m2 - m1, 2) + k * v2) / (sqrt(square) + v1 * (m2 - m1)) END AS x FROM ca)""".strip()
 
 
 @query("gaussian_crossing", v.sql(*_OBS, _COMP, _CROSS, select="SELECT locus, component, round(x, 4) AS x FROM cd"))
@@ -132,7 +132,7 @@ def gaussian_crossing(spark, d):
     w = Window.partitionBy("locus").orderBy("mean", "component")
     c = components(stats(obs(spark, d)))
     c = c.withColumns({f"next_{k}": F.lead(k).over(w) for k in ("mean", "var", "weight")}).where("next_mean is not null")
-    return gt.distances_from_crossing(c).select("locus", "component", F.round("x", 4).alias("x"))
+    return gt.crossings(c).select("locus", "component", F.round("x", 4).alias("x"))
 
 
 _QC = """
@@ -146,15 +146,24 @@ def genotype_qc(spark, d):
     return gt.quality(stats(o), o, max_mu=2.1, min_max_d=0.45, singleton_sigma=5.0, dup_sigma=4.0).drop("overlapping")
 
 
-@query("sex_link_counts", v.sql(*_OBS, "l AS (SELECT locus, label, count(*) AS n, count(*) FILTER (CAST(sample AS INT) % 2 = 0) AS f, count(*) FILTER (CAST(sample AS INT) % 2 = 1) AS m FROM obs GROUP BY 1, 2)", "r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY n DESC, label) AS r FROM l)", select="SELECT locus, coalesce(max(f) FILTER (r = 1), 0) AS f1, coalesce(max(m) FILTER (r = 1), 0) AS m1, coalesce(max(f) FILTER (r = 2), 0) AS f2, coalesce(max(m) FILTER (r = 2), 0) AS m2 FROM r WHERE r <= 2 GROUP BY 1"))
+_SEX = (*_OBS, "l AS (SELECT locus, label, count(*) AS n, count(*) FILTER (CAST(sample AS INT) % 2 = 0) AS f, count(*) FILTER (CAST(sample AS INT) % 2 = 1) AS m FROM obs GROUP BY 1, 2)", "r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY n DESC, label) AS r FROM l)", "sx AS (" + "SELECT locus, coalesce(max(f) FILTER (r = 1), 0) AS f1, coalesce(max(m) FILTER (r = 1), 0) AS m1, coalesce(max(f) FILTER (r = 2), 0) AS f2, coalesce(max(m) FILTER (r = 2), 0) AS m2 FROM r WHERE r <= 2 GROUP BY 1" + ")")
+
+
+@query("sex_link_counts", v.sql(*_SEX, select="SELECT * FROM sx"))
 def sex_link_counts(spark, d):
     return gt.top_labels_by_sex(obs(spark, d), F.when(F.col("sample").cast("int") % 2 == 0, "F").otherwise("M"))
 
 
-@query("fisher_p")
+_FISHER = """
+fx AS (SELECT *, unnest(range(greatest(0, f1 + m1 + f1 + f2 - n), least(f1 + m1, f1 + f2) + 1)) AS x FROM (SELECT *, f1 + m1 + f2 + m2 AS n FROM sx)),
+fl AS (SELECT locus, x = f1 AS own, -(lgamma(x + 1) + lgamma(f1 + m1 - x + 1) + lgamma(f1 + f2 - x + 1) + lgamma(n - f1 - m1 - f1 - f2 + x + 1)) AS l FROM fx),
+fo AS (SELECT locus, max(l) FILTER (own) AS o, max(l) AS top FROM fl GROUP BY 1)""".strip()
+
+
+@query("fisher_p", v.sql(*_SEX, _FISHER, select="SELECT locus, round(sum(exp(l - top)) FILTER (l <= o + 1e-7) / sum(exp(l - top)), 6) AS p FROM fl JOIN fo USING (locus) GROUP BY 1"))
 def fisher_p(spark, d):
     c = sex_link_counts(spark, d)
-    return c.select("locus", nm.fisher_p("f1", "m1", "f2", "m2").alias("p"))
+    return c.select("locus", r6(nm.fisher_p("f1", "m1", "f2", "m2"), "p"))
 
 
 _GENO = """geno AS (SELECT contig, w, start, "end", sample, CAST(least(round(cp), 4) AS INT) AS cn, cp FROM panel)"""

@@ -11,18 +11,25 @@ from windrow.operators import intervals as iv
 from windrow.operators import mixture as mx
 from windrow.operators import nullmodel as nm
 from windrow.operators import segmentation as sg
+from windrow.plans import sql as sq
 from windrow.plans import views as v
-from windrow.plans.queries_calls import clustered
+from windrow.plans.queries_calls import _SWEEP, clustered
 from windrow.plans.queries_genotype import cells, obs
 
 QUERIES, SQL = {}, {}
 
 
-def query(f):
+def query(f, sql=None):
     QUERIES[f.__name__] = f
+    if sql is not None:
+        SQL[f.__name__] = sql
     return f
 
 
+def checked(sql):
+    return lambda f: query(f, sql)
+
+
 @query
 def contours(spark, d):
     return sg.contour_rows(v.track(spark, d), ["contig"])
@@ -42,17 +49,23 @@ def segment_e2e(spark, d):
     return cl.bh_fdr(scored, 0.05, ["p", "contig", "sample", "w0"]).select("contig", "sample", "w0", "w1", "n", "mean", "p", "rank", "significant")
 
 
-@query
+@checked(v.sql(v.CALLS, _SWEEP, sq.linkage("clustered", ["chr"]), select='SELECT chr, cluster_no, call_id, start, "end", sub FROM clustered JOIN linked USING (chr, cluster_no, start, "end")', recursive=True))
 def linkage_clusters(spark, d):
     return mx.linkage_clusters(clustered(spark, d), ["chr"])
 
 
-@query
+_REFINED = (v.CALLS.replace("calls AS", "every AS", 1), "calls AS (SELECT * FROM every WHERE (p / exp(mu * mu) < 0.05 OR abs(mu) > 0.5) AND window_size >= 2)", _SWEEP, sq.linkage("clustered", ["chr"]))
+_RESOLVED = """
+subs AS (SELECT chr, cluster_no, sub, median(start) AS s, median("end") AS e, count(*) AS n, sum(log10(p)) AS ll, list(indiv_ref) AS refs, sum(count(*)) OVER (PARTITION BY chr, cluster_no) AS members
+         FROM clustered JOIN linked USING (chr, cluster_no, start, "end") GROUP BY 1, 2, 3)""".strip()
+
+
+@checked(v.sql(*_REFINED, _RESOLVED, select='SELECT chr, cluster_no, min(s) AS start, max(e) AS "end", array_to_string(list_sort(list_distinct(flatten(list(refs)))), chr(44)) AS called_refs, round(sum(ll), 6) AS log_likelihood FROM subs WHERE members = 1 OR (round(ll, 9) < -3 AND n >= 2) GROUP BY 1, 2', recursive=True))
 def refine_calls(spark, d):
     """Filter, cluster by overlap, split by linkage, keep likely sub-clusters, resolve."""
     c = iv.overlap_clusters(cl.filtered(v.calls(spark, d), 0.05, 2, 0.5), ["chr"], ["start", "end", "call_id"])
     sub = mx.linkage_clusters(c, ["chr"]).select("call_id", "sub")
-    return cl.resolved(c.join(sub, "call_id"), ["chr"])
+    return cl.resolved(c.join(sub, "call_id"), ["chr"]).withColumn("log_likelihood", F.round("log_likelihood", 6)).withColumn("called_refs", F.array_join("called_refs", ","))
 
 
 @query
@@ -86,8 +99,9 @@ def correlated_segments(spark, d):
 def info_records(spark, d):
     """Quality statistics of every locus side by side."""
     c = cells(spark, d)
-    # the fits feed nine branches; a row for each locus and sample, fitted anew if an executor goes
-    o = mx.genotypes(obs(spark, d, c).select("locus", "sample", "mu"), ["locus"], high=12.0).persist()
+    # the fits feed nine branches; a row for each locus and sample
+    o = mx.genotypes(obs(spark, d, c).select("locus", "sample", "mu"), ["locus"], high=12.0)
+    o = v.kept(o)
     regions = v.regions(spark).select(F.col("region_id").alias("locus"), "contig", "start", "end")
     gc = c.groupBy("locus").agg(F.avg(F.pmod(F.col("w") * 37 + 11, F.lit(100)) / 100.0).alias("gc"))
     spans = c.groupBy("locus", "sample").agg(F.min("w").alias("w0"), (F.max("w") + 1).alias("w1")).join(regions.select("locus", "contig"), "locus")

@@ -41,7 +41,19 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     A lookup reads the axis several times; it is a row for each window, kept
     so that the panel behind it is aggregated once.
     """
-    return with_coordinates(panel(spark, sf_dir).select("contig", "w").distinct()).persist()
+    return kept(with_coordinates(panel(spark, sf_dir).select("contig", "w").distinct()))
+
+
+#: Frames that queries of a session keep, the oldest first.
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame, most: int = 4) -> DataFrame:
+    """``df`` persisted; of a session's persisted frames the ``most`` latest stay, an older one is computed anew if it is read again."""
+    _KEPT.append(df.persist())
+    while len(_KEPT) > most:
+        _KEPT.pop(0).unpersist()
+    return df
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +117,5 @@ DUPS = """dups AS (SELECT chr, start, "end" FROM calls WHERE mu > 1.0)"""
 REGION_VALUES = "regions(region_id, contig, start, \"end\") AS (SELECT CAST(a AS BIGINT), b, CAST(c AS BIGINT), CAST(d AS BIGINT) FROM (VALUES " + ", ".join(f"({i}, '{c}', {s}, {e})" for i, (c, s, e) in enumerate(REGIONS)) + ") v(a, b, c, d))"
 
 
-def sql(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+def sql(*ctes: str, select: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + select

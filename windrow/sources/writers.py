@@ -17,7 +17,8 @@ COLOURS = ("229,229,229", "196,196,196", "0,0,0", "0,0,205", "65,105,225", "100,
 
 def write_panel(panel: DataFrame, path: str) -> None:
     """Panel as Parquet by kind and contig, sorted within files so that start bounds prune."""
-    panel.repartition("kind", "contig").sortWithinPartitions("contig", "w").write.mode("overwrite").partitionBy("kind", "contig").parquet(path)
+    # by range, so that a contig with a third of all rows is many tasks and files
+    panel.repartitionByRange("kind", "contig", "w").sortWithinPartitions("kind", "contig", "w").write.mode("overwrite").partitionBy("kind", "contig").parquet(path)
 
 
 def write_panel_meta(panel: DataFrame, path: str, wnd_size: int, wnd_slide: int) -> None:
@@ -55,6 +56,28 @@ def cluster_bed_lines(clustered: DataFrame) -> DataFrame:
     return clustered.select(F.struct("chr", "start", "end", "call_id").alias("order"), line.alias("value"))
 
 
+def bed_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Tab-separated lines of the columns (contig, start, end and any others), ordered by the first three."""
+    return rows.select(F.struct(*columns[:3]).alias("order"), F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("value"))
+
+
+def cluster_lines(clustered: DataFrame, keys: list[str]) -> DataFrame:
+    """A line for each cluster: contig, extent, size, log10 likelihood, references."""
+    c = clustered.groupBy(*keys, "cluster_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.format_string("%.6f", F.sum(F.log10("p"))).alias("ll"), F.array_join(F.array_sort(F.collect_set("indiv_ref")), ",").alias("refs"))
+    return bed_lines(c, [keys[-1], "start", "end", "n", "ll", "refs"])
+
+
+def cluster_element_lines(clustered: DataFrame) -> DataFrame:
+    """A line for each call of a cluster: contig, cluster, reference, bounds, value, p."""
+    line = F.concat_ws("\t", "chr", F.col("cluster_no").cast("string"), "indiv_ref", F.col("start").cast("string"), F.col("end").cast("string"), F.format_string("%.6f", "mu"), F.format_string("%.8e", "p"))
+    return clustered.select(F.struct("chr", "cluster_no", "start", "end", "indiv_ref").alias("order"), line.alias("value"))
+
+
+def calibration_grid(spark, widths, mus) -> DataFrame:
+    """``width, mu`` of every pair: the grid over which a null distribution is calibrated."""
+    return spark.createDataFrame([(int(w), float(m)) for w in widths for m in mus], "width int, mu double")
+
+
 def resolved_lines(resolved: DataFrame) -> DataFrame:
     """Resolved calls with five proper columns and a header."""
     body = resolved.select(F.struct(F.lit(1).alias("a"), "chr", "start").alias("order"), F.concat_ws("\t", "chr", F.col("start").cast("long").cast("string"), F.col("end").cast("long").cast("string"), F.array_join("called_refs", ","), F.format_string("%.6f", "log_likelihood")).alias("value"))
