@@ -1,7 +1,11 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import docs, empty
 from windrow.llm import toxicity as tx
@@ -45,6 +49,75 @@ def test_whole_table(spark, tiny):
     assert len(rows) == table(spark, tiny, "documents").count()
 
 
+def plain_scores(docs, labels):
+    """Scores by strings and dictionaries; only the two fits are the module's own."""
+    truth = {}
+    for i, t in labels:
+        if i is not None and t in (0, 1) and zlib.crc32(str(i).encode()) % 5:
+            truth[i] = max(t, truth.get(i, 0))
+
+    def features(text):
+        words = [w for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower().encode()) if w]
+        return {("w", w) for w in words}, {("s", w[:n]) for w in words for n in tx.STEMS if len(w) > n}, len(words)
+
+    seen, n, count = set(), [0, 0], defaultdict(lambda: [0, 0])
+    for i, t in docs:
+        if i in truth and (t or "", truth[i]) not in seen:
+            seen.add((t or "", truth[i]))
+            n[truth[i]] += 1
+            w, s, _ = features(t)
+            for f in w | s:
+                count[f][truth[i]] += 1
+    good = sorted(f for f, (c, x) in count.items() if x >= tx.MIN_DOCS and x >= tx.MIN_PRECISION * (x + c + 2) and math.log((x + 0.3) / (n[1] + 1)) - math.log((c + 0.3) / (n[0] + 1)) >= tx.MIN_LOG_ODDS)
+    number = {f: j for j, f in enumerate(good)}
+
+    def hashed(f):
+        data = np.frombuffer(f[1] + b"xx", np.uint8)
+        return int(tx._lexicon_hashes([f[1].decode()])[0]) if f[0] == "w" else int(tx._stems(data, np.array([0]))[tx.STEMS.index(len(f[1])), 0])
+
+    deal = {f: hashed(f) % (tx.WORD_LISTS if f[0] == "w" else tx.STEM_LISTS) for f in good}
+    rows = []
+    for i, t in docs:
+        w, s, k = features(t)
+        lex = sum(("w", x.encode()) in w for x in tx.LEXICON)
+        fw, fs = [f for f in w if f in number], [f for f in s if f in number]
+        masked = bool(re.search(r"\b[a-z]{1,3}[*#@$]{2,}[a-z]{0,3}\b", t or "", re.I | re.A)) and k > 0
+        address = lex > 0 and any(m[1].lower() in tx.LEXICON for m in re.finditer(r"\byou(?:'re| are)? (?:an? |such an? |all )?(\w+)", t or "", re.I | re.A))
+        hits = lex + len(fw) + len(fs)
+        vote = [lex > 0, *(any(deal[f] == j for f in fw) for j in range(tx.WORD_LISTS)), *(any(deal[f] == j for f in fs) for j in range(tx.STEM_LISTS)), masked, address, hits > 0 and hits >= 0.01 * k]
+        vote = (*map(int, vote), -int(not lex and not fw), -int(not fs))
+        extra = [len(good)] * (lex > 0) + [len(good) + 1] * (lex > 1) + [len(good) + 2] * masked + [len(good) + 3] * address
+        rows.append((i, vote, np.array([number[f] for f in fw + fs] + extra, np.int64), zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0))
+    pattern = Counter(v for _, v, _, held in rows if not held)
+    model = tx.LabelModel(np.array(list(pattern)), np.array(list(pattern.values())), np.mean(list(truth.values())))
+    fit = [(v, f) for i, v, f, _ in rows if i in truth]
+    w = tx.fit_linear([f for _, f in fit], model.posterior(np.array([v for v, _ in fit])), len(good) + 4)
+    margin = [float(np.clip(w[f].sum() + w[-1], -tx.MARGIN, tx.MARGIN)) for _, _, f, _ in rows]
+    bins = Counter((truth[i], min(math.floor((m / tx.MARGIN + 1) / 2 * tx.BINS), tx.BINS - 1)) for (i, *_), m in zip(rows, margin, strict=True) if i in truth)
+    cut = tx._cut([{"toxic": t, "at": a, "count": k} for (t, a), k in bins.items()], float(w[-1]))
+    return [(i, held, 1 / (1 + math.exp(cut - m))) for (i, _, _, held), m in zip(rows, margin, strict=True)]
+
+
+def test_whole_table_equals_brute_force(spark, tiny):
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, tiny, "documents").collect()]
+    want = sorted(plain_scores(docs, [(r["doc_id"], r["toxic"]) for r in table(spark, tiny, "labels").collect()]))
+    got = sorted((r["doc_id"], r["held_out"], r["score"]) for r in tx.op8_toxicity(spark, tiny).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-6)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.1", 0.97)])
+def test_held_out_labels_are_met(spark, sf, least):
+    """Accuracy, and recall of toxic documents, over labels that nothing was learnt from."""
+    d = f"/root/testdata/{sf}"
+    truth = {r["doc_id"]: r["toxic"] for r in table(spark, d, "labels").collect()}
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in tx.op8_toxicity(spark, d).collect() if r["held_out"] and r["doc_id"] in truth]
+    right = sum(p == t for p, t in held)
+    caught = sum(p for p, t in held if t)
+    print(sf, len(held), right, sum(t for _, t in held), caught)
+    assert right >= least * len(held), (right, len(held), caught)
+
+
 def test_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None), (4, 0), (6, 0), (1, 0)], "doc_id long, toxic int").selectExpr("*", "1 AS quality", "2 AS text")
     rows = tx.scored(docs(spark), labels).collect()
