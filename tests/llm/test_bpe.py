@@ -77,3 +77,13 @@ def test_awkward_rows(spark):
     nothing = hashlib.sha256(b"").hexdigest()
     assert {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows if r["doc_id"] in (3, 4, 5)} == {(0, nothing, nothing)}
     assert bpe.digests(empty(spark), bpe.default_tokenizer()).count() == 0
+
+
+def test_every_code_point_equals_library(both):
+    """Each code point between letters, digits and spaces, many of them in one text."""
+    t, b = both
+    step = 64
+    for start in range(0, 0x110000, step):
+        text = "\n".join(f"a{chr(c)}b1{chr(c)} {chr(c)}{chr(c)}. {chr(c)}2" for c in range(start, start + step) if not 0xD800 <= c < 0xE000)
+        if text and b.encode(text)[0] != struct.pack(f"<{len(ids := t.encode(text, add_special_tokens=False).ids)}I", *ids):
+            raise AssertionError(f"from {start:#x}")

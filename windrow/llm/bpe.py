@@ -9,8 +9,10 @@ the leftmost of equal ranks first.  Encoded words are kept in a bounded cache.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import os
 import sys
 import unicodedata
 from array import array
@@ -36,6 +38,21 @@ _NONE = 1 << 60
 _WHITE = "\t-\r \x85\xa0  -     　"
 
 
+#: Ranges of the letters and digits of Unicode 16, which the library's split knows and Python's tables (15.1) do not.
+_NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+)
+#: Capital letters of Unicode 16 and 17, first and last of a range, and the small letter of the first.
+_NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWERED = {chr(c): chr(c - first + small) for first, last, small in _NEW_CAPITALS for c in range(first, last + 1)}
+
+
 def _byte_chars() -> list[str]:
     """Printable stand-in of each byte: itself where printable, else code points from 256 on."""
     out, spare = [], 256
@@ -47,6 +64,23 @@ def _byte_chars() -> list[str]:
             spare += 1
     return out
 
+
+
+@functools.cache
+def _late_letters() -> str:
+    """Ranges, for a character class, of the letters and digits that are new since Unicode 16."""
+    known = {c for a, e in _NEW_LETTERS for c in range(a, e + 1)}
+    free = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in known and unicodedata.category(chr(c)) == "Cn")
+    out = []
+    for run in regex.findall(r"[\p{L}\p{N}]+", free):
+        start = 0
+        for i in range(1, len(run) + 1):
+            if i == len(run) or ord(run[i]) != ord(run[i - 1]) + 1:
+                out.append(f"{run[start]}-{run[i - 1]}" if i - start > 1 else run[start])
+                start = i
+    return "".join(out)
+
+
 def _little(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder != "little":
@@ -83,8 +117,8 @@ class WordBpe:
 
     Normalisation (NFC, white space to one space, lower case), the split
     pattern and the byte alphabet follow the file; other kinds are refused.
-    Letters that Unicode gained in version 17 may split differently from a
-    library built on older tables.
+    The library splits by Unicode 16 and lowers by Unicode 17, whatever the
+    tables of this Python and of the pattern's module.
     """
 
     def __init__(self, spec: str):
@@ -105,8 +139,16 @@ class WordBpe:
         self.first = [self.vocab.get(c, -1) for c in chars]
         self.last = [self.vocab.get(c + self.end, -1) for c in chars]
         pattern = conf["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern.replace("\\s", _WHITE), regex.V0).findall
+        plain = pattern.replace("\\s", _WHITE)
+        self.split = regex.compile(plain, regex.V0).findall
+        late = _late_letters()
+        self.rare = regex.compile(f"[{late}{''.join(_LOWERED)}]").search
+        self.capital = regex.compile(f"[{''.join(_LOWERED)}]").sub
+        old = lambda kind: f"[\\p{{{kind}}}--[{late}]]" if late else f"\\p{{{kind}}}"
+        self.split_rare = regex.compile(plain.replace("\\p{L}", old("L")).replace("\\p{N}", old("N")), regex.V1).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        # a special token is looked for only where all of them begin alike
+        self.mark = os.path.commonprefix(list(self.special))
         self.space = regex.compile(f"[{_WHITE}]+").sub
         self.cache = _Words(self)
 
@@ -151,7 +193,9 @@ class WordBpe:
         return [p for p in parts if p >= 0]
 
     def words(self, text: str) -> list[str]:
-        pieces = self.cut(text) if self.cut and "<|" in text else [text]
+        pieces = self.cut(text) if self.cut and self.mark in text else [text]
+        rare = not text.isascii() and self.rare(text) is not None
+        split = self.split_rare if rare else self.split
         out = []
         for piece in pieces:
             if piece in self.special:
@@ -159,7 +203,9 @@ class WordBpe:
             elif piece:
                 plain = unicodedata.normalize("NFC", piece)
                 plain = self.space(" ", plain).replace("Σ", "σ").lower()
-                out += self.split(plain)
+                if rare:
+                    plain = self.capital(lambda m: _LOWERED[m[0]], plain)
+                out += split(plain)
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
