@@ -72,6 +72,19 @@ def test_every_line_survives_and_short_passages_go(spark):
         assert again >= share * size * 60
 
 
+def test_long_lines_go_wherever_they_stand(spark):
+    r = random.Random(12)
+    line = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    passages, short = [line(r.randint(51, 90)) for _ in range(40)], line(50)
+    rows = [(i, "\n".join([*(line(6) for _ in range(r.randint(0, 4))), p, *(line(6) for _ in range(r.randint(0, 4)))])) for i, p in enumerate(passages * 3)]
+    rows += [(200 + i, f"{line(6)}\n{short}\n{line(6)}") for i in range(3)]
+    rows += [(300, f"{passages[0]}\n{line(6)}\n{passages[0]}"), (301, " " * 300 + "x y"), (302, " " * 300 + "x y"), (303, line(60)), (None, passages[1])]
+    out = {x["doc_id"]: x["text"].split("\n") for x in ld.cleaned(docs(spark, rows)).collect()}
+    for i, text in rows:
+        want = text.split("\n") if i is not None and (i < 40 or i > 300 or 200 <= i < 300) else [x for x in text.split("\n") if x not in passages] or [""]
+        assert out[i] == want
+
+
 def test_awkward_lines(spark):
     two = "x one\ny two\nz three"
     rows = [(1, two), (2, two), (3, None), (4, ""), (5, "\n\n"), (None, two), (6, "single"), (6, "single"), (7, "a\n" * 5000)]

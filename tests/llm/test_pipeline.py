@@ -20,12 +20,14 @@ def plain_cleaned(rows):
     for i, x in lines.items():
         h = [int(hashlib.md5(q.encode()).hexdigest()[:7], 16) for q in x]
         r = [(a * 1_000_003 + b) % 2_147_483_647 for a, b in zip(h[:-1], h[1:], strict=True)]
-        for f in range(ld.FAMILIES):
+        big = [len([w for w in q.split(" ") if w]) > ld.LONG_WORDS for q in x]
+        for f in range(ld.FAMILIES + 1):
             a = 0
             for k in range(len(x)):
                 at = k - 1 if f < ld.FAMILIES // 2 else k + 1  # the pair before the end, or the one after it
-                if k == len(x) - 1 or (0 <= at < len(r) and r[at] >> f & 1):
-                    if k - a + 1 >= ld.MIN_LINES:
+                cut = k == len(x) - 1 or (any(big[k : k + 2]) if f == ld.FAMILIES else 0 <= at < len(r) and r[at] >> f & 1)
+                if cut:
+                    if k - a + 1 >= ld.MIN_LINES or big[a]:
                         spans.add((i, a, k + 1))
                     a = k + 1
     places = defaultdict(list)

@@ -6,9 +6,11 @@ bits after the lines that were hashed, the other half before them.  Whether a
 place is a boundary depends on the lines next to it only, so boundaries move
 along when lines are put in or taken out elsewhere, and a passage that is
 repeated between foreign lines is cut alike at both its ends by some of the
-families.  Lines of chunks of two lines or more that occur more than once in
-the corpus go, but for the chunk's first occurrence, after their bytes have
-been compared with those of the first.
+families.  One more family cuts before and after every line of more than
+``LONG_WORDS`` words, which is a whole paragraph without line feeds.  Lines of
+chunks that occur more than once in the corpus go, but for the chunk's first
+occurrence, after their bytes have been compared with those of the first, if
+the chunk has two lines or more or is such a paragraph.
 
 Everything is DataFrame functions: chunks are cut inside the row by array
 functions, occurrences are counted by a partially aggregated group-by on the
@@ -28,6 +30,8 @@ WINDOW, FAMILIES = 2, 6
 #: Multiplier and modulus of the rolling hash.
 _BASE, _PRIME = 1_000_003, 2_147_483_647
 MIN_LINES = 2
+#: A line of more words is a chunk of its own.  Words are what stands between spaces.
+LONG_WORDS = 50
 #: Orders documents without an id behind all others.
 _LAST = 9223372036854775807
 
@@ -45,25 +49,34 @@ def _row_id(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
 
 
+def _long(line: Column) -> Column:
+    return (F.length(line) > 2 * LONG_WORDS) & (F.regexp_count(line, F.lit("[^ ]+")) > LONG_WORDS)
+
+
 def _ends(family: int) -> str:
-    """Last lines of the family's chunks, from ``r``, the rolling hash of each line and its next."""
+    """Last lines of the family's chunks, from ``r``, the rolling hash of each line and its next, or from ``big``, the long lines."""
+    if family == FAMILIES:
+        return "filter(sequence(1, n), i -> i = n OR big[i - 1] OR big[i])"
     if family < FAMILIES // 2:
         return f"filter(sequence(1, n), i -> i = n OR (i >= 2 AND (r[i - 2] >> {family}) % 2 = 1))"
     return f"filter(sequence(1, n), i -> i = n OR (i <= n - 2 AND (r[i] >> {family}) % 2 = 1))"
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs(row_id, text)`` as ``row_id, text_id, a, e, chunk``: first and last line of every chunk of MIN_LINES or more, and its hash."""
-    rows = docs.select("row_id", text_id(F.col("text")).alias("text_id"), F.transform(_lines(F.col("text")), lambda x: F.md5(x.cast("binary"))).alias("d"))
+    """Rows of ``docs(row_id, text)`` as ``row_id, text_id, a, e, chunk``: first and last line of every chunk that counts, and its hash."""
+    each = F.transform(_lines(F.col("text")), lambda x: F.struct(F.md5(x.cast("binary")).alias("d"), _long(x).alias("big")))
+    rows = docs.select("row_id", text_id(F.col("text")).alias("text_id"), each.alias("x"))
     # generators keep hashes from being computed anew in each expression that reads them
-    rows = rows.select("row_id", "text_id", F.explode(F.array("d")).alias("d")).where(F.size("d") >= MIN_LINES)
+    rows = rows.select("row_id", "text_id", F.explode(F.array("x")).alias("x")).where(f"size(x) >= {MIN_LINES} OR x[0].big")
+    rows = rows.select("row_id", "text_id", F.col("x.d").alias("d"), F.col("x.big").alias("big"))
     hashed = F.transform("d", lambda x: F.conv(F.substring(x, 1, 7), 16, 10).cast("long"))
-    rows = rows.select("row_id", "text_id", "d", F.size("d").alias("n"), F.explode(F.array(hashed)).alias("h"))
+    rows = rows.select("row_id", "text_id", "d", "big", F.size("d").alias("n"), F.explode(F.array(hashed)).alias("h"))
     rolled = f"zip_with(slice(h, 1, n - 1), slice(h, 2, n - 1), (x, y) -> (x * {_BASE} + y) % {_PRIME})"
-    rows = rows.select("row_id", "text_id", "d", "n", F.explode(F.array(F.expr(rolled))).alias("r"))
-    rows = rows.select("row_id", "text_id", "d", F.explode(F.array(*(F.expr(_ends(f)) for f in range(FAMILIES)))).alias("ends"))
+    rows = rows.select("row_id", "text_id", "d", "big", "n", F.explode(F.array(F.expr(rolled))).alias("r"))
+    rows = rows.select("row_id", "text_id", "d", "big", F.explode(F.array(*(F.expr(_ends(f)) for f in range(FAMILIES + 1)))).alias("ends"))
     spans = F.expr("transform(ends, (e, k) -> struct(if(k = 0, 1, ends[k - 1] + 1) AS a, e AS e))")
-    rows = rows.select("row_id", "text_id", "d", F.explode(F.filter(spans, lambda s: s["e"] - s["a"] >= MIN_LINES - 1)).alias("s"))
+    counts = F.filter(spans, lambda s: (s["e"] - s["a"] >= MIN_LINES - 1) | F.get("big", s["a"] - 1))
+    rows = rows.select("row_id", "text_id", "d", F.explode(counts).alias("s"))
     return rows.select("row_id", "text_id", F.col("s.a").alias("a"), F.col("s.e").alias("e"), F.xxhash64(F.slice("d", F.col("s.a"), F.col("s.e") - F.col("s.a") + 1)).alias("chunk"))
 
 
@@ -143,14 +156,14 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 pos AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines),
-hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM pos),
+hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h, len(regexp_extract_all(line, '[^ ]+')) > {LONG_WORDS} AS big FROM pos),
 rolled AS (SELECT *, (h * {_BASE} + lead(h) OVER (PARTITION BY doc_id ORDER BY i)) % {_PRIME} AS r FROM hashed),
-around AS (SELECT *, lag(r) OVER (PARTITION BY doc_id ORDER BY i) AS r_before, lead(r) OVER (PARTITION BY doc_id ORDER BY i) AS r_after FROM rolled),
+around AS (SELECT *, lag(r) OVER (PARTITION BY doc_id ORDER BY i) AS r_before, lead(r) OVER (PARTITION BY doc_id ORDER BY i) AS r_after, lead(big) OVER (PARTITION BY doc_id ORDER BY i) AS big_after FROM rolled),
 ends AS (
-  SELECT doc_id, i, line, f, i = n OR CASE WHEN f < {FAMILIES // 2} THEN i >= 2 AND (r_before >> f) % 2 = 1 ELSE i <= n - 2 AND (r_after >> f) % 2 = 1 END AS ends_here
-  FROM around, range(0, {FAMILIES}) t(f)),
+  SELECT doc_id, i, line, big, f, i = n OR CASE WHEN f = {FAMILIES} THEN big OR big_after WHEN f < {FAMILIES // 2} THEN i >= 2 AND (r_before >> f) % 2 = 1 ELSE i <= n - 2 AND (r_after >> f) % 2 = 1 END AS ends_here
+  FROM around, range(0, {FAMILIES + 1}) t(f)),
 numbered AS (SELECT *, coalesce(sum(ends_here::INT) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM ends),
-chunks AS (SELECT doc_id, min(i) AS a, max(i) AS e, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, f, chunk_no HAVING count(*) >= {MIN_LINES}),
+chunks AS (SELECT doc_id, min(i) AS a, max(i) AS e, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, f, chunk_no HAVING count(*) >= {MIN_LINES} OR bool_or(big)),
 spans AS (SELECT DISTINCT doc_id, a, e, chunk FROM chunks),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS rn FROM spans),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, e + 1)) AS i FROM ranked WHERE rn > 1),
