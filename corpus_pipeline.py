@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that an earlier document (or place) holds; one that had nothing else goes."""
+    """Documents without the multi-line chunks and lines of more than 50 words that an earlier document (or place) holds; one that had nothing else goes."""
     return linededup.cleaned(docs, drop_emptied=True)
 
 
