@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import bpe, decontaminate, jaccard, licenses, linededup, neardup, revisits, secrets, toxicity, urlfilter
+from windrow.llm import bpe, centroids, decontaminate, jaccard, licenses, linededup, neardup, prefixtrie, quality, revisits, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_licenses": licenses.op9_licenses,
         "op10_bpe": bpe.op10_bpe,
+        "op11_prefix_trie": prefixtrie.op11_prefix_trie,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_quality": quality.op13_quality,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": linededup.OP2_SQL,
         "op6_revisits": revisits.OP6_SQL,
         "op9_licenses": licenses.OP9_SQL,
+        "op11_prefix_trie": prefixtrie.OP11_SQL,
+        "op12_centroids": centroids.OP12_SQL,
     }
