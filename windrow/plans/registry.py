@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.plans import queries_calls, queries_extra, queries_genotype, queries_io, queries_models, queries_more, queries_tracks
+from windrow.plans import queries_calls, queries_extra, queries_genotype, queries_io, queries_models, queries_more, queries_search, queries_tracks
 
-MODULES = (queries_tracks, queries_calls, queries_genotype, queries_models, queries_more, queries_extra, queries_io)
+MODULES = (queries_tracks, queries_calls, queries_genotype, queries_models, queries_more, queries_extra, queries_io, queries_search)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
