@@ -39,6 +39,9 @@ def panel(spark, tiny):
     return dict(out)
 
 
+# affinity propagation ("affinity_exemplars") is compared in test_affinity.py
+
+
 # ---- segmentation
 
 

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.operators import calls as cl
@@ -18,10 +14,10 @@ from windrow.plans.queries_genotype import _GENO, geno
 from windrow.plans.queries_tracks import r6
 from windrow.sources import readers as rd
 from windrow.sources import writers as wr
+from windrow.sources.scratch import scratch
 from windrow.streaming import vcf_stream
 
 QUERIES, SQL = {}, {}
-_LOCAL: dict[str, str] = {}
 
 
 def query(name, sql=None):
@@ -34,20 +30,6 @@ def query(name, sql=None):
     return register
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the folder that driver and executors share; a private one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="windrow-"))
-    uri = f"{base.rstrip('/')}/windrow-io/{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return uri
-
-
 @query("io_panel", v.sql(v.PANEL, select="SELECT contig, sample, w, start, \"end\", round(cp, 6) AS cp FROM panel WHERE contig = 'N' AND sample IN ('1', '2', '3')"))
 def io_panel(spark, d):
     """One contig and some samples of a stored panel of two kinds."""

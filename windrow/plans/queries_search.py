@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windrow.operators import paths
+from windrow.operators import affinity, paths
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
+from windrow.plans.queries_genotype import obs
 
 QUERIES, SQL = {}, {}
 
@@ -37,3 +38,9 @@ def best_path(spark, d):
     c = scored_calls(spark, d)
     taken = paths.best_path(c, ["chr"]).withColumnRenamed("chr", "of")
     return c.join(taken, "call_id").groupBy("chr", "cluster_no").agg(F.sum("score").alias("best"))
+
+
+@query("affinity_exemplars")
+def affinity_exemplars(spark, d):
+    """Exemplar of every sample at every region's locus."""
+    return affinity.affinity_propagation(obs(spark, d)).select("locus", "sample", "exemplar")
