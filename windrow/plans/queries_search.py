@@ -9,6 +9,7 @@ from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
 from windrow.plans.queries_genotype import obs
 from windrow.sources import binned as bn
+from windrow.sources import fasta as fa
 from windrow.sources.scratch import scratch
 
 QUERIES, SQL = {}, {}
@@ -59,3 +60,32 @@ def binned_fetch(spark, d):
     bn.write_binned(v.calls(spark, d).select("call_id", "chr", "start", "end"), at, DAY, 6, 2)
     requests = v.dups(spark, d).distinct().select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     return bn.fetched(spark, at, requests).groupBy("chr", "r_start", "r_end").agg(F.count("*").alias("n"), F.sum("call_id").alias("ids"))
+
+
+_SITE = "substr('ACGT', CAST(1 + (w * 31 + ({i}) * ({i})) % 4 AS INT), 1)"
+
+
+def reference(spark, d):
+    """Windows, and the index of a written reference that has 500 made bases for each of them."""
+    w = v.windows(spark, d)
+    at = scratch(spark, "reference")
+    bases = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(v.WIDTH - 1)), lambda i: F.substring(F.lit("ACGT"), F.pmod(F.col("w") * 31 + i * i, F.lit(4)).cast("int") + 1, F.lit(1))), "")
+    fa.write_fasta(w.select("contig", "start", bases.alias("bases")), at)
+    return w, fa.fasta_index(spark, at, 4_096)
+
+
+@query("fasta_bases", v.sql(v.PANEL, v.WINDOWS, select=f"SELECT contig, w, {_SITE.format(i=0)} AS first, {_SITE.format(i=217)} AS inner_ref FROM windows"))
+def fasta_bases(spark, d):
+    """Reference bases at two places of every window, looked up in a FASTA file by its index."""
+    w, index = reference(spark, d)
+    first = fa.with_reference(w.select("contig", "w", "start"), index, 5_000).select("contig", "w", F.col("ref").alias("first"))
+    inner = fa.with_reference(w.select("contig", "w", (F.col("start") + 217).alias("start")), index, 5_000).select("contig", "w", F.col("ref").alias("inner_ref"))
+    return first.join(inner, ["contig", "w"])
+
+
+@query("fasta_gc", v.sql(v.PANEL, v.WINDOWS, f"m AS (SELECT contig, w, count(*) FILTER ({_SITE.format(i='i')} IN ('C', 'G')) / 500.0::DOUBLE AS gc FROM windows, range(0, 500) r(i) GROUP BY 1, 2)", 'l AS (SELECT contig, max("end") AS length FROM windows GROUP BY 1)', select="SELECT contig, w, length, round(gc, 6) AS gc FROM m JOIN l USING (contig)"))
+def fasta_gc(spark, d):
+    """GC share of every window and its contig's length, from the FASTA file."""
+    w, index = reference(spark, d)
+    gc = fa.window_gc(w.select("contig", "w", "start", "end"), index)
+    return gc.join(index.select("contig", "length"), "contig").select("contig", "w", "length", F.round("gc", 6).alias("gc"))
