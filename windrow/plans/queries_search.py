@@ -11,6 +11,7 @@ from windrow.plans.queries_genotype import obs
 from windrow.sources import binned as bn
 from windrow.sources import fasta as fa
 from windrow.sources.scratch import scratch
+from windrow.streaming.cluster_stream import cluster_stream
 
 QUERIES, SQL = {}, {}
 
@@ -89,3 +90,19 @@ def fasta_gc(spark, d):
     w, index = reference(spark, d)
     gc = fa.window_gc(w.select("contig", "w", "start", "end"), index)
     return gc.join(index.select("contig", "length"), "contig").select("contig", "w", "length", F.round("gc", 6).alias("gc"))
+
+
+_CLOSED = """
+seen AS (SELECT chr, cluster_no, min(start) AS start, max("end") AS "end", count(*) AS n FROM clustered GROUP BY 1, 2),
+mark AS (SELECT (max(start) // 1000 - 600000) * 1000 AS reached FROM calls)""".strip()
+
+
+@query("stream_clusters", v.sql(v.CALLS, _SWEEP, _CLOSED, select='SELECT chr, cluster_no, start, "end", n FROM seen, mark WHERE "end" <= reached'))
+def stream_clusters(spark, d):
+    """Overlap clusters of the calls read as a stream, up to those that ten minutes' delay leaves open."""
+    schema = v.table(spark, d, "events").schema
+    # a glob, since a stream's path may be a folder or a glob but no file
+    stream = v.calls_of(spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet")).withColumn("at", F.timestamp_micros("start"))
+    sink = scratch(spark, "clusters")
+    cluster_stream(stream, ["chr"], "at", "10 minutes", sink, scratch(spark, "state")).awaitTermination()
+    return spark.read.schema("chr string, cluster_no long, start long, end long, n long").parquet(sink)

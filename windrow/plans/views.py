@@ -58,7 +58,11 @@ def kept(df: DataFrame, most: int = 4) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """calls(call_id, chr, indiv_ref, start, end, mu, p, window_size)."""
-    e = table(spark, sf_dir, "events")
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(e: DataFrame) -> DataFrame:
+    """Calls of a table or stream of events."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     hundredths = F.round(F.col("value") * 100).cast("long")
     return e.select(
