@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from windrow.operators import affinity, paths
+from windrow.operators import overlap as ov
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
-from windrow.plans.queries_genotype import obs
+from windrow.plans.queries_genotype import _OBS, obs, stats
 from windrow.sources import binned as bn
 from windrow.sources import fasta as fa
 from windrow.sources.scratch import scratch
@@ -106,3 +107,32 @@ def stream_clusters(spark, d):
     sink = scratch(spark, "clusters")
     cluster_stream(stream, ["chr"], "at", "10 minutes", sink, scratch(spark, "state")).awaitTermination()
     return spark.read.schema("chr string, cluster_no long, start long, end long, n long").parquet(sink)
+
+
+_GRID = 200_000
+_MIX = """
+cm AS (SELECT locus, label, mean, greatest(coalesce(sd, 0), 0.05) AS s, n / CAST(sum(n) OVER (PARTITION BY locus) AS DOUBLE) AS wt FROM stats),
+nb AS (SELECT locus, label, lead(label) OVER o AS l2, mean AS m1, s AS s1, wt AS w1, lead(mean) OVER o AS m2, lead(s) OVER o AS s2, lead(wt) OVER o AS w2 FROM cm WINDOW o AS (PARTITION BY locus ORDER BY mean, label)),
+pr AS (SELECT *, least(m1 - 10 * s1, m2 - 10 * s2) AS lo, greatest(m1 + 10 * s1, m2 + 10 * s2) AS hi FROM nb WHERE l2 IS NOT NULL)""".strip()
+_PDF = "{w} / ({s} * sqrt(2 * pi())) * exp(-0.5 * pow((lo + (i + 0.5) * (hi - lo) / {g} - {m}) / {s}, 2))"
+
+
+def _pdf(w, m, s):
+    return _PDF.format(w=w, m=m, s=s, g=_GRID)
+
+
+@query("mixture_overlap", v.sql(*_OBS, _MIX, f"it AS (SELECT locus, label, l2, w1, w2, sum(least({_pdf('w1', 'm1', 's1')}, {_pdf('w2', 'm2', 's2')})) * any_value((hi - lo) / {_GRID}) AS o FROM pr, range(0, {_GRID}) g(i) GROUP BY 1, 2, 3, 4, 5)", select="SELECT locus, label, l2 AS next_label, round(o, 4) AS overlap, round(o / w1, 4) AS of_own, round(o / w2, 4) AS of_next FROM it"))
+def mixture_overlap(spark, d):
+    """Overlap of neighbouring label components at every region's locus."""
+    o, _ = ov.mixture_overlaps(stats(obs(spark, d)), 0.05)
+    return o.select("locus", "label", "next_label", *(F.round(c, 4).alias(c) for c in ("overlap", "of_own", "of_next")))
+
+
+_SPAN = "sp AS (SELECT locus, min(mean - 10 * s) AS lo, max(mean + 10 * s) AS hi, count(*) AS k FROM cm GROUP BY 1)"
+
+
+@query("mixture_lost", v.sql(*_OBS, _MIX, _SPAN, f"pts AS (SELECT locus, i, any_value(k) AS k, any_value((hi - lo) / {_GRID}) AS step, sum({_pdf('wt', 'mean', 's')}) - max({_pdf('wt', 'mean', 's')}) AS y FROM sp JOIN cm USING (locus), range(0, {_GRID}) g(i) GROUP BY 1, 2)", select="SELECT locus, any_value(k) AS n_components, round(sum(y) * any_value(step), 4) AS lost FROM pts GROUP BY 1"))
+def mixture_lost(spark, d):
+    """Share of each locus' mixture that the best assignment to components gets wrong."""
+    _, whole = ov.mixture_overlaps(stats(obs(spark, d)), 0.05)
+    return whole.select("locus", "n_components", F.round("lost", 4).alias("lost"))
