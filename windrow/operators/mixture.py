@@ -248,11 +248,87 @@ def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | Non
     return 1 - r
 
 
+#: Distinct intervals from which on a cluster's linkage keeps neighbour lists instead of a matrix, and pairs looked at at once.
+DENSE, PAIRS_AT_ONCE = 1_500, 1 << 20
+
+
+def neighbour_pairs(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j of intervals (in order of start) that are at most ``cut`` apart, with their distances.
+
+    Intervals that do not overlap are 1 apart; those are left to the caller.
+    What a pair of rows overlaps follows from a search among the starts, so
+    only overlapping pairs are looked at, PAIRS_AT_ONCE of them at a time.
+    """
+    last = np.searchsorted(start, end, "left")
+    count = np.maximum(last - np.arange(len(start)) - 1, 0)
+    total, found, lo = np.append(0, np.cumsum(count)), [], 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS_AT_ONCE, "right")) - 1)
+        i = np.repeat(np.arange(lo, hi), count[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], count[lo:hi])
+        o = np.minimum(end[i], end[j]) - np.maximum(start[i], start[j])
+        a, b = (end - start)[i].astype(float), (end - start)[j].astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(o > 0, np.minimum(o / a, o / b), 0.0)
+        if max_dif is not None:
+            r[np.maximum(a - o, b - o) > max_dif] = 0.0
+        if max_frac_uniq is not None:
+            r[1 - r >= max_frac_uniq] = 0.0
+        near = 1 - r <= cut
+        found.append((i[near], j[near], 1 - r[near]))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def sparse_linkage(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, cut: float) -> np.ndarray:
+    """Complete linkage of ``n`` points of which only pairs within ``cut`` are given, numbered like :func:`complete_linkage`.
+
+    A cluster keeps the distances to those clusters all of whose members are
+    near all of its own; a merge keeps what both have.  Lists only shrink, so
+    memory is that of the given pairs.
+    """
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, x in zip(i.tolist(), j.tolist(), d.tolist(), strict=True):
+        near[a][b] = near[b][a] = x
+    queue = [(x, a, b) for a, b, x in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)]
+    heapq.heapify(queue)
+    into = list(range(n))
+    while queue:
+        x, a, b = heapq.heappop(queue)
+        if x > cut:
+            break
+        if near[a].get(b) != x or into[a] != a or into[b] != b:
+            continue
+        gone, mine = near[b], near[a]
+        into[b], near[b] = a, {}
+        for k in gone:
+            near[k].pop(b, None)
+        mine.pop(b, None)
+        for k in list(mine):
+            other = gone.get(k)
+            if other is None:
+                del mine[k], near[k][a]
+            elif other > mine[k]:
+                mine[k] = near[k][a] = other
+                heapq.heappush(queue, (other, min(a, k), max(a, k)))
+    for k in range(n):
+        into[k] = into[into[k]]
+    return np.unique(into, return_inverse=True)[1]
+
+
+def interval_linkage(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> np.ndarray:
+    """Complete linkage of distinct intervals in order of start by reciprocal overlap: on a matrix for few of them, on neighbour lists for many."""
+    if len(start) <= DENSE or cut >= 1:
+        return complete_linkage(reciprocal_distance(start, end, max_dif, max_frac_uniq), cut)
+    return sparse_linkage(len(start), *neighbour_pairs(start, end, cut, max_dif, max_frac_uniq), cut)
+
+
 def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, max_dif: float | None = None, max_frac_uniq: float | None = None) -> DataFrame:
     """Sub-clusters (``sub``) of each overlap cluster by complete linkage on reciprocal overlap.
 
-    Equal intervals are one point of the linkage (their distance is 0), so a
-    cluster costs the square of its distinct intervals.
+    Equal intervals are one point of the linkage (their distance is 0).  A
+    cluster of up to DENSE distinct intervals costs their square, a larger one
+    its pairs of near intervals.
     """
     cols = [*keys, "cluster_no", "call_id", "start", "end"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clustered.select(*cols).schema) + ", sub int"
@@ -269,7 +345,7 @@ def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, m
         spans, sub = pdf[["start", "end"]].to_numpy(np.int64), []
         for part in np.split(spans, cuts):
             points, where = np.unique(part, axis=0, return_inverse=True)
-            sub.append(complete_linkage(reciprocal_distance(points[:, 0], points[:, 1], max_dif, max_frac_uniq), cut)[where.ravel()])
+            sub.append(interval_linkage(points[:, 0], points[:, 1], cut, max_dif, max_frac_uniq)[where.ravel()])
         return pdf.assign(sub=np.concatenate(sub).astype(np.int32))[[*cols, "sub"]]
 
     return alone.unionByName(many.groupBy("_bucket").applyInPandas(of, schema))
