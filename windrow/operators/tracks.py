@@ -8,14 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.operators.scan import lagged, neighbours, running_count, with_halo
+from windrow.operators.selection import exact_medians
 
 #: Windows of a tile for rolling frames.
 TILE = 65_536
 
 
-def recentred(track: DataFrame, keys: list[str], skip: Column | None = None) -> DataFrame:
-    """Shift non-zero values so that the median of the non-zero ones is 2; rows where ``skip`` holds stay."""
-    median = track.groupBy(*keys).agg(F.median(F.when(F.col("cp") != 0, F.col("cp"))).alias("_m"))
+def recentred(track: DataFrame, keys: list[str], skip: Column | None = None, large: bool = False) -> DataFrame:
+    """Shift non-zero values so that the median of the non-zero ones is 2; rows where ``skip`` holds stay.
+
+    With ``large`` the medians come by counts of buckets, a few passes over
+    ``track``, and no group's values have to fit a task's memory.
+    """
+    if large:
+        median = exact_medians(track.withColumn("_c", F.when(F.col("cp") != 0, F.col("cp"))), keys, "_c", "_m")
+    else:
+        median = track.groupBy(*keys).agg(F.median(F.when(F.col("cp") != 0, F.col("cp"))).alias("_m"))
     moved = F.when(F.col("cp") != 0, F.col("cp") + (2 - F.col("_m"))).otherwise(F.col("cp"))
     value = moved if skip is None else F.when(skip, F.col("cp")).otherwise(moved)
     return track.join(median, keys).withColumn("cp", value).drop("_m")
