@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from windrow.functions import special
 from windrow.operators.scan import ordered_buckets
+from windrow.sources.scratch import written
 from windrow.operators.tracks import moving
 
 
@@ -166,9 +167,19 @@ def deciles(df: DataFrame, value: str, parts: int = 10) -> DataFrame:
 
 
 def rank_sum(df: DataFrame, group: str, value: str, keys: list[str]) -> DataFrame:
-    """Wilcoxon rank-sum z and two-sided p of groups true and false, average ranks, no tie correction."""
-    w = Window.partitionBy(*keys)
-    r = df.withColumn("_r", F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
-    s = r.groupBy(*keys).agg(F.sum(F.when(F.col(group), F.col("_r"))).alias("s"), F.count_if(group).alias("n1"), F.count_if(~F.col(group)).alias("n2"))
+    """Wilcoxon rank-sum z and two-sided p of groups true and false, average ranks, no tie correction; null values do not count.
+
+    Ranks come from the counts of each distinct value, carried over buckets
+    of (keys, value), so no task sorts a whole key.
+    """
+    per = written(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"), F.count_if(group).alias("_n1")), "values")
+    b = ordered_buckets(per, [*keys, "_v"], per.count())
+    above = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = b.groupBy("_b").agg(F.sum("_n").alias("_m")).withColumn("_carry", F.coalesce(F.sum("_m").over(above), F.lit(0))).drop("_m")
+    inside = Window.partitionBy("_b").orderBy(*keys, "_v").rowsBetween(Window.unboundedPreceding, -1)
+    held = b.join(F.broadcast(carry), "_b").withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.col("_carry"))  # a row a bucket
+    first = held.groupBy(*keys).agg(F.min("_before").alias("_first"))
+    rank = F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2
+    s = held.join(first, keys).groupBy(*keys).agg(F.sum(F.when(F.col("_n1") > 0, F.col("_n1") * rank)).alias("s"), F.sum("_n1").alias("n1"), F.sum(F.col("_n") - F.col("_n1")).alias("n2"))
     z = (F.col("s") - F.col("n1") * (F.col("n1") + F.col("n2") + 1) / 2.0) / F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12.0)
     return s.withColumn("z", z).withColumn("p", 2 * (1 - normal_cdf(F.abs("z"))))

@@ -44,13 +44,22 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], position: st
 
 
 def lagged(df: DataFrame, keys: list[str], order: list[str], position: str, value: str, out: str, tile: int | None = None) -> DataFrame:
-    """Adds ``out``: the ``value`` of the row before, by ``order`` within ``keys`` (null for the first)."""
+    """Adds ``out``: the ``value`` of the row before, by ``order`` within ``keys``, null if that is null or there is no such row."""
     tile = tile or tile_width(df, keys, position)
     t = df.withColumn("_tile", F.floor(F.col(position) / tile))
     inside = Window.partitionBy(*keys, "_tile").orderBy(*order)
     above = Window.partitionBy(*keys).orderBy("_tile")
-    carry = t.groupBy(*keys, "_tile").agg(F.max_by(value, F.struct(*order)).alias("_last")).withColumn("_carry", F.lag("_last").over(above)).drop("_last")
-    return t.join(carry, [*keys, "_tile"]).withColumn(out, F.coalesce(F.lag(value).over(inside), "_carry")).drop("_tile", "_carry")
+    # structs tell a row with a null value from no row
+    held = F.struct(F.col(value).alias("v"))
+    carry = t.groupBy(*keys, "_tile").agg(F.max_by(held, F.struct(*order)).alias("_last")).withColumn("_carry", F.lag("_last").over(above)).drop("_last")
+    return t.join(carry, [*keys, "_tile"]).withColumn(out, F.coalesce(F.lag(held).over(inside), "_carry")["v"]).drop("_tile", "_carry")
+
+
+def key_rank(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: the 0-based rank of each row of a stored ``df`` within ``keys`` by ``order``; no task sorts a whole key."""
+    r = ranked(df, [*keys, *order], df.count(), out)
+    first = r.groupBy(*keys).agg(F.min(out).alias("_first"))
+    return r.join(first, keys).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
 
 
 def neighbours(df: DataFrame, keys: list[str], position: str, value: str, tile: int | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrow.operators.scan import lagged, neighbours, running_count, with_halo
+from windrow.operators.scan import key_rank, lagged, neighbours, running_count, with_halo
 from windrow.operators.selection import exact_medians
+from windrow.sources.scratch import written
 
 #: Windows of a tile for rolling frames.
 TILE = 65_536
@@ -157,19 +158,21 @@ def gaussian_derivatives(track: DataFrame, keys: list[str], sigma: float, kernel
     return out.select(*keys, "w", *(dot(w).alias(f"g{i}") for i, w in enumerate(weights)))
 
 
-def edges(derivatives: DataFrame, keys: list[str], collapsed: bool = True) -> DataFrame:
+def edges(derivatives: DataFrame, keys: list[str], collapsed: bool = True, tile: int = TILE) -> DataFrame:
     """Sign changes of g2 with both ends, the strongest by |g1| where there are too many: ``keys, w, sign``.
 
     All intercepts stay if there are as many as windows, else the
     ``min(intercepts, windows - intercepts)`` strongest; cells whose own g2
-    is 0 go.  The sign is -1 for every edge if ``collapsed``.
+    is 0 go.  The sign is -1 for every edge if ``collapsed``.  Signs are
+    compared within tiles of ``tile`` windows, strengths ranked by buckets.
     """
-    w = Window.partitionBy(*keys).orderBy("w")
-    whole = Window.partitionBy(*keys)
-    s = derivatives.select(*keys, "w", F.abs("g1").alias("_g"), F.signum("g2").alias("_s"))
-    s = s.withColumn("_n", F.count("*").over(whole)).withColumn("_was", F.lag("_s").over(w))
+    s = derivatives.select(*keys, "w", (-F.abs("g1")).alias("_weak"), F.signum("g2").alias("_s"))
+    n = derivatives.groupBy(*keys).agg(F.count("*").alias("_n"))
+    s = lagged(s, keys, ["w"], "w", "_s", "_was", tile).join(n, keys)
     cut = s.where((F.col("_was") != F.col("_s")) | (F.col("w") == 0) | (F.col("w") == F.col("_n") - 1))
-    cut = cut.withColumn("_len", F.count("*").over(whole)).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_g"), "w")))
+    cut = written(cut.select(*keys, "w", "_weak", "_s", "_n"), "cuts")
+    size = cut.groupBy(*keys).agg(F.count("*").alias("_len"))
+    cut = key_rank(cut, keys, ["_weak", "w"], "_rank").join(size, keys)
     keep = F.when(F.col("_len") == F.col("_n"), F.col("_len")).otherwise(F.least("_len", F.col("_n") - F.col("_len")))
-    kept = cut.where((F.col("_rank") <= keep) & (F.col("_s") != 0))
+    kept = cut.where((F.col("_rank") < keep) & (F.col("_s") != 0))
     return kept.select(*keys, "w", (F.lit(-1) if collapsed else F.col("_s").cast("int")).alias("sign"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windrow.operators import affinity, paths
+from windrow.operators import affinity, paths, selection
 from windrow.operators import overlap as ov
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
@@ -136,3 +136,11 @@ def mixture_lost(spark, d):
     """Share of each locus' mixture that the best assignment to components gets wrong."""
     _, whole = ov.mixture_overlaps(stats(obs(spark, d)), 0.05)
     return whole.select("locus", "n_components", F.round("lost", 4).alias("lost"))
+
+
+@query("bucket_medians", "SELECT l_returnflag AS flag, l_linestatus AS status, median(l_extendedprice) AS median, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def bucket_medians(spark, d):
+    """Exact median price of each flag and status by counts of buckets, and its group's size."""
+    lines = v.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_extendedprice")
+    sizes = lines.groupBy("flag", "status").agg(F.count("*").alias("n"))
+    return selection.exact_medians(lines, ["flag", "status"], "l_extendedprice", list_rows=1_000).join(sizes, ["flag", "status"])
