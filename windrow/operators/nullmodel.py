@@ -111,6 +111,16 @@ def empirical_p(calls: DataFrame, hist: DataFrame, value: str, width: int) -> Da
     return j.withColumn("p", F.least(F.greatest(folded, F.lit(0.0)) * F.sqrt(F.lit(float(width))), F.lit(0.5))).drop("_c")
 
 
+def calibration(track: DataFrame, keys: list[str], widths, means) -> DataFrame:
+    """``width, mu, p``: folded p of each mean under the null distribution of means over each width's windows."""
+    spark, out = track.sparkSession, None
+    for width in widths:
+        grid = spark.createDataFrame([(int(width), float(m)) for m in means], "width int, mu double")
+        p = empirical_p(grid, histogram(track, keys, int(width)), "mu", 1)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def log_p_track(track: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The histogram of single windows, and the track with ``cp`` replaced by the log of its folded cumulative density.
 

@@ -33,9 +33,18 @@ def recentred(track: DataFrame, keys: list[str], skip: Column | None = None, lar
 def log2_ratio(test: DataFrame, ref: DataFrame) -> DataFrame:
     """log2(test / ref) by (contig, w) over the windows of both tracks; absent, zero or non-finite ratios are null."""
     t, r = test.select("contig", "w", F.col("cp").alias("t")), ref.select("contig", "w", F.col("cp").alias("r"))
+    return t.join(r, ["contig", "w"], "full").select("contig", "w", _finite_log2().alias("value"))
+
+
+def log2_ratios(tests: DataFrame, ref: DataFrame) -> DataFrame:
+    """The same for every sample of ``tests`` over its own windows: ``contig, sample, w, value``; the reference's windows are met once for all samples."""
+    t, r = tests.select("contig", "sample", "w", F.col("cp").alias("t")), ref.select("contig", "w", F.col("cp").alias("r"))
+    return t.join(r, ["contig", "w"], "left").select("contig", "sample", "w", _finite_log2().alias("value"))
+
+
+def _finite_log2() -> Column:
     q = F.when((F.col("r") != 0) & (F.col("t") > 0), F.log2(F.col("t") / F.col("r")))
-    good = ~F.isnan(q) & (F.abs(q) != float("inf"))
-    return t.join(r, ["contig", "w"], "full").select("contig", "w", F.when(good, q).alias("value"))
+    return F.when(~F.isnan(q) & (F.abs(q) != float("inf")), q)
 
 
 def repaired(track: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from windrow.plans import sql as sq
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _FINAL, _SUB, _SWEEP, BIN, PAD, clustered
 from windrow.plans.queries_genotype import _OBS, obs, stats
+from windrow.plans.queries_more import window_pairs
 from windrow.plans.queries_tracks import _BASE, _SS, r6
 
 QUERIES, SQL = {}, {}
@@ -172,7 +173,7 @@ def locus_gc_bins(spark, d):
 
 
 _LOGZ = """
-lo AS (SELECT contig || ':' || b AS locus, contig, b * 20 + 30 AS w0, b * 20 + 32 AS w1 FROM (SELECT DISTINCT contig FROM panel), range(0, 2) r(b)),
+lo AS (SELECT DISTINCT contig || ':' || w // 2 AS locus, contig, w // 2 * 2 AS w0, w // 2 * 2 + 2 AS w1 FROM panel),
 rt AS (SELECT locus, a.sample, o.sample AS other, a.w, w0, w1, log2(a.cp / o.cp) AS r FROM lo JOIN panel a USING (contig) JOIN panel o ON o.contig = a.contig AND o.w = a.w WHERE a.sample <> o.sample AND a.cp > 0 AND o.cp > 0),
 fl AS (SELECT *, lag(r) OVER (PARTITION BY locus, sample, other ORDER BY w) AS p FROM rt WHERE (w >= greatest(0, w0 - 23) AND w < w0 - 3) OR (w >= w1 + 3 AND w < w1 + 23)),
 nl AS (SELECT locus, sample, avg((r + p) / 2) AS mu, stddev_pop((r + p) / 2) AS sd FROM fl WHERE p IS NOT NULL GROUP BY 1, 2),
@@ -182,9 +183,7 @@ own AS (SELECT locus, sample, avg(r) AS own FROM rt WHERE w >= w0 AND w < w1 GRO
 @query("singleton_log_z", v.sql(v.PANEL, _LOGZ, select="SELECT locus, sample, CASE WHEN sd > 0 THEN round(abs((own - mu) / sd), 6) END AS log_z FROM own JOIN nl USING (locus, sample)"))
 def singleton_log_z(spark, d):
     p = v.panel(spark, d)
-    b = p.select("contig", "sample").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(1))))
-    s = b.select("contig", "sample", F.concat_ws(":", "contig", F.col("b").cast("string")).alias("locus"), (F.col("b") * 20 + 30).cast("long").alias("w0"), (F.col("b") * 20 + 32).cast("long").alias("w1"))
-    return cx.singleton_log_z(p, s).select("locus", "sample", r6(F.col("log_z"), "log_z"))
+    return cx.singleton_log_z(p, window_pairs(p)).select("locus", "sample", r6(F.col("log_z"), "log_z"))
 
 
 @query("smoothed_track", v.sql(v.TRACK, "a AS (SELECT contig, w, (coalesce(lag(cp) OVER o, cp) + 2 * cp + coalesce(lead(cp) OVER o, cp)) / 4 AS cp FROM track WINDOW o AS (PARTITION BY contig ORDER BY w))", select="SELECT contig, w, round((coalesce(lag(cp) OVER o, cp) + 2 * cp + coalesce(lead(cp) OVER o, cp)) / 4, 6) AS cp FROM a WINDOW o AS (PARTITION BY contig ORDER BY w)"))

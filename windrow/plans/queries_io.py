@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from windrow.operators import calls as cl
 from windrow.operators import genotype as gt
+from windrow.operators import nullmodel as nm
 from windrow.operators import tracks as tr
+from windrow.plans import sql as sq
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
 from windrow.plans.queries_genotype import _GENO, geno
@@ -100,12 +102,16 @@ def io_segment_tables(spark, d):
     return t.select("indiv_ref", "indiv_test", "chr", "start", "end", F.round("mu", 4).alias("mu"), "window_size")
 
 
-@query("io_regions", v.sql(v.REGION_VALUES, select="SELECT contig, start, \"end\" FROM regions WHERE contig IN ('A', 'N')"))
+@query("io_regions", v.sql(v.CALLS, _SWEEP, select="SELECT chr AS contig, min(start) AS start, max(\"end\") AS \"end\" FROM clustered WHERE chr IN (SELECT chr FROM calls GROUP BY 1 HAVING avg(mu) > (SELECT avg(mu) FROM calls)) GROUP BY chr, cluster_no"))
 def io_regions(spark, d):
-    """Headerless BED regions of the supported contigs."""
+    """Merged calls as headerless BED regions, read for the contigs that a contig table names: those with a mean above that of all."""
     at, known = scratch(spark, "regions"), scratch(spark, "contigs")
-    v.regions(spark).select(F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"))).write.text(at)
-    spark.createDataFrame([("A\t50000",), ("N\t50000",)], "value string").write.text(known)
+    c = clustered(spark, d)
+    m = c.groupBy("chr", "cluster_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    wr.write_text(wr.bed_lines(m, ["chr", "start", "end"]), at)
+    mean = c.agg(F.avg("mu").alias("m"))
+    named = c.groupBy("chr").agg(F.avg("mu").alias("own"), F.max("end").alias("length")).join(F.broadcast(mean), F.col("own") > F.col("m"))  # one row
+    named.select(F.concat_ws("\t", "chr", F.col("length").cast("string"))).write.text(known)
     return rd.regions(spark, at, rd.contigs(spark, known)).select("contig", "start", "end")
 
 
@@ -219,6 +225,17 @@ def io_merged_bed(spark, d):
     return spark.read.text(at)
 
 
-@query("calibration_table", "SELECT CAST(2 * w AS INT) AS width, CAST(-1 + 0.25 * m AS DOUBLE) AS mu FROM range(1, 11) a(w), range(0, 9) b(m)")
+_WIDTHS = (1, 2, 4, 8)
+_CAL = [c for w in _WIDTHS for c in (
+    f"m{w} AS (SELECT x FROM (SELECT row_number() OVER (PARTITION BY contig ORDER BY w) AS rn, avg(cp - 1.9) OVER (PARTITION BY contig ORDER BY w ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS x FROM track) WHERE rn > {w})",
+    sq.histogram(f"h{w}", f"m{w}"), f"p{w} AS (SELECT {w} AS width, mu, {sq.density(f'h{w}', 'mu')} AS c FROM mus)",
+)]
+
+
+@query("calibration_table", v.sql(v.TRACK, "mus AS (SELECT k * 5 / 100.0::DOUBLE AS mu FROM range(1, 20) r(k))", *_CAL, select=f"SELECT CAST(width AS INT) AS width, round(greatest({sq.folded('c')}, 0), 6) AS p, mu FROM (" + " UNION ALL ".join(f"SELECT * FROM p{w}" for w in _WIDTHS) + ")"))
 def calibration_table(spark, d):
-    return wr.calibration_grid(spark, range(2, 21, 2), [-1 + 0.25 * m for m in range(9)])
+    """p of means from 0.05 to 0.95 over several widths under the track's null distribution, written and read back."""
+    t = v.track(spark, d).withColumn("cp", F.col("cp") - 1.9)
+    at = scratch(spark, "calibration")
+    wr.write_text(wr.calibration_lines(nm.calibration(t, ["contig"], _WIDTHS, [k * 5 / 100 for k in range(1, 20)])), at)
+    return rd.calibration(spark, at)

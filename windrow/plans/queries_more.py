@@ -109,18 +109,24 @@ def mean_shift_labels(spark, d):
 
 
 _Z = """
-fl AS (SELECT contig || ':' || b AS locus, p.contig, p.sample, b * 2 + 30 AS w0, b * 2 + 32 AS w1, p.w, cp FROM panel p, range(0, 6) r(b) WHERE (p.w >= greatest(0, b * 2 + 30 - 23) AND p.w < b * 2 + 27) OR (p.w >= b * 2 + 35 AND p.w < b * 2 + 32 + 23)),
+lo AS (SELECT DISTINCT contig || ':' || w // 2 AS locus, contig, w // 2 * 2 AS w0, w // 2 * 2 + 2 AS w1 FROM panel),
+fl AS (SELECT locus, p.contig, p.sample, p.w, cp FROM lo JOIN panel p USING (contig) WHERE (p.w >= greatest(0, w0 - 23) AND p.w < w0 - 3) OR (p.w >= w1 + 3 AND p.w < w1 + 23)),
 mv AS (SELECT locus, sample, cp, (cp + lag(cp) OVER (PARTITION BY locus, sample ORDER BY w)) / 2 AS m FROM fl),
 fs AS (SELECT locus, sample, avg(m) AS mu, stddev_pop(m) AS sd FROM mv WHERE m IS NOT NULL GROUP BY 1, 2),
-ow AS (SELECT contig || ':' || b AS locus, sample, avg(cp) AS own FROM panel, range(0, 6) r(b) WHERE w >= b * 2 + 30 AND w < b * 2 + 32 GROUP BY 1, 2)""".strip()
+ow AS (SELECT locus, sample, avg(cp) AS own FROM lo JOIN panel USING (contig) WHERE w >= w0 AND w < w1 GROUP BY 1, 2)""".strip()
 
 
-@query("singleton_z", v.sql(v.PANEL, _Z, select="SELECT locus, sample, CASE WHEN sd > 0 THEN round(abs((own - mu) / sd), 6) END AS cp_z FROM ow JOIN fs USING (locus, sample)"))
+def window_pairs(p):
+    """A locus of two windows at every even window of each contig, for each of the contig's samples."""
+    at = p.select("contig", F.floor(F.col("w") / 2).alias("b")).distinct()
+    s = at.join(p.select("contig", "sample").distinct(), "contig")
+    return s.select("contig", "sample", F.concat_ws(":", "contig", F.col("b").cast("string")).alias("locus"), (F.col("b") * 2).alias("w0"), (F.col("b") * 2 + 2).alias("w1"))
+
+
+@query("singleton_z", v.sql(v.PANEL, _Z, select="SELECT locus, sample, CASE WHEN sd > 1e-12 THEN round(abs((own - mu) / sd), 6) END AS cp_z FROM ow JOIN fs USING (locus, sample)"))
 def singleton_z(spark, d):
     p = v.panel(spark, d)
-    b = p.select("contig", "sample").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    s = b.select("contig", "sample", F.concat_ws(":", "contig", F.col("b").cast("string")).alias("locus"), (F.col("b") * 2 + 30).cast("long").alias("w0"), (F.col("b") * 2 + 32).cast("long").alias("w1"))
-    return cx.singleton_z(p, s).select("locus", "sample", r6(F.col("cp_z"), "cp_z"))
+    return cx.singleton_z(p, window_pairs(p)).select("locus", "sample", r6(F.col("cp_z"), "cp_z"))
 
 
 @query("histogram_2d", v.sql(v.PANEL, select="SELECT CAST(floor(w / 10.0) AS BIGINT) AS bx, CAST(floor(cp / CAST(0.25 AS DOUBLE)) AS BIGINT) AS \"by\", count(*) AS n FROM panel GROUP BY 1, 2"))

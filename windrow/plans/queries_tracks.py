@@ -66,12 +66,12 @@ def region_locus_mean(spark, d):
     return _slice("genotyper")(spark, d).groupBy("region_id", "sample").agg(r6(F.avg("cp"), "mean_cp"), F.count("*").alias("n"))
 
 
-_PIVOT = [str(i) for i in range(5)]
+_PIVOT = tuple(map(str, range(25)))  # every nation's key is a sample
 
 
-@query("region_pivot", v.sql(*_BASE, select="SELECT contig, start, \"end\", " + ", ".join(f"round(median(cp) FILTER (sample = '{s}'), 6) AS s{s}" for s in _PIVOT) + f" FROM (SELECT ss.contig, ss.start, ss.\"end\", p.sample, p.cp FROM ss JOIN panel p ON p.contig = ss.contig AND {_MEDIAN} WHERE p.sample IN ('0', '1', '2', '3', '4')) GROUP BY 1, 2, 3"))
+@query("region_pivot", v.sql(*_BASE, select="SELECT contig, start, \"end\", " + ", ".join(f"round(median(cp) FILTER (sample = '{s}'), 6) AS s{s}" for s in _PIVOT) + f" FROM (SELECT ss.contig, ss.start, ss.\"end\", p.sample, p.cp FROM ss JOIN panel p ON p.contig = ss.contig AND {_MEDIAN}) GROUP BY 1, 2, 3"))
 def region_pivot(spark, d):
-    cells = iv.slice_join(iv.slices(v.regions(spark), v.windows(spark, d), "median"), v.panel(spark, d).where(F.col("sample").isin(_PIVOT)))
+    cells = iv.slice_join(iv.slices(v.regions(spark), v.windows(spark, d), "median"), v.panel(spark, d))
     wide = cells.groupBy("contig", "start", "end").pivot("sample", _PIVOT).agg(F.median("cp"))
     return wide.select("contig", "start", "end", *(r6(F.col(f"`{s}`"), f"s{s}") for s in _PIVOT))
 
@@ -90,21 +90,23 @@ def panel_recentre(spark, d):
 
 
 _RATIO = """
-axis AS (SELECT DISTINCT contig, w FROM panel),
-q AS (SELECT a.contig, a.w, CASE WHEN r.cp <> 0 AND t.cp > 0 AND t.w % 7 <> 3 THEN log2(t.cp / r.cp) END AS value
-      FROM axis a LEFT JOIN (SELECT * FROM panel WHERE sample = '1') t USING (contig, w) LEFT JOIN (SELECT * FROM panel WHERE sample = '2') r USING (contig, w)),
-k AS (SELECT *, max(w) OVER (PARTITION BY contig) AS top,
-        last_value(value IGNORE NULLS) OVER (PARTITION BY contig ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
-        first_value(value IGNORE NULLS) OVER (PARTITION BY contig ORDER BY w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r,
-        min(CASE WHEN value IS NOT NULL THEN w END) OVER (PARTITION BY contig ORDER BY w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM q)"""
+axis AS (SELECT * FROM (SELECT DISTINCT contig, w FROM panel) JOIN (SELECT DISTINCT contig, sample FROM panel WHERE sample <> '1') USING (contig)),
+q AS (SELECT a.contig, a.sample, a.w, CASE WHEN r.cp <> 0 AND t.cp > 0 THEN log2(t.cp / r.cp) END AS value
+      FROM axis a LEFT JOIN panel t ON t.contig = a.contig AND t.sample = a.sample AND t.w = a.w LEFT JOIN panel r ON r.contig = a.contig AND r.w = a.w AND r.sample = '1'),
+k AS (SELECT *, max(w) OVER p AS top,
+        last_value(value IGNORE NULLS) OVER (p ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+        first_value(value IGNORE NULLS) OVER (p ORDER BY w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r,
+        min(CASE WHEN value IS NOT NULL THEN w END) OVER (p ORDER BY w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM q WINDOW p AS (PARTITION BY contig, sample))"""
 
 
-@query("log2_ratio_repaired", v.sql(v.PANEL, _RATIO.strip(), select="SELECT contig, w, round(coalesce(value, CASE WHEN l IS NULL THEN r WHEN r IS NULL OR coalesce(nx, top + 1) >= top THEN l ELSE (l + r) / 2 END), 6) AS value FROM k"))
+@query("log2_ratio_repaired", v.sql(v.PANEL, _RATIO.strip().replace("OVER (p ", "OVER (PARTITION BY contig, sample "), select="SELECT contig, sample, w, round(coalesce(value, CASE WHEN l IS NULL THEN r WHEN r IS NULL OR coalesce(nx, top + 1) >= top THEN l ELSE (l + r) / 2 END), 6) AS value FROM k"))
 def log2_ratio_repaired(spark, d):
+    """Ratios of every other sample to sample 1, with the gaps of both repaired."""
     p = v.panel(spark, d)
-    axis = p.select("contig", "w").distinct()
-    ratio = tr.log2_ratio(p.where("sample = '1' and w % 7 <> 3"), p.where("sample = '2'"))
-    return tr.repaired(axis.join(ratio, ["contig", "w"], "left"), ["contig"]).select("contig", "w", r6(F.col("value"), "value"))
+    others = p.where("sample <> '1'")
+    axis = p.select("contig", "w").distinct().join(others.select("contig", "sample").distinct(), "contig")
+    ratio = tr.log2_ratios(others, p.where("sample = '1'"))
+    return tr.repaired(axis.join(ratio, ["contig", "sample", "w"], "left"), ["contig", "sample"]).select("contig", "sample", "w", r6(F.col("value"), "value"))
 
 
 _VAR = """

@@ -123,3 +123,10 @@ def reference_bases(loci: DataFrame, bases: DataFrame) -> DataFrame:
     """Adds ``ref`` of the base after the start (1-based position); N where unknown."""
     b = bases.select(F.col("contig"), (F.col("pos") - 1).alias("start"), F.col("base").alias("ref"))
     return loci.join(b, ["contig", "start"], "left").withColumn("ref", F.coalesce("ref", F.lit("N")))
+
+
+def calibration(spark: SparkSession, path: str) -> DataFrame:
+    """``width, p, mu`` of a calibration table; its header may stand in any file."""
+    lines = spark.read.text(path).where("value <> 'width\tp\tmu'")
+    f = F.split("value", "\t")
+    return lines.select(f[0].cast("int").alias("width"), f[1].cast("double").alias("p"), f[2].cast("double").alias("mu"))

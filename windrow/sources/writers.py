@@ -73,9 +73,11 @@ def cluster_element_lines(clustered: DataFrame) -> DataFrame:
     return clustered.select(F.struct("chr", "cluster_no", "start", "end", "indiv_ref").alias("order"), line.alias("value"))
 
 
-def calibration_grid(spark, widths, mus) -> DataFrame:
-    """``width, mu`` of every pair: the grid over which a null distribution is calibrated."""
-    return spark.createDataFrame([(int(w), float(m)) for w in widths for m in mus], "width int, mu double")
+def calibration_lines(table: DataFrame) -> DataFrame:
+    """Width, p and mean, tab-separated, below a header."""
+    body = table.select(F.struct(F.lit(1).alias("a"), "width", "mu").alias("order"), F.format_string("%d\t%f\t%f", "width", "p", "mu").alias("value"))
+    head = table.sparkSession.range(1).select(F.struct(F.lit(0).alias("a"), F.lit(0).alias("width"), F.lit(0.0).alias("mu")).alias("order"), F.lit("width\tp\tmu").alias("value"))
+    return head.unionByName(body)
 
 
 def resolved_lines(resolved: DataFrame) -> DataFrame:
