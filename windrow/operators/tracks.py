@@ -137,6 +137,18 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, floa
     return [(x, p / total, x / sigma**2 * p / total, (x * x / sigma**4 - 1 / sigma**2) * p / total) for x, p in zip(range(-r, r + 1), phi, strict=True)]
 
 
+def mirrored_tiles(track: DataFrame, keys: list[str], r: int, tile: int) -> DataFrame:
+    """``keys, w, cp, at, _n, _tile, _core``: tiles of ``tile`` places with ``r`` more on either side, mirrored at the track's edges; ``at`` is the place, ``_n`` the track's length."""
+    n = track.groupBy(*keys).agg(F.count("*").alias("_n"))
+    t = track.select(*keys, "w", "cp").join(n, keys)
+    images = F.array(F.col("w"), F.when(F.col("w") < r, -F.col("w") - 1), F.when(F.col("w") >= F.col("_n") - r, 2 * F.col("_n") - 1 - F.col("w")))
+    # a track shorter than the kernel is folded again and again
+    folded = F.when(F.col("_n") >= r, F.array_compact(images)).otherwise(
+        F.filter(F.sequence(F.lit(-r).cast("long"), F.col("_n") + r), lambda x: F.least(F.pmod(x, 2 * F.col("_n")), 2 * F.col("_n") - 1 - F.pmod(x, 2 * F.col("_n"))) == F.col("w"))
+    )
+    return with_halo(t.withColumn("at", F.explode(folded)), "at", r, r, tile)
+
+
 def gaussian_derivatives(track: DataFrame, keys: list[str], sigma: float, kernel: list[tuple] | None = None) -> DataFrame:
     """``keys, w, g0, g1, g2``: smoothed value and its first two derivatives, mirrored at the edges; ordinals are dense.
 
@@ -146,14 +158,7 @@ def gaussian_derivatives(track: DataFrame, keys: list[str], sigma: float, kernel
     kernel = kernel or gaussian_kernel(sigma)
     r = max(k[0] for k in kernel)
     tile = max(4 * r, 1_024)
-    n = track.groupBy(*keys).agg(F.count("*").alias("_n"))
-    t = track.select(*keys, "w", "cp").join(n, keys)
-    images = F.array(F.col("w"), F.when(F.col("w") < r, -F.col("w") - 1), F.when(F.col("w") >= F.col("_n") - r, 2 * F.col("_n") - 1 - F.col("w")))
-    # a track shorter than the kernel is folded again and again
-    folded = F.when(F.col("_n") >= r, F.array_compact(images)).otherwise(
-        F.filter(F.sequence(F.lit(-r).cast("long"), F.col("_n") + r), lambda x: F.least(F.pmod(x, 2 * F.col("_n")), 2 * F.col("_n") - 1 - F.pmod(x, 2 * F.col("_n"))) == F.col("w"))
-    )
-    placed = with_halo(t.withColumn("at", F.explode(folded)), "at", r, r, tile)
+    placed = mirrored_tiles(track, keys, r, tile)
     seen = placed.groupBy(*keys, "_tile", "_n").agg(F.array_sort(F.collect_list(F.struct("at", "cp"))).alias("s"))  # tile + 2 r values
     first = F.element_at("s", 1)["at"]
     seen = seen.withColumn("x", F.transform("s", lambda v: v["cp"])).withColumn("first", first)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windrow.operators import affinity, paths, selection
+from windrow.operators import affinity, paths, scales, selection
 from windrow.operators import overlap as ov
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
@@ -144,3 +144,20 @@ def bucket_medians(spark, d):
     lines = v.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_extendedprice")
     sizes = lines.groupBy("flag", "status").agg(F.count("*").alias("n"))
     return selection.exact_medians(lines, ["flag", "status"], "l_extendedprice", list_rows=1_000).join(sizes, ["flag", "status"])
+
+
+_SCALES = [float(s) for s in range(1, 51)]
+_SPACE = (
+    "sg AS (SELECT CAST(i AS DOUBLE) AS sigma, CAST(floor(4.0 * i + 0.5) AS BIGINT) AS r FROM range(1, 51) t(i))",
+    "ph AS (SELECT sigma, o, exp(-0.5 * o * o / (sigma * sigma)) AS p FROM (SELECT sigma, unnest(range(-r, r + 1)) AS o FROM sg))",
+    "kn AS (SELECT sigma, o, p / sum(p) OVER (PARTITION BY sigma) AS p FROM ph)",
+    "n AS (SELECT contig, count(*) AS n FROM track GROUP BY 1)",
+    "mi AS (SELECT t.contig, t.w, sigma, o, p, n, ((t.w + o) % (2 * n) + 2 * n) % (2 * n) AS m FROM track t JOIN n USING (contig), kn)",
+)
+
+
+@query("scale_space", v.sql(v.TRACK, *_SPACE, select="SELECT a.contig, a.sigma, a.w, round(sum(cp * p), 6) AS g0, round(sum(cp * p * o / (sigma * sigma)), 6) AS g1, round(sum(cp * p * (o * o / pow(sigma, 4) - 1 / (sigma * sigma))), 6) AS g2 FROM mi a JOIN track t ON t.contig = a.contig AND t.w = least(m, 2 * n - 1 - m) GROUP BY 1, 2, 3"))
+def scale_space(spark, d):
+    """Fifty scales of the track with their first two derivatives."""
+    g = scales.scale_space(v.track(spark, d), ["contig"], _SCALES)
+    return g.select("contig", "sigma", "w", *(F.round(f"g{i}", 6).alias(f"g{i}") for i in range(3)))
