@@ -11,6 +11,7 @@ from windrow.operators import calls as cl
 from windrow.operators import genotype as gt
 from windrow.operators import intervals as iv
 from windrow.operators import mixture as mx
+from windrow.operators import refine
 from windrow.operators import tracks as tr
 from windrow.operators import vcf
 from windrow.sources import readers as rd
@@ -32,7 +33,8 @@ def parser() -> argparse.ArgumentParser:
     command("build-panel", ("--tracks", path), ("--window-size", {"type": int, "required": True}), ("--slide", {"type": int, "default": 0}), out)
     command(
         "refine-calls", ("--calls", path), ("--p-cutoff", {"type": float, "default": 0.005}), ("--min-windows", {"type": int, "default": 2}), ("--min-mu", {"type": float, "default": 0.5}),
-        ("--max-callsize", {"type": int, "default": 200_000}), ("--min-overlapping-calls", {"type": int, "default": 3}), ("--no-p-adjust", {"action": "store_true"}), out,
+        ("--max-callsize", {"type": int, "default": 200_000}), ("--min-overlapping-calls", {"type": int, "default": 3}), ("--no-p-adjust", {"action": "store_true"}),
+        ("--panel", {}), ("--accept-ref-cp-delta", {"type": float, "default": 1.0}), ("--min-ref-cp-delta", {"type": float, "default": 0.0}), ("--limit-to-chr", {}), ("--subset-indivs", {}), out,
     )
     command("genotype-regions", ("--panel", path), ("--regions", path), ("--statistic", {"choices": ["mean", "median"], "default": "median"}), out)
     command("genotype-loci", ("--panel", path), ("--regions", path), ("--max-mu", {"type": float, "default": 7.0}), ("--min-max-mu-d", {"type": float, "default": 0.5}), ("--singleton-sigma", {"type": float, "default": 5.0}), ("--dup-sigma", {"type": float, "default": 4.0}), out)
@@ -53,12 +55,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         wr.write_panel(p, a.out)
         wr.write_panel_meta(p, f"{a.out}-meta", a.window_size, a.slide)
     elif a.command == "refine-calls":
-        c = rd.call_table(spark, a.calls).withColumn("call_id", F.monotonically_increasing_id())
+        c = rd.call_table(spark, a.calls)
+        for column, names in (("chr", a.limit_to_chr), ("indiv_test", a.subset_indivs)):
+            c = c.where(F.col(column).isin(names.split(":"))) if names else c
         c = cl.filtered(c, a.p_cutoff, a.min_windows, a.min_mu, not a.no_p_adjust, a.max_callsize)
-        keys = ["indiv_test", "chr"]
-        c = iv.overlap_clusters(c, keys, ["start", "end", "indiv_ref"])
-        sub = mx.linkage_clusters(c, keys).select("call_id", "sub")
-        wr.write_text(wr.resolved_lines(cl.resolved(c.join(sub, "call_id"), keys, min_calls=a.min_overlapping_calls)), a.out)
+        # numbers by content: the same calls however often they are read
+        c = c.withColumn("call_id", F.xxhash64(*c.columns))
+        panel = rd.panel(spark, a.panel) if a.panel else None
+        final = refine.refined(c, panel, min_calls=a.min_overlapping_calls, accept=a.accept_ref_cp_delta, min_delta=a.min_ref_cp_delta)
+        wr.write_text(wr.resolved_lines(final), a.out)
     elif a.command in ("genotype-regions", "genotype-loci"):
         p = rd.panel(spark, a.panel)
         axis = p.select("contig", "w", "start", "end").distinct()

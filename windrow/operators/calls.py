@@ -75,36 +75,42 @@ def merged_starts(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.groupBy(*keys, "start").agg(F.median("end").alias("end"), F.sum(F.log10("p")).alias("log10_p"), F.count("*").alias("n"))
 
 
-def resolved(clustered: DataFrame, keys: list[str], ll_cutoff: float = -3.0, min_calls: int = 2) -> DataFrame:
-    """Sub-clusters (equal breakpoints) of each cluster that pass size and likelihood, and the final call over them.
-
-    A cluster's only member passes without a likelihood test.  The final call
-    runs from the least median start to the largest median end of the
-    sub-clusters that remain, with the union of their references.
-    """
+def passing_subs(clustered: DataFrame, keys: list[str], ll_cutoff: float = -3.0, min_calls: int = 2) -> DataFrame:
+    """Sub-clusters ``keys, cluster_no, sub, s, e, n, ll, refs`` that pass size and likelihood, at their median bounds; a cluster's only member passes without a test."""
     w = Window.partitionBy(*keys, "cluster_no")
     sub = clustered.groupBy(*keys, "cluster_no", "sub").agg(
         F.median("start").alias("s"), F.median("end").alias("e"), F.count("*").alias("n"), F.sum(F.log10("p")).alias("ll"), F.collect_set("indiv_ref").alias("refs")
     )
     sub = sub.withColumn("_members", F.sum("n").over(w))
-    good = sub.where((F.col("_members") == 1) | ((F.col("ll") < ll_cutoff) & (F.col("n") >= min_calls)))
-    return good.groupBy(*keys, "cluster_no").agg(
+    return sub.where((F.col("_members") == 1) | ((F.col("ll") < ll_cutoff) & (F.col("n") >= min_calls))).drop("_members")
+
+
+def resolved(clustered: DataFrame, keys: list[str], ll_cutoff: float = -3.0, min_calls: int = 2) -> DataFrame:
+    """Sub-clusters (equal breakpoints) of each cluster that pass size and likelihood, and the final call over them.
+
+    The final call runs from the least median start to the largest median
+    end of the sub-clusters that remain, with the union of their references.
+    """
+    return passing_subs(clustered, keys, ll_cutoff, min_calls).groupBy(*keys, "cluster_no").agg(
         F.min("s").alias("start"), F.max("e").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("called_refs"), F.sum("ll").alias("log_likelihood")
     )
 
 
-def deltas(calls: DataFrame, panel: DataFrame, axis: DataFrame, test: str) -> DataFrame:
-    """``call, delta``: mean over a call's references of |mean difference to the test sample| over its windows.
+def deltas(calls: DataFrame, panel: DataFrame, axis: DataFrame, test: str | None = None) -> DataFrame:
+    """``region_id, delta, n_refs``: mean over a call's references of |mean difference to the test sample| over its windows.
 
-    ``calls(region_id, contig, start, end, refs)``; windows run from
-    ss(starts, start) to ss(ends, end), the latter excluded.
+    ``calls(region_id, contig, start, end, refs)`` of one ``test`` sample, or
+    with a column ``test`` of many; windows run from ss(starts, start) to
+    ss(ends, end), the latter excluded.
     """
     r = iv.asof_index(calls, axis, "start", "start", "w0")
     r = iv.asof_index(r, axis, "end", "end", "w1").where("w1 > w0")
+    r = r if test is None else r.withColumn("test", F.lit(test))
     cells = r.withColumn("w", F.explode(F.sequence("w0", F.col("w1") - 1))).withColumn("ref", F.explode("refs"))
-    mine = panel.where(F.col("sample") == test).select("contig", "w", F.col("cp").alias("t"))
+    mine = panel.select("contig", "w", F.col("sample").alias("test"), F.col("cp").alias("t"))
+    mine = mine if test is None else mine.where(F.col("test") == test)
     other = panel.select("contig", "w", F.col("sample").alias("ref"), F.col("cp").alias("r"))
-    both = cells.select("region_id", "contig", "w", "ref").join(mine, ["contig", "w"]).join(other, ["contig", "w", "ref"])
+    both = cells.select("region_id", "contig", "w", "test", "ref").join(mine, ["contig", "w", "test"]).join(other, ["contig", "w", "ref"])
     per = both.groupBy("region_id", "ref").agg(F.avg(F.col("t") - F.col("r")).alias("d"))
     return per.groupBy("region_id").agg(F.avg(F.abs("d")).alias("delta"), F.count("*").alias("n_refs"))
 

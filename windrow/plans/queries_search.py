@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windrow.operators import affinity, paths, scales, selection
+from windrow.operators import affinity, paths, refine, scales, selection
+from windrow.operators import intervals as iv
 from windrow.operators import overlap as ov
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
@@ -161,3 +162,21 @@ def scale_space(spark, d):
     """Fifty scales of the track with their first two derivatives."""
     g = scales.scale_space(v.track(spark, d), ["contig"], _SCALES)
     return g.select("contig", "sigma", "w", *(F.round(f"g{i}", 6).alias(f"g{i}") for i in range(3)))
+
+
+def ratio_calls(spark, d):
+    """Calls of every sample against every other: runs of windows that differ by more than 0.3."""
+    p = v.panel(spark, d)
+    other = p.select("contig", "w", F.col("sample").alias("indiv_ref"), F.col("cp").alias("ref"))
+    far = p.join(other, ["contig", "w"]).where((F.col("sample") != F.col("indiv_ref")) & (F.abs(F.col("cp") - F.col("ref")) > 0.3))
+    r = iv.runs(far.select(F.col("sample").alias("indiv_test"), "indiv_ref", F.col("contig").alias("chr"), "w"), ["indiv_test", "indiv_ref", "chr"])
+    span = F.col("last") - F.col("first")
+    named = F.concat_ws(":", "indiv_test", "indiv_ref", "chr", F.col("first").cast("string"))
+    return r.select(named.alias("call_id"), "indiv_test", "indiv_ref", "chr", (F.col("first") * v.WIDTH).alias("start"), (F.col("last") * v.WIDTH).alias("end"), F.pow(F.lit(10.0), -(span + 1).cast("double")).alias("p"))
+
+
+@query("refined_chain")
+def refined_chain(spark, d):
+    """Calls of every sample from clusters to final calls, checked against the references on the panel."""
+    f = refine.refined(ratio_calls(spark, d), v.panel(spark, d), accept=0.6, min_delta=0.6)
+    return f.select("indiv_test", "chr", "start", "end", F.array_join("called_refs", ",").alias("called_refs"), F.round("log_likelihood", 6).alias("log_likelihood"))
