@@ -39,7 +39,7 @@ def panel(spark, tiny):
     return dict(out)
 
 
-# "affinity_exemplars" is compared in test_affinity.py, "refined_chain" in test_refine.py
+# "affinity_exemplars" is compared in test_affinity.py, "refined_chain" in test_refine.py, "called_segments" in test_chains.py
 
 
 # ---- segmentation

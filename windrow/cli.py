@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from windrow.operators import calls as cl
+from windrow.operators import complex_loci as cx
 from windrow.operators import genotype as gt
 from windrow.operators import intervals as iv
 from windrow.operators import mixture as mx
@@ -37,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
         ("--panel", {}), ("--accept-ref-cp-delta", {"type": float, "default": 1.0}), ("--min-ref-cp-delta", {"type": float, "default": 0.0}), ("--limit-to-chr", {}), ("--subset-indivs", {}), out,
     )
     command("genotype-regions", ("--panel", path), ("--regions", path), ("--statistic", {"choices": ["mean", "median"], "default": "median"}), out)
-    command("genotype-loci", ("--panel", path), ("--regions", path), ("--max-mu", {"type": float, "default": 7.0}), ("--min-max-mu-d", {"type": float, "default": 0.5}), ("--singleton-sigma", {"type": float, "default": 5.0}), ("--dup-sigma", {"type": float, "default": 4.0}), out)
+    command("genotype-loci", ("--panel", path), ("--regions", path), ("--max-mu", {"type": float, "default": 7.0}), ("--min-max-mu-d", {"type": float, "default": 0.5}), ("--singleton-sigma", {"type": float, "default": 5.0}), ("--dup-sigma", {"type": float, "default": 4.0}), ("--target-loci", {}), ("--bin", {"type": int, "default": 1_000_000, "help": "width of the bins in which loci meet targets"}), ("--subset-samples", {}), ("--info", {}), out)
     command("contrast", ("--panel", path), ("--group1", path), ("--group2", path), ("--min-delta", {"type": float, "default": 0.5}), out)
     command("gc-stats", ("--panel", path), ("--gc", path), out)
     command("browser-track", ("--panel", path), out)
@@ -65,9 +66,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         final = refine.refined(c, panel, min_calls=a.min_overlapping_calls, accept=a.accept_ref_cp_delta, min_delta=a.min_ref_cp_delta)
         wr.write_text(wr.resolved_lines(final), a.out)
     elif a.command in ("genotype-regions", "genotype-loci"):
-        p = rd.panel(spark, a.panel)
+        subset = getattr(a, "subset_samples", None)
+        p = rd.panel(spark, a.panel, samples=subset.split(":") if subset else None)
         axis = p.select("contig", "w", "start", "end").distinct()
         r = rd.regions(spark, a.regions)
+        if getattr(a, "target_loci", None):
+            # only regions that overlap a target
+            t = rd.regions(spark, a.target_loci).select("contig", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+            r = r.join(iv.interval_join(r, t, ["contig"], a.bin).select("contig", "start", "end").distinct(), ["contig", "start", "end"], "left_semi")
         rule = getattr(a, "statistic", "genotyper")
         cells = iv.slice_join(iv.slices(r, axis, rule), p)
         keys = ["contig", "start", "end"]
@@ -78,6 +84,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         else:
             o = cells.withColumn("locus", F.format_string("%s:%d-%d", *keys)).groupBy("locus", *keys, "sample").agg(F.avg("cp").alias("mu"))
             g = mx.genotypes(o, ["locus", *keys])
+            if a.info:
+                g = g.persist()  # a row for each locus and sample, read by both outputs
+                of = F.format_string("%s:%d-%d", *keys).alias("locus")
+                spans = cells.groupBy(of, "contig", "sample").agg(F.min("w").alias("w0"), (F.max("w") + 1).alias("w1"))
+                wr.write_text(wr.info_lines(gt.info(g, cells.select(of, "sample", "w", "cp"), r.select(of, *keys), singles=cx.singleton_z(p, spans))), a.info)
             s = gt.label_stats(g)
             bad = gt.quality(s, g, a.max_mu, a.min_max_mu_d, a.singleton_sigma, a.dup_sigma).where("fail").select("locus")
             named = g.join(gt.labels_to_cn(s).select("locus", "label", "cn"), ["locus", "label"]).join(bad, "locus", "left_anti")

@@ -208,6 +208,29 @@ def reported_calls(segments: DataFrame, axis: DataFrame, keys: list[str]) -> Dat
     return s.join(ends, ["contig", "w1"]).drop("_next")
 
 
+def called_segments(segments: DataFrame, track: DataFrame, keys: list[str], exclusions: DataFrame, width: int, min_length: int = 20_000) -> DataFrame:
+    """Segments as calls outside the exclusions: ``keys, start, end, w0, w1, mean, n``.
+
+    ``segments(keys, w0, w1, start)`` are reported as :func:`reported_calls`
+    does; what is left of each outside ``exclusions(contig, start, end)`` longer
+    than ``min_length`` is cut to the windows of ``track(keys, w, start, end,
+    cp)`` that lie in it whole.  Pieces without such a window, and windows
+    without a row, make no call.  ``width`` is the bin of the interval joins.
+    """
+    axis = track.select("contig", "w", "start", "end").distinct()
+    of = F.concat_ws(":", *keys, F.col("w0").cast("string"))
+    reported = reported_calls(segments, axis, keys).withColumn("call_id", of)
+    pieces = iv.subtracted(
+        reported.select("call_id", F.col("contig").alias("chr"), "start", F.col("call_end").alias("end")), exclusions.select(F.col("contig").alias("chr"), "start", "end"), 0, width, min_length
+    )
+    named = pieces.join(reported.select("call_id", *keys), "call_id").select(*keys, "call_id", F.col("chr").alias("of"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    cells = track.select(*keys, "w", "start", "end", "cp")
+    inside = iv.interval_join(cells, named.drop("of"), keys, width).where("start >= b_start and end <= b_end")
+    return inside.groupBy(*keys, "call_id", "b_start").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("w").alias("w0"), (F.max("w") + 1).alias("w1"), F.avg("cp").alias("mean"), F.count("*").alias("n")
+    ).drop("call_id", "b_start")
+
+
 def histogram_2d(df: DataFrame, x: str, y: str, step_x: float, step_y: float) -> DataFrame:
     """Counts of a two-dimensional grid."""
     return df.groupBy(F.floor(F.col(x) / step_x).alias("bx"), F.floor(F.col(y) / step_y).alias("by")).agg(F.count("*").alias("n"))

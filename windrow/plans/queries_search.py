@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from windrow.operators import affinity, paths, refine, scales, selection
+from windrow.operators import complex_loci as cx
 from windrow.operators import intervals as iv
 from windrow.operators import overlap as ov
+from windrow.operators import segmentation as sg
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
 from windrow.plans.queries_genotype import _OBS, obs, stats
@@ -180,3 +182,19 @@ def refined_chain(spark, d):
     """Calls of every sample from clusters to final calls, checked against the references on the panel."""
     f = refine.refined(ratio_calls(spark, d), v.panel(spark, d), accept=0.6, min_delta=0.6)
     return f.select("indiv_test", "chr", "start", "end", F.array_join("called_refs", ",").alias("called_refs"), F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
+def low_stretches(spark, d):
+    """Exclusions: runs of windows at which the track is below the mean of its contig by 0.05."""
+    t = v.track(spark, d)
+    low = t.join(t.groupBy("contig").agg(F.avg("cp").alias("m")), "contig").where("cp < m - 0.05")
+    return iv.runs(low, ["contig"]).select("contig", (F.col("first") * v.WIDTH).alias("start"), (F.col("last") * v.WIDTH).alias("end"))
+
+
+@query("called_segments")
+def called_segments(spark, d):
+    """Segments of every sample as calls outside the exclusions."""
+    p = v.panel(spark, d)
+    s = sg.segments(p, ["contig", "sample"], n_scales=11, cutoff_scale=2, max_merge=0.2)
+    c = cx.called_segments(s, p, ["contig", "sample"], low_stretches(spark, d), 40 * v.WIDTH, v.WIDTH)
+    return c.select("contig", "sample", "start", "end", "w0", "w1", F.round("mean", 6).alias("mean"), "n")

@@ -80,6 +80,16 @@ def calibration_lines(table: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
+def info_lines(records: DataFrame) -> DataFrame:
+    """Tab-separated records of loci below a header: contig, start and end, then the other columns in their order; what is unknown is None."""
+    fields = ["contig", "start", "end", *(c for c in records.columns if c not in ("contig", "start", "end"))]
+    text = lambda f: F.concat_ws(",", F.col(f).cast("array<string>")) if f in lists else F.col(f).cast("string")
+    lists = {f.name for f in records.schema if f.dataType.typeName() == "array"}
+    body = records.select(F.struct(F.lit(1).alias("a"), "contig", "start").alias("order"), F.concat_ws("\t", *(F.coalesce(text(f), F.lit("None")) for f in fields)).alias("value"))
+    head = records.sparkSession.range(1).select(F.struct(F.lit(0).alias("a"), F.lit("").alias("contig"), F.lit(0).cast("long").alias("start")).alias("order"), F.lit("\t".join(fields)).alias("value"))
+    return head.unionByName(body)
+
+
 def resolved_lines(resolved: DataFrame) -> DataFrame:
     """Resolved calls with five proper columns and a header."""
     body = resolved.select(F.struct(F.lit(1).alias("a"), "chr", "start").alias("order"), F.concat_ws("\t", "chr", F.col("start").cast("long").cast("string"), F.col("end").cast("long").cast("string"), F.array_join("called_refs", ","), F.format_string("%.6f", "log_likelihood")).alias("value"))
