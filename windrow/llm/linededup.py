@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import drop_stored, stored, table
+from windrow.llm.shared import drop_stored, free_names, stored, table
 
 #: Lines under the rolling hash, and families of boundaries (half of them after the hashed lines, half before).
 WINDOW, FAMILIES = 2, 6
@@ -123,17 +123,19 @@ def cleaned(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     count as one document and stay alike; rows that share a doc_id (or have
     none) and differ in text are documents of their own.
     """
-    gone = repeated_lines(_numbered(docs)).select(F.col("row_id").alias("_row"), F.col("text_id").alias("_text"), F.col("gone").alias("_gone"))
-    both = docs.hint("merge").join(gone, (_row_id(docs) == gone["_row"]) & (text_id(docs["text"].cast("string")) == gone["_text"]), "left")
-    same = both.where("_row is null").select(*(docs[c] for c in docs.columns))
+    # names that no column of the table has
+    row, of_text, gone, lines, kept = free_names(docs.columns, "_row", "_text", "_gone", "_lines", "_kept")
+    found = repeated_lines(_numbered(docs)).select(F.col("row_id").alias(row), F.col("text_id").alias(of_text), F.col("gone").alias(gone))
+    both = docs.hint("merge").join(found, (_row_id(docs) == found[row]) & (text_id(docs["text"].cast("string")) == found[of_text]), "left")
+    same = both.where(F.col(row).isNull()).drop(row, of_text, gone)
     # only rows that lose lines are cut again; as generators, so that nothing later computes the lines anew
-    cut = both.where("_row is not null").withColumn("_lines", F.explode(F.array(_lines(F.col("text").cast("string")))))
-    kept = cut.withColumn("_kept", F.explode(F.array(F.expr("array_except(sequence(1, size(_lines)), _gone)"))))
-    kept = kept.where(F.size("_kept") > 0) if drop_emptied else kept
-    new = kept.withColumn("text", F.explode(F.array(F.array_join(F.transform("_kept", lambda i: F.element_at("_lines", i)), "\n"))))
+    cut = both.where(F.col(row).isNotNull()).withColumn(lines, F.explode(F.array(_lines(F.col("text").cast("string")))))
+    left = cut.withColumn(kept, F.explode(F.array(F.expr(f"array_except(sequence(1, size({lines})), {gone})"))))
+    left = left.where(F.size(kept) > 0) if drop_emptied else left
+    new = left.withColumn("text", F.explode(F.array(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i)), "\n"))))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.union(new.select(*docs.columns))
+    return same.union(new.drop(row, of_text, gone, lines, kept))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

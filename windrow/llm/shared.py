@@ -75,6 +75,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores added as it takes to be none of ``taken``."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_bitmap(ids: DataFrame) -> np.ndarray | None:
     """Bitmap over the hashes of ``ids(id)``; None if it would need more than MAX_BITS.
 
@@ -124,14 +135,15 @@ def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     others are joined with the ids, which decides exactly.  If there are too
     many ids for a bitmap, all rows are joined.
     """
-    out = ids.select(F.col("id").cast("long").alias("_out_id")).distinct()
+    (gone,) = free_names(df.columns, "_out_id")
+    out = ids.select(F.col("id").cast("long").alias(gone)).distinct()
     bitmap = id_bitmap(ids)
     if bitmap is None:
-        return df.hint("merge").join(out, df[column] == out["_out_id"], "left_anti")
+        return df.hint("merge").join(out, df[column] == out[gone], "left_anti")
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
     free = df.mapInArrow(_only(shared, column, False), df.schema)
     maybe = df.mapInArrow(_only(shared, column, True), df.schema)
-    return free.union(maybe.hint("merge").join(out, maybe[column] == out["_out_id"], "left_anti"))
+    return free.union(maybe.hint("merge").join(out, maybe[column] == out[gone], "left_anti"))
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -150,11 +162,12 @@ def without(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
     Rows that share a doc_id go together; ``once`` keeps one of the rows
     that have no doc_id and the same text.
     """
-    nameless = docs.where("doc_id is null").withColumn("_name", _name(docs))
-    out = ids.select(F.col("id").cast("long").alias("_out_id")).distinct()
-    nameless = nameless.hint("merge").join(out, F.col("_name") == F.col("_out_id"), "left_anti")
-    nameless = nameless.dropDuplicates(["_name"]) if once else nameless
-    return without_ids(docs.where("doc_id is not null"), "doc_id", ids).union(nameless.select(*docs.columns))
+    name, gone = free_names(docs.columns, "_name", "_out_id")
+    nameless = docs.where("doc_id is null").withColumn(name, _name(docs))
+    out = ids.select(F.col("id").cast("long").alias(gone)).distinct()
+    nameless = nameless.hint("merge").join(out, F.col(name) == F.col(gone), "left_anti")
+    nameless = nameless.dropDuplicates([name]) if once else nameless
+    return without_ids(docs.where("doc_id is not null"), "doc_id", ids).union(nameless.drop(name))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
