@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import assert_same
 from windrow.operators import nullmodel, scan, tracks
@@ -59,3 +60,24 @@ def test_rank_sum_with_ties_over_several_keys(spark):
 @pytest.mark.parametrize("name", ["edge_detect", "rank_sum_z", "bucket_medians", "rle_bands"])
 def test_queries(spark, tiny, name):
     assert_same(registry.queries()[name](spark, tiny), registry.oracle_sql()[name], tiny)
+
+
+def test_likelihoods_read_the_track_once(spark):
+    """All windows lie beyond the bins, so their logs are equal and have no spread; the plan has stored tables, not the track's own steps."""
+    rows = [(c, w, 2.0 + (w * 7 + len(c)) % 5 * 0.1) for c in ("a", "bb") for w in range(60)]
+    t = spark.createDataFrame(rows, "contig string, w long, cp double").groupBy("contig", "w").agg(F.avg("cp").alias("cp"))
+    cells = t.withColumn("call_id", F.struct("contig", F.floor(F.col("w") / 4).alias("seg")))
+    p = nullmodel.likelihood_p(cells.select("call_id").distinct(), cells.select("call_id", "cp"), t, ["contig"], 4)
+    # calls and their cells read the frame that they were given
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("avg(cp") <= 2
+    got = p.collect()
+    assert len(got) == 30 and {(r["ll"], r["p"]) for r in got} == {(0.0, 0.0)}
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-17])
+def test_histogram_of_equal_values(spark, spread):
+    m = spark.createDataFrame([(0.1 + 0 * i,) for i in range(9)] + [(0.1 + spread,)], "moving double")
+    h = nullmodel.value_histogram(m)
+    assert h.agg(F.sum("n")).first()[0] == 10
+    got = nullmodel.empirical_p(spark.createDataFrame([(-1.0,), (0.1,), (1e9,)], "mu double"), h, "mu", 1).collect()
+    assert [r["p"] for r in got] == [0.0, 0.0, 0.0]

@@ -18,6 +18,8 @@ from windrow.operators.tracks import moving
 
 #: Bins of a null histogram at most.
 MAX_BINS = 20_000
+#: Deviation of a histogram whose values are all equal.
+LEAST_SD = 1e-9
 
 
 @F.pandas_udf(DoubleType())
@@ -75,8 +77,8 @@ def histogram(track: DataFrame, keys: list[str], width: int, how: str = "avg") -
 
 
 def value_histogram(m: DataFrame) -> DataFrame:
-    """The same histogram over a column ``moving`` of any values."""
-    s = m.agg(F.stddev_pop("moving").alias("sd"), F.count("*").alias("total"))
+    """The same histogram over a column ``moving`` of any values; equal ones have a deviation of LEAST_SD, so that there are bins."""
+    s = m.agg(F.stddev_pop("moving").alias("sd"), F.count("*").alias("total")).withColumn("sd", F.when(F.col("sd") == 0, F.lit(LEAST_SD)).otherwise(F.col("sd")))
     step = 3.5 * F.col("sd") / F.pow(F.col("total").cast("double"), F.lit(1.0 / 3.0)) / 10
     step = F.greatest(step, 10 * F.col("sd") / F.lit(float(MAX_BINS)))
     s = s.withColumn("step", step).withColumn("bins", F.ceil(10 * F.col("sd") / F.col("step")))
@@ -95,11 +97,12 @@ def value_histogram(m: DataFrame) -> DataFrame:
 def _cumulative_at(df: DataFrame, hist: DataFrame, value: str, out: str) -> DataFrame:
     """Adds ``out``: the cumulative density one bin beyond the one that holds ``value``."""
     table = hist.agg(F.sort_array(F.collect_list(F.struct("bin", "lo", "cumulative"))).alias("_h"))  # MAX_BINS entries at most
-    table = table.withColumn("_step", F.element_at("_h", 3)["lo"] - F.element_at("_h", 2)["lo"])
+    table = table.withColumn("_step", F.get("_h", F.lit(2))["lo"] - F.get("_h", F.lit(1))["lo"])
     j = df.join(F.broadcast(table), F.lit(True))
     v, first = F.col(value), F.element_at("_h", 2)["lo"]
     # edges are even but for the outer ones: a guess by division, moved by one where rounding misled it
-    guess = F.greatest(F.lit(1), F.least(F.ceil((v - first) / F.col("_step")) + 1, F.size("_h"))).cast("int")
+    steps = F.greatest(F.lit(0.0), F.least((v - first) / F.col("_step"), F.size("_h").cast("double")))  # beyond the bins a step may be too small for a long
+    guess = F.least(F.ceil(steps) + 1, F.size("_h")).cast("int")
     at = F.when(F.element_at("_h", guess)["lo"] >= v, guess - 1).when((guess < F.size("_h")) & (F.element_at("_h", F.least(guess + 1, F.size("_h")))["lo"] < v), guess + 1).otherwise(guess)
     return j.withColumn(out, F.element_at("_h", F.least(F.greatest(at, F.lit(0)) + 2, F.size("_h")).cast("int"))["cumulative"]).drop("_h", "_step")
 
@@ -126,7 +129,7 @@ def log_p_track(track: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A window beyond all bins counts as half a window, so that logs are finite.
     """
-    hist = value_histogram(track.select(F.col("cp").alias("moving")))
+    hist = written(value_histogram(track.select(F.col("cp").alias("moving"))), "histogram")  # read at several places of one plan
     total = hist.agg(F.sum("n").alias("_total"))
     j = _cumulative_at(track, hist, "cp", "_c").join(F.broadcast(total), F.lit(True))  # one row
     folded = F.greatest(F.when(F.col("_c") > 0.5, 1 - F.col("_c")).otherwise(F.col("_c")), 0.5 / F.col("_total"))
@@ -137,9 +140,11 @@ def likelihood_p(calls: DataFrame, cells: DataFrame, track: DataFrame, keys: lis
     """``call_id, ll, p``: the summed log density of a call's windows against sums over ``width`` consecutive windows of the null, folded.
 
     ``cells(call_id, cp)`` are the windows of ``calls(call_id)``; the call's
-    densities are not folded, those of the null are.
+    densities are not folded, those of the null are.  Track, histogram and
+    logs are stored, so that the plan does not hold the track's own some 30 times.
     """
-    hist, logs = log_p_track(track)
+    hist, logs = log_p_track(written(track, "track"))
+    logs = written(logs, "logs")
     total = hist.agg(F.sum("n").alias("_total"))
     own = _cumulative_at(cells, hist, "cp", "_c").join(F.broadcast(total), F.lit(True))  # one row
     value = own.groupBy("call_id").agg(F.sum(F.log(F.greatest("_c", 0.5 / F.col("_total")))).alias("ll"))
