@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import assert_same
-from windrow.operators import nullmodel, scan, tracks
+from windrow.operators import complex_loci, nullmodel, scan, tracks
 from windrow.plans import registry
 
 
@@ -81,3 +81,13 @@ def test_histogram_of_equal_values(spark, spread):
     assert h.agg(F.sum("n")).first()[0] == 10
     got = nullmodel.empirical_p(spark.createDataFrame([(-1.0,), (0.1,), (1e9,)], "mu double"), h, "mu", 1).collect()
     assert [r["p"] for r in got] == [0.0, 0.0, 0.0]
+
+
+def test_rounds_of_sample_clusters_do_not_grow_the_plan(spark):
+    """A chain of samples takes many rounds; the final plan stays that of stored tables."""
+    n = 24
+    rows = [("c", f"s{i:02}", i * 10 + a, i * 10 + a + 1) for i in range(n) for a in range(12)]
+    s = spark.createDataFrame(rows, "chr string, sample string, start long, end long")
+    got = complex_loci.sample_clusters(s, s, cutoff=0.95, max_frac_uniq=0.9)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert {r["sample"] for r in got.collect()} == {f"s{i:02}" for i in range(n)}

@@ -11,6 +11,7 @@ from windrow.operators import intervals as iv
 from windrow.operators.genotype import set_similarity
 from windrow.operators.mixture import complete_linkage
 from windrow.operators.scan import ranked
+from windrow.sources.scratch import written
 
 
 def merged_abutting(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,19 +46,17 @@ def sample_clusters(segments: DataFrame, samples: DataFrame, cutoff: float = 0.8
 
     Similarities too far from 1 count as 0; samples without segments stay alone.
     """
-    s = set_similarity(segments).where(1 - F.col("similarity") < max_frac_uniq)
-    s = s.where(1 - F.col("similarity") <= cutoff).persist()  # farther pairs are never in one cluster; read in every round
-    named = samples.select("sample").distinct().persist()
+    # stored: the plans of similarities and of each round hold tables, not all that came before
+    s = set_similarity(written(segments.select("chr", "sample", "start", "end"), "segments")).where(1 - F.col("similarity") < max_frac_uniq)
+    s = written(s.where(1 - F.col("similarity") <= cutoff), "similar")  # farther pairs are never in one cluster
     # least reachable sample of each: a component of the similarity graph is a task, and no matrix of the cohort is made
     both = s.select("a", "b").unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    part, kept = named.select("sample", F.col("sample").alias("least")), []
+    part = written(samples.select("sample").distinct().select("sample", F.col("sample").alias("least")), "least")
     while True:
         near = both.join(part.select(F.col("sample").alias("b"), F.col("least").alias("l")), "b").groupBy(F.col("a").alias("sample")).agg(F.min("l").alias("l"))
-        moved = part.join(near, "sample", "left").select("sample", F.least("least", F.coalesce("l", "least")).alias("new"), "least").persist()
-        changed = moved.where("new < least").limit(1).count()
+        moved = written(part.join(near, "sample", "left").select("sample", F.least("least", F.coalesce("l", "least")).alias("new"), "least"), "least")
         part = moved.select("sample", F.col("new").alias("least"))
-        kept.append(moved)
-        if not changed:
+        if moved.where("new < least").isEmpty():
             break
 
     def of(key, p: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
@@ -73,11 +72,10 @@ def sample_clusters(segments: DataFrame, samples: DataFrame, cutoff: float = 0.8
 
     pairs = s.join(part.select(F.col("sample").alias("a"), "least"), "a").select("least", "a", "b", "similarity")
     found = pairs.groupBy("least").cogroup(part.withColumnRenamed("least", "of_least").groupBy("of_least")).applyInPandas(of, "sample string, first string")
+    found = written(found, "found")
     # clusters are numbered by their first members' order
     kinds = found.select("first").distinct()
     numbered = ranked(kinds, ["first"], kinds.count(), "cluster")
-    for x in kept[:-1]:
-        x.unpersist()
     return found.join(numbered, "first").select("sample", F.col("cluster").cast("int").alias("cluster"))
 
 
