@@ -50,3 +50,27 @@ def test_many_distinct_intervals_in_one_cluster(spark):
                 o = min(p[x][1], p[y][1]) - max(p[x][0], p[y][0])
                 assert min(o / (p[x][1] - p[x][0]), o / (p[y][1] - p[y][0])) >= 0.5
     assert max(map(len, members.values())) > 3
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("more", [{}, {"max_frac_uniq": 0.6}, {"max_dif": 25}])
+def test_sweep_equal_to_the_matrix(seed, more):
+    """Many equal distances, blocks shorter than an interval."""
+    p = drawn(seed, 200, 600, (0, 5, 20, 20, 40, 120))
+    for cut in (0.3, 0.5, 0.85, 0.99):
+        want = mx.complete_linkage(mx.reciprocal_distance(p[:, 0], p[:, 1], **more), cut)
+        for block in (1, 7, 64, 1_000):
+            assert (mx.swept_linkage(p[:, 0], p[:, 1], cut, block=block, **more) == want).all()
+
+
+def test_dense_cluster_keeps_no_pairs():
+    """12,000 intervals, some 600 near ones each: lists of pairs would take over a GB, the sweep holds a few squares of those at one place."""
+    import tracemalloc
+
+    r = random.Random(5)
+    p = np.array(sorted({(s := r.randrange(12_000_000), s + r.choice((300_000, 600_000, 900_000, 1_200_000))) for _ in range(12_000)}), np.int64)
+    tracemalloc.start()
+    got = mx.interval_linkage(p[:, 0], p[:, 1], 0.85)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert len(got) == len(p) and got[0] == 0

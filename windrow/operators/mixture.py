@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.functions.special import gaussian_overlap
+from windrow.sources.scratch import written
 
 MIN_COVAR, MAX_STEPS, TOLERANCE = 1e-4, 1000, 1e-2
 #: Rows aimed at in one call of the linkage function.
@@ -235,21 +236,22 @@ def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | None = None, max_frac_uniq: float | None = None) -> np.ndarray:
-    """1 - reciprocal overlap of all pairs."""
-    o = np.minimum(end[:, None], end) - np.maximum(start[:, None], start)
-    size = (end - start).astype(float)
+def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | None = None, max_frac_uniq: float | None = None, other_start: np.ndarray | None = None, other_end: np.ndarray | None = None) -> np.ndarray:
+    """1 - reciprocal overlap of all pairs, or of all with each of the others."""
+    z, e = (start, end) if other_start is None else (other_start, other_end)
+    o = np.minimum(end[:, None], e) - np.maximum(start[:, None], z)
+    size, other = (end - start).astype(float), (e - z).astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.where(o > 0, np.minimum(o / size[:, None], o / size), 0.0)
+        r = np.where(o > 0, np.minimum(o / size[:, None], o / other), 0.0)
     if max_dif is not None:
-        r[np.maximum(size[:, None] - o, size - o) > max_dif] = 0.0
+        r[np.maximum(size[:, None] - o, other - o) > max_dif] = 0.0
     if max_frac_uniq is not None:
         r[1 - r >= max_frac_uniq] = 0.0
     return 1 - r
 
 
-#: Distinct intervals from which on a cluster's linkage keeps neighbour lists instead of a matrix, and pairs looked at at once.
-DENSE, PAIRS_AT_ONCE = 1_500, 1 << 20
+#: Distinct intervals from which on a cluster's linkage sweeps instead of holding one matrix, intervals that the sweep takes at a time, and pairs looked at at once.
+DENSE, BLOCK, PAIRS_AT_ONCE = 1_500, 512, 1 << 20
 
 
 def neighbour_pairs(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,39 +318,101 @@ def sparse_linkage(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, cut: flo
     return np.unique(into, return_inverse=True)[1]
 
 
+def swept_linkage(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None, block: int = BLOCK) -> np.ndarray:
+    """Complete linkage of distinct intervals in order of (start, end), ``cut`` below 1, numbered like :func:`complete_linkage`.
+
+    Clusters that are nearest to each other (by distance, then by first
+    members) merge in the one merged order or any other: a merge brings no
+    cluster nearer to a third one.  So ``block`` intervals are taken at a time,
+    and two such clusters merge once all that can overlap them is there.  A
+    cluster that has nothing near is settled and leaves; memory is the square
+    of those that overlap the place reached, not the pairs of the whole.
+    """
+    n = len(start)
+    into, rep = np.arange(n), np.zeros(0, int)
+    members: list[np.ndarray] = []
+    d = np.zeros((0, 0))
+    for lo in range(0, n, block):
+        hi = min(lo + block, n)
+        new, old = np.arange(lo, hi), len(rep)
+        held = np.concatenate([*members, new])
+        wide = reciprocal_distance(start[held], end[held], max_dif, max_frac_uniq, start[new], end[new])
+        grown = np.full((old + len(new),) * 2, np.inf)
+        grown[:old, :old] = d
+        grown[old:, old:] = wide[len(held) - len(new) :]
+        if old:
+            first = np.cumsum([0] + [len(m) for m in members[:-1]])
+            grown[:old, old:] = np.maximum.reduceat(wide[: len(held) - len(new)], first, axis=0)
+            grown[old:, :old] = grown[:old, old:].T
+        d = grown
+        np.fill_diagonal(d, np.inf)
+        rep, members = np.concatenate([rep, new]), [*members, *new[:, None]]
+        reach = np.array([end[m].max() for m in members])
+        ahead = start[hi] if hi < n else np.inf
+        k = np.arange(len(rep))
+        nearest, alive = d.argmin(1), np.ones(len(rep), bool)
+        while True:
+            # what is at most as far as the cut and has all its neighbours here
+            ready = (d[k, nearest] <= cut) & (reach <= ahead) & alive
+            i = np.flatnonzero(ready & ready[nearest] & (nearest[nearest] == k) & (k < nearest))
+            if not len(i):
+                break
+            j = nearest[i]
+            d[i] = np.maximum(d[i], d[j])
+            d[:, i] = np.maximum(d[:, i], d[:, j])
+            d[j], d[:, j], d[i, i], alive[j] = np.inf, np.inf, np.inf, False
+            reach[i] = np.maximum(reach[i], reach[j])
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                members[a] = np.concatenate([members[a], members[b]])
+            touched = np.zeros(len(rep), bool)
+            touched[i] = touched[j] = True
+            again = np.flatnonzero(alive & (touched | touched[nearest]))
+            nearest[again] = d[again].argmin(1)
+        settled = alive & (reach <= ahead) & (d[k, nearest] > cut)
+        for a in np.flatnonzero(settled).tolist():
+            into[members[a]] = rep[a]
+        stay = np.flatnonzero(alive & ~settled)
+        rep, members, d = rep[stay], [members[a] for a in stay.tolist()], d[np.ix_(stay, stay)]
+    for a, m in zip(rep.tolist(), members, strict=True):
+        into[m] = a
+    return np.unique(into, return_inverse=True)[1]
+
+
 def interval_linkage(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> np.ndarray:
-    """Complete linkage of distinct intervals in order of start by reciprocal overlap: on a matrix for few of them, on neighbour lists for many."""
+    """Complete linkage of distinct intervals in order of start by reciprocal overlap: on one matrix for few of them, by a sweep for many."""
     if len(start) <= DENSE or cut >= 1:
         return complete_linkage(reciprocal_distance(start, end, max_dif, max_frac_uniq), cut)
-    return sparse_linkage(len(start), *neighbour_pairs(start, end, cut, max_dif, max_frac_uniq), cut)
+    return swept_linkage(start, end, cut, max_dif, max_frac_uniq)
 
 
 def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, max_dif: float | None = None, max_frac_uniq: float | None = None) -> DataFrame:
     """Sub-clusters (``sub``) of each overlap cluster by complete linkage on reciprocal overlap.
 
-    Equal intervals are one point of the linkage (their distance is 0).  A
-    cluster of up to DENSE distinct intervals costs their square, a larger one
-    its pairs of near intervals.
+    Equal intervals are one point of the linkage (their distance is 0), and
+    only points go to its tasks.  A cluster of up to DENSE points costs their
+    square, a larger one is swept by :func:`swept_linkage`.
     """
     cols = [*keys, "cluster_no", "call_id", "start", "end"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clustered.select(*cols).schema) + ", sub int"
-    sized = clustered.select(*cols, F.count("*").over(Window.partitionBy(*keys, "cluster_no")).alias("_size"))
-    alone = sized.where("_size = 1").select(*cols, F.lit(0).alias("sub"))
-    # small clusters share a task call: a bucket holds about PER_TASK rows unless one cluster is larger
-    buckets = max(1, clustered.count() // PER_TASK)
-    many = sized.where("_size > 1").select(*cols, F.pmod(F.xxhash64(*keys, "cluster_no"), F.lit(buckets)).alias("_bucket"))
+    c = written(clustered.select(*cols), "clustered")  # read several times
+    at = [*keys, "cluster_no", "start", "end"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.select(*at).schema) + ", sub int"
+    points = written(c.select(*at).distinct(), "points")
+    sized = points.withColumn("_size", F.count("*").over(Window.partitionBy(*keys, "cluster_no")))
+    alone = sized.where("_size = 1").select(*at, F.lit(0).alias("sub"))
+    # small clusters share a task call: a bucket holds about PER_TASK points unless one cluster is larger
+    buckets = max(1, points.count() // PER_TASK)
+    many = sized.where("_size > 1").select(*at, F.pmod(F.xxhash64(*keys, "cluster_no"), F.lit(buckets)).alias("_bucket"))
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "cluster_no"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(at, kind="stable").reset_index(drop=True)
         number = pdf.groupby([*keys, "cluster_no"], sort=False).ngroup().to_numpy()
         cuts = np.flatnonzero(np.diff(number)) + 1
-        spans, sub = pdf[["start", "end"]].to_numpy(np.int64), []
-        for part in np.split(spans, cuts):
-            points, where = np.unique(part, axis=0, return_inverse=True)
-            sub.append(interval_linkage(points[:, 0], points[:, 1], cut, max_dif, max_frac_uniq)[where.ravel()])
-        return pdf.assign(sub=np.concatenate(sub).astype(np.int32))[[*cols, "sub"]]
+        spans = pdf[["start", "end"]].to_numpy(np.int64)
+        sub = [interval_linkage(p[:, 0], p[:, 1], cut, max_dif, max_frac_uniq) for p in np.split(spans, cuts)]
+        return pdf.assign(sub=np.concatenate(sub).astype(np.int32))[[*at, "sub"]]
 
-    return alone.unionByName(many.groupBy("_bucket").applyInPandas(of, schema))
+    found = alone.unionByName(many.groupBy("_bucket").applyInPandas(of, schema))
+    return c.join(found, at).select(*cols, "sub")
 
 
 def correlated_breaks(wide: np.ndarray, w: np.ndarray, at: list[int], cutoff=None) -> list[int]:
