@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow import cli
-from windrow.plans import views
+from windrow.plans import registry, views
 from windrow.sources import readers as rd
 from windrow.sources import writers as wr
 from windrow.streaming.vcf_stream import filter_vcf_stream
@@ -124,3 +124,9 @@ def test_lines_of_calls(spark):
 def test_json_meta(spark, tmp_path):
     (tmp_path / "i.json").write_text(json.dumps({"indivs": ["b", "a"], "wnd_size": 1, "wnd_slide": 2}))
     assert [r["sample"] for r in rd.ordered_samples(rd.panel_meta(spark, str(tmp_path / "i.json"))).orderBy("ordinal").collect()] == ["b", "a"]
+
+
+def test_vcf_lines_are_parsed_after_the_aggregation(spark, tiny):
+    """A line names grouping keys only, so its filter could move below the panel's aggregation and parse every row of lineitem."""
+    df = registry.queries()["vcf_filter"](spark, tiny)
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
