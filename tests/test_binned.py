@@ -86,3 +86,27 @@ def test_empty_table_and_no_requests(spark, tmp_path, stored):
 def test_query_over_many_requests(spark):
     d = "/root/testdata/sf0.01"
     assert_same(registry.queries()["binned_fetch"](spark, d), registry.oracle_sql()["binned_fetch"], d)
+
+
+@pytest.mark.parametrize("max_bins", [0, 10_000])
+def test_sums_equal_those_of_the_pairs(spark, tmp_path, max_bins):
+    """Shared borders, intervals and requests of no length, repeated requests, contigs that are not stored."""
+    r = random.Random(3)
+    rows = [(i, r.choice("ab"), s := r.randrange(400), s + r.choice((0, 1, 5, 5, 60, 300))) for i in range(400)]
+    at = f"file://{tmp_path}/sums"
+    binned.write_binned(spark.createDataFrame(rows, "id long, chr string, start long, end long"), at, 16, 4, 2)
+    asked = [(r.choice("abc"), s := r.randrange(400), s + r.choice((0, 1, 5, 40, 200))) for _ in range(150)]
+    q = spark.createDataFrame(asked + asked[:9], "chr string, r_start long, r_end long")
+    got = {tuple(x) for x in binned.fetched_sums(spark, at, q, "id", max_bins).collect()}
+    want = set()
+    for c, a, z in set(asked):
+        hit = [i for i, k, s, e in rows if k == c and s < z and a < e]
+        if hit:
+            want.add((c, a, z, len(hit), sum(hit)))
+    assert got == want
+
+
+def test_query_makes_no_pairs(spark):
+    df = registry.queries()["binned_fetch"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,6 +83,13 @@ def fetched(spark: SparkSession, path: str, requests: DataFrame, max_bins: int =
     Empty requests and stored intervals of no length overlap what holds their
     place inside.  Requests on contigs that are not stored give nothing.
     """
+    at, table = _opened(spark, path, requests, max_bins)
+    hit = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    return at.join(table, ["chr", "level", "bin"]).where(hit).drop("level", "bin")
+
+
+def _opened(spark: SparkSession, path: str, requests: DataFrame, max_bins: int) -> tuple[DataFrame, DataFrame]:
+    """Every request with each bin that it touches, and the stored table, cut to those bins if they are at most ``max_bins``."""
     table, width, fan, levels = binned(spark, path)
     at = _touched(requests, width, fan, levels)
     names = at.select("chr", "level", "bin").distinct().limit(max_bins + 1).collect()
@@ -92,5 +99,38 @@ def fetched(spark: SparkSession, path: str, requests: DataFrame, max_bins: int =
             per.setdefault((r["chr"], r["level"]), []).append(r["bin"])
         wanted = [(F.col("chr") == c) & (F.col("level") == level) & F.col("bin").isin(sorted(b)) for (c, level), b in per.items()]
         table = table.where(reduce(Column.__or__, wanted) if wanted else F.lit(False))
-    hit = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
-    return at.join(table, ["chr", "level", "bin"]).where(hit).drop("level", "bin")
+    return at, table
+
+
+def fetched_sums(spark: SparkSession, path: str, requests: DataFrame, value: str, max_bins: int = MAX_BINS) -> DataFrame:
+    """``chr, r_start, r_end, n, total``: how many stored intervals :func:`fetched` pairs each distinct request with, and the sum of their ``value``.
+
+    No pairs are made: of a bin's intervals those that start before the
+    request's end, without those that end by its start, come from running
+    sums over the bin's starts, ends and requests in order, so the work grows
+    with rows and not with their pairs.  Requests without a pair give no row;
+    only requests of no length go by :func:`fetched`, and values may not be null.
+    """
+    key = ["chr", "r_start", "r_end"]
+    requests = requests.select(*key).distinct()
+    at, table = _opened(spark, path, requests.where("r_start < r_end"), max_bins)
+    place = ["chr", "level", "bin"]
+    # at one place: ends (0) count for requests' starts (1); requests' ends (2) come before starts (3)
+    none, v = F.lit(None).cast("long"), F.col(value).cast("long")
+
+    def mark(pos: str, kind: int) -> Column:
+        return F.struct(F.col(pos).alias("pos"), F.lit(kind).alias("kind"))
+
+    rows = table.withColumn("_m", F.explode(F.array(mark("end", 0), mark("start", 3)))).select(*place, "_m.*", v.alias("v"), none.alias("r_start"), none.alias("r_end"))
+    asked = at.withColumn("_m", F.explode(F.array(mark("r_start", 1), mark("r_end", 2)))).select(*place, "_m.*", none.alias("v"), "r_start", "r_end")
+    w = Window.partitionBy(*place).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = F.col("v").isNotNull()
+    begun, ended = of & (F.col("kind") == 3), of & (F.col("kind") == 0)
+    run = rows.unionByName(asked).select(
+        "chr", "kind", "r_start", "r_end",
+        *(F.coalesce(F.sum(F.when(flag, what)).over(w), F.lit(0)).alias(name) for name, flag, what in (("nb", begun, F.lit(1)), ("vb", begun, F.col("v")), ("ne", ended, F.lit(1)), ("ve", ended, F.col("v")))),
+    )
+    ends = F.col("kind") == 2
+    sums = run.where("kind IN (1, 2)").groupBy(*key).agg(F.sum(F.when(ends, F.col("nb")).otherwise(-F.col("ne"))).alias("n"), F.sum(F.when(ends, F.col("vb")).otherwise(-F.col("ve"))).alias("total")).where("n > 0")
+    empty = fetched(spark, path, requests.where("r_start >= r_end"), max_bins).groupBy(*key).agg(F.count("*").alias("n"), F.sum(v).alias("total"))
+    return sums.unionByName(empty)
