@@ -63,6 +63,36 @@ def test_large_groups_go_through_stars_and_blocks(spark, monkeypatch):
     assert result(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10)) == brute(rows, 3, 9, 10)
 
 
+def joined_on_doc(spark, plan):
+    """Rows that each join of doc with doc in an executed plan has made."""
+    as_java, name = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava, plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return joined_on_doc(spark, plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return joined_on_doc(spark, plan.plan())
+    below = [n for p in as_java(plan.children()) for n in joined_on_doc(spark, p)]
+    if name.endswith("JoinExec") and all("(doc#" in k.toString() for k in (plan.leftKeys(), plan.rightKeys())):
+        below.append(as_java(plan.metrics())["numOutputRows"].value())
+    return below
+
+
+def test_sketches_meet_a_document_once_and_not_once_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    plans, of = [], jaccard._left_over
+
+    def left_over(*args):
+        out = of(*args)
+        out.collect()
+        plans.append(out._jdf.queryExecution().executedPlan())
+        return out
+
+    monkeypatch.setattr(jaccard, "_left_over", left_over)
+    rows = [(i, " ".join([f"w{j}" for j in range(60)] + [f"x{i}_{j}" for j in range(90)])) for i in range(40)]  # one passage, no links
+    assert result(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 2, 5)) == brute(rows, 3, 2, 5)
+    made = joined_on_doc(spark, plans[0])
+    assert made and sum(made) <= len(rows)
+
+
 def test_whole_table(spark, tiny):
     t = table(spark, tiny, "documents")
     rows = [(r["doc_id"], r["text"]) for r in t.select("doc_id", "text").collect()]

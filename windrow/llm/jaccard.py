@@ -228,18 +228,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
 
 def _left_over(large: DataFrame, labels: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one bucket that the stars left in different components, compared in blocks of bounded size."""
-    named = large.join(labels, large["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
+    """Pairs of one bucket that the stars left in different components, compared in blocks of bounded size; ``large(doc, keys)`` has a row a document."""
+    # labels and sketches meet a document's row, not each of its buckets: as many rows as documents come out of both joins
+    labelled = large.join(labels, large["doc"] == labels["node"], "left").select("doc", "keys", F.coalesce("component", "doc").alias("label"))
+    named = labelled.select(F.explode("keys").alias("key"), "doc", "label")
     # counted before the rows meet by key: a hot bucket is as many rows here as it has labels
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("c"), F.count("*").alias("labels")).where("labels > 1")
     main = stored(main.select("key", F.col("top.label").alias("main"), "c", (F.col("c") - F.col("top.m")).alias("others")), "main")
-    rows = named.join(main, "key").join(meta, "doc")
     spread = F.xxhash64("doc")
-    rows = rows.withColumn("out", F.col("label") != F.col("main"))
-    rows = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK)).withColumn("outs", F.ceil(F.col("others") / BLOCK))
-    left = rows.where("out").withColumn("i", F.pmod(spread, F.col("outs"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    right = rows.withColumn("j", F.pmod(spread, F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))).withColumn("side", F.lit(1))
+    held = named.join(main, "key").select("doc", "label", F.struct("key", (F.col("label") != F.col("main")).alias("out"), F.ceil(F.col("c") / BLOCK).alias("blocks"), F.ceil(F.col("others") / BLOCK).alias("outs")).alias("at"))
+    held = held.groupBy("doc", "label").agg(F.collect_list("at").alias("at")).join(meta, "doc").withColumn("at", F.explode("at")).select("*", "at.*")
+    left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.pmod(spread, "outs").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), lambda i: F.struct(i.alias("i"), F.pmod(spread, "blocks").alias("j"), F.lit(1).alias("side")))
+    placed = held.withColumn("block", F.explode(F.when(F.col("out"), F.concat(left, right)).otherwise(right))).select("*", "block.*")
     cols = ["key", "i", "j", "side", "doc", "label", "n_shingles", "sketch"]
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
@@ -257,7 +259,7 @@ def _left_over(large: DataFrame, labels: DataFrame, meta: DataFrame, num: int, d
         dx, dy = x.doc.to_numpy()[p], y.doc.to_numpy()[q]
         return pd.DataFrame({"a": np.minimum(dx, dy), "b": np.maximum(dx, dy)})
 
-    return left.select(cols).union(right.select(cols)).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return placed.select(cols).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -293,13 +295,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     drop_stored(rows)
     couple = "flatten(transform(ds, a -> transform(filter(ds, b -> b > a), b -> struct(a as a, b as b))))"
     pairs = buckets.where(F.col("c") <= SMALL).groupBy("key").agg(F.collect_set("doc").alias("ds")).select(F.explode(F.expr(couple)).alias("p")).select("p.a", "p.b").distinct()
-    large = buckets.where(F.col("c") > SMALL).select("key", "doc", "c")
+    # a row a document, with as many keys as its texts have sketch parts at most
+    large = stored(buckets.where(F.col("c") > SMALL).groupBy("doc").agg(F.sum("c").alias("w"), F.collect_list("key").alias("keys")), "large")
     has_large = not is_empty(large)
     if has_large:
-        weight = large.groupBy("doc").agg(F.sum("c").alias("w"))
-        centre = large.join(weight, "doc").groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("doc")).alias("d"))).alias("top")).select("key", (-F.col("top.d")).alias("centre"))
+        crowded = large.select(F.explode("keys").alias("key"), "doc", "w")
+        centre = crowded.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("doc")).alias("d"))).alias("top")).select("key", (-F.col("top.d")).alias("centre"))
         centre = stored(centre, "centres")  # stored, so that the join below has plain sides and a hot bucket may be split
-        star = large.join(centre, "key").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+        star = crowded.join(centre, "key").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = pairs.union(star)
     pairs = stored(_admitted(pairs, meta, num, den), "pairs")
     links = _verified(pairs, docs, k, num, den)
@@ -310,7 +313,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
             links = links.union(_verified(more, docs, k, num, den))
             labels = connected_components(links)
         drop_stored(more)
-    drop_stored(pairs, buckets, meta)
+    drop_stored(pairs, buckets, large, meta)
     out = names.join(classes, sig, "left").join(labels, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
