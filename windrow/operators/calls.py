@@ -75,14 +75,32 @@ def merged_starts(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.groupBy(*keys, "start").agg(F.median("end").alias("end"), F.sum(F.log10("p")).alias("log10_p"), F.count("*").alias("n"))
 
 
+def counted(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, start, end, indiv_ref`` of calls with the number ``n`` of those that are equal in them, and the sum ``ll`` of their log10 p.
+
+    Equal intervals overlap, so they are in one cluster.  One without a length
+    does not overlap itself and stays a row for each call; calls without a
+    key, a start or an end are left out.
+    """
+    apart = F.when(F.col("end") <= F.col("start"), F.monotonically_increasing_id()).alias("_apart")
+    c = calls.dropna(subset=[*keys, "start", "end"]).select(*keys, "start", "end", "indiv_ref", apart, F.log10("p").alias("_l"))
+    return c.groupBy(*keys, "start", "end", "indiv_ref", "_apart").agg(F.count("*").alias("n"), F.sum("_l").alias("ll")).drop("_apart")
+
+
 def passing_subs(clustered: DataFrame, keys: list[str], ll_cutoff: float = -3.0, min_calls: int = 2) -> DataFrame:
-    """Sub-clusters ``keys, cluster_no, sub, s, e, n, ll, refs`` that pass size and likelihood, at their median bounds; a cluster's only member passes without a test."""
+    """Sub-clusters ``keys, cluster_no, sub, s, e, n, ll, refs`` that pass size and likelihood, at their median bounds; a cluster's only member passes without a test.
+
+    Takes calls, or rows of :func:`counted` for several calls each.
+    """
+    if "n" not in clustered.columns:
+        clustered = clustered.withColumn("n", F.lit(1).cast("long")).withColumn("ll", F.log10("p"))
     w = Window.partitionBy(*keys, "cluster_no")
     sub = clustered.groupBy(*keys, "cluster_no", "sub").agg(
-        F.median("start").alias("s"), F.median("end").alias("e"), F.count("*").alias("n"), F.sum(F.log10("p")).alias("ll"), F.collect_set("indiv_ref").alias("refs")
+        F.percentile("start", 0.5, F.col("n")).alias("s"), F.percentile("end", 0.5, F.col("n")).alias("e"), F.sum("n").alias("n"), F.sum("ll").alias("ll"), F.collect_set("indiv_ref").alias("refs")
     )
     sub = sub.withColumn("_members", F.sum("n").over(w))
-    return sub.where((F.col("_members") == 1) | ((F.col("ll") < ll_cutoff) & (F.col("n") >= min_calls))).drop("_members")
+    # sums that differ by their order alone are one
+    return sub.where((F.col("_members") == 1) | ((F.round("ll", 9) < ll_cutoff) & (F.col("n") >= min_calls))).drop("_members")
 
 
 def resolved(clustered: DataFrame, keys: list[str], ll_cutoff: float = -3.0, min_calls: int = 2) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.functions.special import gaussian_overlap
+from windrow.operators.scan import running_count
 from windrow.sources.scratch import written
 
 MIN_COVAR, MAX_STEPS, TOLERANCE = 1e-4, 1000, 1e-2
-#: Rows aimed at in one call of the linkage function.
-PER_TASK = 5_000
+#: Rows aimed at in one call of the linkage function, and tasks at most.
+PER_TASK, MOST_TASKS = 5_000, 4_096
 
 
 def centroid_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
@@ -239,19 +240,21 @@ def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
 def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | None = None, max_frac_uniq: float | None = None, other_start: np.ndarray | None = None, other_end: np.ndarray | None = None) -> np.ndarray:
     """1 - reciprocal overlap of all pairs, or of all with each of the others."""
     z, e = (start, end) if other_start is None else (other_start, other_end)
-    o = np.minimum(end[:, None], e) - np.maximum(start[:, None], z)
-    size, other = (end - start).astype(float), (e - z).astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.where(o > 0, np.minimum(o / size[:, None], o / other), 0.0)
+    o = np.maximum(np.minimum(end[:, None], e) - np.maximum(start[:, None], z), 0)
+    # the longer one's share is the lesser; without an overlap any length will do
+    longer = np.maximum((end - start)[:, None], e - z)
+    r = o / np.maximum(longer, 1)
     if max_dif is not None:
-        r[np.maximum(size[:, None] - o, other - o) > max_dif] = 0.0
+        r[longer - o > max_dif] = 0.0
     if max_frac_uniq is not None:
         r[1 - r >= max_frac_uniq] = 0.0
     return 1 - r
 
 
 #: Distinct intervals from which on a cluster's linkage sweeps instead of holding one matrix, intervals that the sweep takes at a time, and pairs looked at at once.
-DENSE, BLOCK, PAIRS_AT_ONCE = 1_500, 512, 1 << 20
+DENSE, BLOCK, PAIRS_AT_ONCE = 1_500, 256, 1 << 18
+#: Points of a tile of a large overlap cluster, and neighbouring tiles whose borders meet in the next round.
+TILE_POINTS, FAN_IN = 20_000, 8
 
 
 def neighbour_pairs(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,64 +321,117 @@ def sparse_linkage(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, cut: flo
     return np.unique(into, return_inverse=True)[1]
 
 
-def swept_linkage(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None, block: int = BLOCK) -> np.ndarray:
-    """Complete linkage of distinct intervals in order of (start, end), ``cut`` below 1, numbered like :func:`complete_linkage`.
+def cluster_distances(start: np.ndarray, end: np.ndarray, rows: list[np.ndarray], cols: list[np.ndarray], max_dif: float | None = None, max_frac_uniq: float | None = None) -> np.ndarray:
+    """The largest distance between members of any of ``rows`` and any of ``cols``, lists of members; PAIRS_AT_ONCE pairs at a time."""
+    held, here = np.concatenate(rows), np.concatenate(cols)
+    step, out = max(1, PAIRS_AT_ONCE // len(held)), []
+    first = np.cumsum([0] + [len(m) for m in rows[:-1]])
+    for lo in range(0, len(here), step):
+        some = here[lo : lo + step]
+        d = reciprocal_distance(start[held], end[held], max_dif, max_frac_uniq, start[some], end[some])
+        out.append(d if len(rows) == len(held) else np.maximum.reduceat(d, first, axis=0))
+    wide = np.concatenate(out, axis=1)
+    return wide if len(cols) == len(here) else np.maximum.reduceat(wide, np.cumsum([0] + [len(m) for m in cols[:-1]]), axis=1)
+
+
+def partial_linkage(
+    start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None, block: int = BLOCK, group: np.ndarray | None = None, low: float = -np.inf, high: float = np.inf
+) -> tuple[np.ndarray, np.ndarray]:
+    """Complete linkage of distinct intervals in order of (start, end), ``cut`` below 1, as far as it goes without those that are not here.
+
+    Gives each interval its cluster's first member, and whether that cluster
+    is final.  Those not here end by ``low`` or begin from ``high`` on;
+    ``group`` has the first members of clusters that are known already.
 
     Clusters that are nearest to each other (by distance, then by first
     members) merge in the one merged order or any other: a merge brings no
-    cluster nearer to a third one.  So ``block`` intervals are taken at a time,
-    and two such clusters merge once all that can overlap them is there.  A
-    cluster that has nothing near is settled and leaves; memory is the square
+    cluster nearer to a third one.  So about ``block`` intervals are taken at a
+    time, and two such clusters merge once all that can overlap them is there.
+    A cluster that has nothing near is settled and leaves; memory is the square
     of those that overlap the place reached, not the pairs of the whole.
     """
     n = len(start)
-    into, rep = np.arange(n), np.zeros(0, int)
+    into, final = np.arange(n) if group is None else group.copy(), np.zeros(n, bool)
+    order = np.argsort(into, kind="stable")
+    firsts, begin = np.unique(into[order], return_index=True)
+    parts, sizes = np.split(order, begin[1:]), np.append(begin, n)
+    rep = nearest = np.zeros(0, int)
+    least = reach = np.zeros(0, end.dtype)
     members: list[np.ndarray] = []
-    d = np.zeros((0, 0))
-    for lo in range(0, n, block):
-        hi = min(lo + block, n)
-        new, old = np.arange(lo, hi), len(rep)
-        held = np.concatenate([*members, new])
-        wide = reciprocal_distance(start[held], end[held], max_dif, max_frac_uniq, start[new], end[new])
-        grown = np.full((old + len(new),) * 2, np.inf)
-        grown[:old, :old] = d
-        grown[old:, old:] = wide[len(held) - len(new) :]
-        if old:
-            first = np.cumsum([0] + [len(m) for m in members[:-1]])
-            grown[:old, old:] = np.maximum.reduceat(wide[: len(held) - len(new)], first, axis=0)
-            grown[old:, :old] = grown[:old, old:].T
-        d = grown
-        np.fill_diagonal(d, np.inf)
-        rep, members = np.concatenate([rep, new]), [*members, *new[:, None]]
-        reach = np.array([end[m].max() for m in members])
-        ahead = start[hi] if hi < n else np.inf
+    d, gap, stuck = np.zeros((0, 0)), np.zeros(0), np.zeros(0, bool)
+    lo = 0
+    while lo < len(firsts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + block, "right")) - 1)
+        old, new = len(rep), parts[lo:hi]
+        rep, members = np.concatenate([rep, firsts[lo:hi]]), [*members, *new]
         k = np.arange(len(rep))
-        nearest, alive = d.argmin(1), np.ones(len(rep), bool)
+        least = np.concatenate([least, [end[m].min() for m in new]])
+        # a cluster with a member that ends before all of the new ones is 1 apart from them
+        meets = np.flatnonzero(least > start[firsts[lo]])
+        wide = np.ones((len(rep), hi - lo))
+        if len(meets):
+            wide[meets] = cluster_distances(start, end, [members[a] for a in meets.tolist()], new, max_dif, max_frac_uniq)
+        wide[k[old:], k[old:] - old] = np.inf
+        grown = np.empty((len(rep), len(rep)))
+        grown[:old, :old], grown[:, old:], grown[old:, :old] = d, wide, wide[:old].T
+        d = grown
+        # of equal distances the first: what was here before stays nearest
+        far = wide.argmin(1)
+        nearer = wide[k, far]
+        nearest = np.concatenate([np.where(nearer[:old] < gap, far[:old] + old, nearest), d[old:].argmin(1)])
+        gap = d[k, nearest]
+        reach = np.concatenate([reach, [end[m].max() for m in new]])
+        ahead = start[firsts[hi]] if hi < len(firsts) else high
+        known, alive = start[rep] >= low, np.ones(len(rep), bool)
+        stuck = np.concatenate([stuck, ~known[old:]])
         while True:
             # what is at most as far as the cut and has all its neighbours here
-            ready = (d[k, nearest] <= cut) & (reach <= ahead) & alive
+            ready = (gap <= cut) & ~stuck & (reach <= ahead) & alive
             i = np.flatnonzero(ready & ready[nearest] & (nearest[nearest] == k) & (k < nearest))
             if not len(i):
                 break
             j = nearest[i]
-            d[i] = np.maximum(d[i], d[j])
-            d[:, i] = np.maximum(d[:, i], d[:, j])
+            both = np.maximum(d[i], d[j])
+            both[:, i] = np.maximum(both[:, i], both[:, j])
+            d[i], d[:, i] = both, both.T
             d[j], d[:, j], d[i, i], alive[j] = np.inf, np.inf, np.inf, False
-            reach[i] = np.maximum(reach[i], reach[j])
+            reach[i], least[i] = np.maximum(reach[i], reach[j]), np.minimum(least[i], least[j])
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
                 members[a] = np.concatenate([members[a], members[b]])
             touched = np.zeros(len(rep), bool)
             touched[i] = touched[j] = True
             again = np.flatnonzero(alive & (touched | touched[nearest]))
             nearest[again] = d[again].argmin(1)
-        settled = alive & (reach <= ahead) & (d[k, nearest] > cut)
-        for a in np.flatnonzero(settled).tolist():
-            into[members[a]] = rep[a]
-        stay = np.flatnonzero(alive & ~settled)
+            gap[again] = d[again, nearest[again]]
+        here = alive & (reach <= ahead)
+        # what is nearest to one that may have a nearer one elsewhere waits with it, and leaves once nothing else is near
+        while (more := here & (gap <= cut) & stuck[nearest] & ~stuck).any():
+            stuck |= more
+        settled = here & (gap > cut) & ~stuck
+        gone = here & stuck
+        gone[gone] = ~(d[np.ix_(gone, alive & ~stuck & ~settled)] <= cut).any(1)
+        for a in np.flatnonzero(settled | gone).tolist():
+            into[members[a]], final[members[a]] = rep[a], settled[a]
+        stay = np.flatnonzero(alive & ~settled & ~gone)
+        place = np.zeros(len(rep), int)
+        place[stay] = np.arange(len(stay))
+        # what lay nearest to one that stays may have left, if it is beyond the cut or that one waits
         rep, members, d = rep[stay], [members[a] for a in stay.tolist()], d[np.ix_(stay, stay)]
+        lost = (settled | gone)[nearest[stay]]
+        least, reach, stuck = least[stay], reach[stay], stuck[stay]
+        nearest, gap = place[nearest[stay]], gap[stay]
+        if lost.any():
+            nearest[lost] = d[lost].argmin(1)
+            gap = d[np.arange(len(rep)), nearest]
+        lo = hi
     for a, m in zip(rep.tolist(), members, strict=True):
         into[m] = a
-    return np.unique(into, return_inverse=True)[1]
+    return into, final
+
+
+def swept_linkage(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None, block: int = BLOCK) -> np.ndarray:
+    """Complete linkage of distinct intervals in order of (start, end), ``cut`` below 1, numbered like :func:`complete_linkage`; see :func:`partial_linkage`."""
+    return np.unique(partial_linkage(start, end, cut, max_dif, max_frac_uniq, block)[0], return_inverse=True)[1]
 
 
 def interval_linkage(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> np.ndarray:
@@ -385,33 +441,83 @@ def interval_linkage(start: np.ndarray, end: np.ndarray, cut: float, max_dif: fl
     return swept_linkage(start, end, cut, max_dif, max_frac_uniq)
 
 
-def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, max_dif: float | None = None, max_frac_uniq: float | None = None) -> DataFrame:
-    """Sub-clusters (``sub``) of each overlap cluster by complete linkage on reciprocal overlap.
+def tiled_linkage(points: DataFrame, own: list[str], cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> DataFrame:
+    """``own, start, end, sub`` of the distinct intervals of large overlap clusters ``own``: no task holds a whole one.
+
+    A tile of TILE_POINTS is linked by :func:`partial_linkage` as far as it
+    goes alone.  What is not final, at the borders, meets that of FAN_IN
+    neighbouring tiles in the next round, and so on up to the whole cluster.
+    """
+    at = [*own, "start", "end"]
+    numbered = running_count(points, own, ["start", "end"], "start", F.lit(True), "_rank")
+    tile = F.floor((F.col("_rank") - 1) / TILE_POINTS).alias("_tile")
+    left = written(numbered.select(*at, tile, F.col("start").alias("_s"), F.col("end").alias("_e")), "tiles")
+    bounds = written(left.groupBy(*own, "_tile").agg(F.min("start").alias("_from"), F.max("end").alias("_to")), "bounds")
+    tiles, longest = bounds.agg(F.count("*"), F.max("_tile") + 1).first()
+    types = {f.name: f.dataType.simpleString() for f in left.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in [*at, "_tile", "_s", "_e"]) + ", _final boolean"
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "end"], kind="stable").reset_index(drop=True)
+        start, end = pdf["start"].to_numpy(np.int64), pdf["end"].to_numpy(np.int64)
+        # (_s, _e) is the first member of the cluster that a point is in so far, and is here with it
+        group = pd.Series(np.arange(len(pdf))).groupby([pdf["_s"], pdf["_e"]], sort=False).transform("min").to_numpy()
+        into, final = partial_linkage(start, end, cut, max_dif, max_frac_uniq, group=group, low=int(pdf["_low"][0]), high=int(pdf["_high"][0]))
+        return pdf.assign(_s=start[into], _e=end[into], _final=final)[[*at, "_tile", "_s", "_e", "_final"]]
+
+    width, found = 1, None
+    order = Window.partitionBy(*own).orderBy("_group")
+    before, lowest, highest = order.rowsBetween(Window.unboundedPreceding, -1), F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    while True:
+        group = F.floor(F.col("_tile") / width).alias("_group")
+        b = bounds.groupBy(*own, group).agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+        b = b.select(*own, "_group", F.coalesce(F.max("_to").over(before), lowest).alias("_low"), F.coalesce(F.lead("_from").over(order), highest).alias("_high"))
+        meeting = left.withColumn("_group", group).join(b, [*own, "_group"]).repartition(max(1, min(MOST_TASKS, tiles // width)), *own, "_group")
+        linked = written(meeting.groupBy(*own, "_group").applyInPandas(of, schema), "linked")
+        final = linked.where("_final").select(*at, "_s", "_e")
+        found = final if found is None else found.unionByName(final)
+        if width >= longest:
+            break
+        left, width = linked.where("NOT _final").drop("_final"), width * FAN_IN
+    firsts = found.where((F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e"))).select(*at)
+    number = running_count(firsts, own, ["start", "end"], "start", F.lit(True), "_no").select(*own, F.col("start").alias("_s"), F.col("end").alias("_e"), (F.col("_no") - 1).cast("int").alias("sub"))
+    return found.join(number, [*own, "_s", "_e"]).select(*at, "sub")
+
+
+def linkage_clusters(clustered: DataFrame, keys: list[str], cut: float = 0.85, max_dif: float | None = None, max_frac_uniq: float | None = None, carried: tuple[str, ...] = ("call_id",)) -> DataFrame:
+    """Sub-clusters (``sub``) of each overlap cluster by complete linkage on reciprocal overlap; columns ``carried`` come through.
 
     Equal intervals are one point of the linkage (their distance is 0), and
     only points go to its tasks.  A cluster of up to DENSE points costs their
-    square, a larger one is swept by :func:`swept_linkage`.
+    square, a larger one is swept by :func:`swept_linkage`, and one of more
+    than TILE_POINTS is dealt over tasks by :func:`tiled_linkage`.
     """
-    cols = [*keys, "cluster_no", "call_id", "start", "end"]
-    c = written(clustered.select(*cols), "clustered")  # read several times
-    at = [*keys, "cluster_no", "start", "end"]
+    own = [*keys, "cluster_no"]
+    cols, at = [*own, *carried, "start", "end"], [*own, "start", "end"]
+    c = written(clustered.select(*cols).dropna(subset=at), "clustered")  # read several times
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.select(*at).schema) + ", sub int"
     points = written(c.select(*at).distinct(), "points")
-    sized = points.withColumn("_size", F.count("*").over(Window.partitionBy(*keys, "cluster_no")))
+    sizes = written(points.groupBy(*own).agg(F.count("*").alias("_size")), "sizes")
+    large = F.col("_size") > TILE_POINTS if cut < 1 else F.lit(False)
+    sized = points.join(sizes, own)
     alone = sized.where("_size = 1").select(*at, F.lit(0).alias("sub"))
     # small clusters share a task call: a bucket holds about PER_TASK points unless one cluster is larger
-    buckets = max(1, points.count() // PER_TASK)
-    many = sized.where("_size > 1").select(*at, F.pmod(F.xxhash64(*keys, "cluster_no"), F.lit(buckets)).alias("_bucket"))
+    n, most = sizes.agg(F.sum("_size"), F.max("_size")).first()
+    buckets = max(1, (n or 0) // PER_TASK)
+    many = sized.where((F.col("_size") > 1) & ~large).select(*at, F.pmod(F.xxhash64(*own), F.lit(buckets)).alias("_bucket"))
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable").reset_index(drop=True)
-        number = pdf.groupby([*keys, "cluster_no"], sort=False).ngroup().to_numpy()
+        number = pdf.groupby(own, sort=False).ngroup().to_numpy()
         cuts = np.flatnonzero(np.diff(number)) + 1
         spans = pdf[["start", "end"]].to_numpy(np.int64)
         sub = [interval_linkage(p[:, 0], p[:, 1], cut, max_dif, max_frac_uniq) for p in np.split(spans, cuts)]
         return pdf.assign(sub=np.concatenate(sub).astype(np.int32))[[*at, "sub"]]
 
-    found = alone.unionByName(many.groupBy("_bucket").applyInPandas(of, schema))
+    # dealt by number, else a few small partitions would be put into one task
+    found = alone.unionByName(many.repartition(min(buckets, MOST_TASKS), "_bucket").groupBy("_bucket").applyInPandas(of, schema))
+    if cut < 1 and (most or 0) > TILE_POINTS:
+        found = found.unionByName(tiled_linkage(sized.where(large).select(*at), own, cut, max_dif, max_frac_uniq))
     return c.join(found, at).select(*cols, "sub")
 
 

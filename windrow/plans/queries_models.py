@@ -15,6 +15,7 @@ from windrow.plans import sql as sq
 from windrow.plans import views as v
 from windrow.plans.queries_calls import _SWEEP, clustered
 from windrow.plans.queries_genotype import cells, obs
+from windrow.sources.scratch import written
 
 QUERIES, SQL = {}, {}
 
@@ -63,9 +64,9 @@ subs AS (SELECT chr, cluster_no, sub, median(start) AS s, median("end") AS e, co
 @checked(v.sql(*_REFINED, _RESOLVED, select='SELECT chr, cluster_no, min(s) AS start, max(e) AS "end", array_to_string(list_sort(list_distinct(flatten(list(refs)))), chr(44)) AS called_refs, round(sum(ll), 6) AS log_likelihood FROM subs WHERE members = 1 OR (round(ll, 9) < -3 AND n >= 2) GROUP BY 1, 2', recursive=True))
 def refine_calls(spark, d):
     """Filter, cluster by overlap, split by linkage, keep likely sub-clusters, resolve."""
-    c = iv.overlap_clusters(cl.filtered(v.calls(spark, d), 0.05, 2, 0.5), ["chr"], ["start", "end", "call_id"])
-    sub = mx.linkage_clusters(c, ["chr"]).select("call_id", "sub")
-    return cl.resolved(c.join(sub, "call_id"), ["chr"]).withColumn("log_likelihood", F.round("log_likelihood", 6)).withColumn("called_refs", F.array_join("called_refs", ","))
+    counted = written(cl.counted(cl.filtered(v.calls(spark, d), 0.05, 2, 0.5), ["chr"]), "counted")  # read several times
+    c = iv.overlap_clusters(counted, ["chr"], ["start", "end"])
+    return cl.resolved(mx.linkage_clusters(c, ["chr"], carried=("indiv_ref", "n", "ll")), ["chr"]).withColumn("log_likelihood", F.round("log_likelihood", 6)).withColumn("called_refs", F.array_join("called_refs", ","))
 
 
 @query
