@@ -254,7 +254,7 @@ def reciprocal_distance(start: np.ndarray, end: np.ndarray, max_dif: float | Non
 #: Distinct intervals from which on a cluster's linkage sweeps instead of holding one matrix, intervals that the sweep takes at a time, and pairs looked at at once.
 DENSE, BLOCK, PAIRS_AT_ONCE = 1_500, 256, 1 << 18
 #: Points of a tile of a large overlap cluster, and neighbouring tiles whose borders meet in the next round.
-TILE_POINTS, FAN_IN = 20_000, 8
+TILE_POINTS, FAN_IN = 40_000, 8
 
 
 def neighbour_pairs(start: np.ndarray, end: np.ndarray, cut: float, max_dif: float | None = None, max_frac_uniq: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -361,8 +361,10 @@ def partial_linkage(
     d, gap, stuck = np.zeros((0, 0)), np.zeros(0), np.zeros(0, bool)
     lo = 0
     while lo < len(firsts):
-        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + block, "right")) - 1)
-        old, new = len(rep), parts[lo:hi]
+        old = len(rep)
+        # more at a time where many are held, whose square is copied
+        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + max(block, old // 6), "right")) - 1)
+        new = parts[lo:hi]
         rep, members = np.concatenate([rep, firsts[lo:hi]]), [*members, *new]
         k = np.arange(len(rep))
         least = np.concatenate([least, [end[m].min() for m in new]])
