@@ -16,7 +16,7 @@ KEYS = ["indiv_test", "chr"]
 
 def sub_clusters(calls: DataFrame, cut: float = 0.85, ll_cutoff: float = -3.0, min_calls: int = 3) -> DataFrame:
     """Sub-clusters of ``calls(indiv_test, indiv_ref, chr, start, end, p)`` by overlap and complete linkage that pass size and likelihood, with ``sub_id``."""
-    c = iv.overlap_clusters(written(cl.counted(calls, KEYS), "counted"), KEYS, ["start", "end"])
+    c = iv.overlap_clusters(written(cl.counted(calls, KEYS), "counted"), KEYS, ["start", "end", "indiv_ref"])
     s = cl.passing_subs(mx.linkage_clusters(c, KEYS, cut, carried=("indiv_ref", "n", "ll")), KEYS, ll_cutoff, min_calls)
     return s.withColumn("sub_id", F.concat_ws(":", "indiv_test", "chr", F.col("cluster_no").cast("string"), F.col("sub").cast("string")))
 

@@ -65,7 +65,7 @@ subs AS (SELECT chr, cluster_no, sub, median(start) AS s, median("end") AS e, co
 def refine_calls(spark, d):
     """Filter, cluster by overlap, split by linkage, keep likely sub-clusters, resolve."""
     counted = written(cl.counted(cl.filtered(v.calls(spark, d), 0.05, 2, 0.5), ["chr"]), "counted")  # read several times
-    c = iv.overlap_clusters(counted, ["chr"], ["start", "end"])
+    c = iv.overlap_clusters(counted, ["chr"], ["start", "end", "indiv_ref"])  # one order in both scans
     return cl.resolved(mx.linkage_clusters(c, ["chr"], carried=("indiv_ref", "n", "ll")), ["chr"]).withColumn("log_likelihood", F.round("log_likelihood", 6)).withColumn("called_refs", F.array_join("called_refs", ","))
 
 
